@@ -1,0 +1,220 @@
+"""Imputation, models, search, contributions, counterfactuals."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.profile_queries import LABELLED, labelled_docs
+from checks.registry import query, table
+from cohortflow.functions.numeric import round_half_away
+from cohortflow.operators import explain, fairness, impute, models, outliers
+from cohortflow.operators.split import stratified_split
+from cohortflow.plans import analysis
+
+GAPS = """g AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS size,
+    CASE WHEN p_partkey % 7 <> 1 THEN p_retailprice END AS price, CAST((p_partkey * 37) % 101 AS DOUBLE) AS weight,
+    CASE WHEN p_partkey % 3 <> 2 THEN CAST((p_partkey * 53) % 17 AS DOUBLE) END AS grade FROM part)"""
+COLS = ("size", "price", "weight", "grade")
+
+
+def gaps(spark, sf):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(
+        "p_partkey",
+        F.when(k % 5 != 0, F.col("p_size").cast("double")).alias("size"),
+        F.when(k % 7 != 1, F.col("p_retailprice")).alias("price"),
+        ((k * 37) % 101).cast("double").alias("weight"),
+        F.when(k % 3 != 2, ((k * 53) % 17).cast("double")).alias("grade"),
+    )
+
+
+def sql_square(c: str) -> str:
+    return f"CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL THEN (a.{c} - b.{c}) * (a.{c} - b.{c}) ELSE 0.0e0 END"
+
+
+def sql_knn(k: int) -> str:
+    total = " + ".join(sql_square(c) for c in COLS)
+    shared = " + ".join(f"CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in COLS)
+    fills = ", ".join(
+        f"f_{c} AS (SELECT p_partkey, avg(v) AS m FROM (SELECT p_partkey, v, row_number() OVER (PARTITION BY p_partkey "
+        f"ORDER BY sqrt(total * 4 / shared), CAST(donor AS VARCHAR)) AS rn FROM (SELECT p_partkey, donor, total, shared, d_{c} AS v "
+        f"FROM pairs WHERE q_{c} IS NULL AND d_{c} IS NOT NULL AND shared > 0)) WHERE rn <= {k} GROUP BY p_partkey)"
+        for c in COLS if c != "weight"
+    )
+    sides = ", ".join(f"a.{c} AS q_{c}, b.{c} AS d_{c}" for c in COLS)
+    joins = " ".join(f"LEFT JOIN f_{c} ON f_{c}.p_partkey = g.p_partkey" for c in COLS if c != "weight")
+    out = ", ".join(f"round(coalesce(g.{c}, f_{c}.m), 6) AS {c}" if c != "weight" else "g.weight" for c in COLS)
+    return f"""WITH {GAPS}, pairs AS (SELECT a.p_partkey, b.p_partkey AS donor, {total} AS total, {shared} AS shared, {sides}
+      FROM g a, g b WHERE a.size IS NULL OR a.price IS NULL OR a.grade IS NULL), {fills}
+    SELECT g.p_partkey, {out} FROM g {joins}"""
+
+
+@query("knn_impute", sql_knn(5))
+def knn_impute(spark, sf):
+    x = gaps(spark, sf)
+    filled = impute.KnnImputer(COLS, "p_partkey", k=5, block=512).fit(x).transform(x)
+    return filled.select(
+        "p_partkey", *[F.round(c, 6).alias(c) if c != "weight" else F.col(c) for c in COLS]
+    )
+
+
+@query("preprocess_chain")
+def preprocess_chain(spark, sf):
+    """Impute, mask, impute again, fitted on the training rows."""
+    x = gaps(spark, sf).withColumn("price", F.col("price") * F.when(F.col("p_partkey") % 41 == 0, 9).otherwise(1))
+    train, test = x.where(F.col("p_partkey") % 5 != 1), x.where(F.col("p_partkey") % 5 == 1)
+    train, test, _ = impute.preprocess(train, test, COLS, outliers.continuous_columns(train, COLS), "p_partkey", k=5)
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+TEXT = ["n_chars", "n_words", "n_lines", "digits", "capitals"]
+
+
+def text_features(spark, sf):
+    """Labelled documents with counts taken over their whole text."""
+    t = F.col("text")
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "lang", "source",
+        F.length(t).cast("double").alias("n_chars"),
+        F.size(F.split(F.trim(t), r"\s+")).cast("double").alias("n_words"),
+        F.size(F.split(t, "\n")).cast("double").alias("n_lines"),
+        F.length(F.regexp_replace(t, "[^0-9]", "")).cast("double").alias("digits"),
+        F.length(F.regexp_replace(t, "[^A-Z]", "")).cast("double").alias("capitals"),
+    )
+    return table(spark, sf, "labels").join(docs, "doc_id").persist()
+
+
+@query("fit_logistic")
+def fit_logistic(spark, sf):
+    model = models.fit_logistic(text_features(spark, sf), TEXT, "quality")
+    rows = [(f, float(w)) for f, w in zip(TEXT, model.coefficients, strict=True)]
+    return spark.createDataFrame([*rows, ("(intercept)", float(model.intercept))], "feature string, weight double")
+
+
+@query("fit_gbt")
+def fit_gbt(spark, sf):
+    x = text_features(spark, sf)
+    model = models.fit_gbt(x, TEXT, "quality", {"n_estimators": 10, "max_depth": 3, "scale_pos_weight": 2, "gamma": 0.5})
+    return models.predict(model, x, TEXT, keep=["doc_id", "quality"])
+
+
+@query("search_grid")
+def search_grid(spark, sf):
+    space = {"max_depth": [2, 3], "n_estimators": [3, 5], "learning_rate": [0.1, 0.3]}
+    _, settings, score = models.search(
+        text_features(spark, sf), TEXT, "quality", space, n_random=2, grid_limit=2, folds=2, key="doc_id"
+    )
+    return spark.createDataFrame([(*settings.values(), score)], ", ".join(
+        [*[f"{n} {'double' if isinstance(v, float) else 'long'}" for n, v in settings.items()], "auc double"]))
+
+
+WEIGHTS, MEANS = (0.5, -0.25, 2.0), (25.0, 0.05, 0.04)
+
+
+@query("linear_shap", """SELECT l_orderkey, unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([l_quantity, l_discount, l_tax]) AS value,
+    unnest([0.5e0 * (l_quantity - 25.0e0), -0.25e0 * (l_discount - 0.05e0), 2.0e0 * (l_tax - 0.04e0)]) AS contribution FROM lineitem""")
+def linear_shap(spark, sf):
+    return explain.linear_shap(table(spark, sf, "lineitem"), "l_orderkey", ["l_quantity", "l_discount", "l_tax"], WEIGHTS, MEANS)
+
+
+@query("shap_top", """WITH c AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature,
+    unnest([0.5e0 * (l_quantity - 25.0e0), -0.25e0 * (l_discount - 0.05e0), 2.0e0 * (l_tax - 0.04e0)]) AS x FROM lineitem)
+  SELECT feature, round(avg(abs(x)), 9) AS mean_abs_shap FROM c GROUP BY feature ORDER BY 2 DESC LIMIT 2""")
+def shap_top(spark, sf):
+    top = explain.shap_importance(linear_shap(spark, sf), 2)
+    return top.withColumn("mean_abs_shap", F.round("mean_abs_shap", 9))
+
+
+@query("tree_shap")
+def tree_shap(spark, sf):
+    x = text_features(spark, sf)
+    model = models.fit_gbt(x, TEXT, "quality", {"n_estimators": 5, "max_depth": 3})
+    return explain.tree_shap(x, "doc_id", TEXT, model)
+
+
+@query("extreme_rows", """(SELECT o_orderkey, o_totalprice, 'high' AS side FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)
+  UNION ALL (SELECT o_orderkey, o_totalprice, 'low' FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 2)""")
+def extreme_rows(spark, sf):
+    return explain.extreme_rows(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice")
+
+
+@query("explain_extremes")
+def explain_extremes(spark, sf):
+    x = text_features(spark, sf)
+    model = models.fit_gbt(x, TEXT, "quality", {"n_estimators": 5, "max_depth": 3})
+    return explain.explain_extremes(model, x, "doc_id", TEXT)
+
+
+RULE = """(CASE lang WHEN 'en' THEN 0.3e0 WHEN 'fr' THEN 0.2e0 ELSE 0.1e0 END + CASE WHEN toxic = 1 THEN 0.25e0 ELSE 0.0e0 END
+    + CAST(n_chars % 100 AS DOUBLE) / 400.0e0)"""
+
+
+def rule_score(df):
+    lang = F.when(F.col("lang") == "en", 0.3).when(F.col("lang") == "fr", 0.2).otherwise(0.1)
+    toxic = F.when(F.col("toxic") == 1, 0.25).otherwise(0.0)
+    return df.withColumn("p", lang + toxic + (F.col("n_chars") % 100).cast("double") / 400.0)
+
+
+@query("forced_value", f"""WITH {LABELLED}, f AS (
+    SELECT doc_id, n_chars, toxic, v AS lang, 'lang' AS forced_col, v AS forced_value FROM d, (VALUES ('en'), ('fr'), ('de')) t(v)
+    UNION ALL SELECT doc_id, n_chars, v, lang, 'toxic', CAST(v AS VARCHAR) FROM d, (VALUES (0), (1)) t(v))
+  SELECT forced_col, forced_value, count(*) AS n, round(avg(p), 9) AS mean_p, min(p) AS min_p, max(p) AS max_p
+  FROM (SELECT *, {RULE} AS p FROM f) GROUP BY forced_col, forced_value""")
+def forced_value(spark, sf):
+    forced = fairness.forced_values(labelled_docs(spark, sf), {"lang": ["en", "fr", "de"], "toxic": [0, 1]})
+    return rule_score(forced).groupBy("forced_col", "forced_value").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 9).alias("mean_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p")
+    )
+
+
+@query("group_score_hist", f"""WITH {LABELLED}, u AS (SELECT {RULE} AS p, unnest(['lang', 'source']) AS group_col, unnest([lang, source]) AS group_value FROM d),
+  e AS (SELECT min(p) AS lo, max(p) AS hi FROM u),
+  c AS (SELECT group_col, group_value, least(CAST(floor((p - lo) / (hi - lo) * 30) AS BIGINT), 29) AS bin, count(*) AS n FROM u, e GROUP BY ALL),
+  g AS (SELECT group_col, group_value, CAST(r AS BIGINT) AS bin FROM (SELECT DISTINCT group_col, group_value FROM u), range(30) t(r))
+  SELECT g.group_col, g.group_value, CAST(g.bin AS INTEGER) AS bin, coalesce(c.n, 0) AS n FROM g LEFT JOIN c
+    ON c.group_col = g.group_col AND c.group_value = g.group_value AND c.bin = g.bin""")
+def group_score_hist(spark, sf):
+    out = fairness.group_score_histogram(rule_score(labelled_docs(spark, sf)), "p", ["lang", "source"])
+    return out.select("group_col", "group_value", "bin", "n")
+
+
+@query("forced_density")
+def forced_density(spark, sf):
+    out = fairness.forced_score_density(labelled_docs(spark, sf), {"lang": ["en", "fr"]}, rule_score, points=50)
+    return out.withColumn("density", round_half_away(F.col("density"), 6))
+
+
+QUICK = {"n_estimators": 5, "max_depth": 3}
+
+
+def gappy_text(spark, sf):
+    x = text_features(spark, sf)
+    return x.withColumns({c: F.when(F.col("doc_id") % m != 0, F.col(c)) for c, m in (("n_words", 7), ("digits", 5))})
+
+
+@query("model_grid")
+def model_grid(spark, sf):
+    x = gappy_text(spark, sf)
+    table_, _ = analysis.model_grid(x, ["quality", "toxic"], TEXT, key="doc_id", first=QUICK, second={**QUICK, "max_bin": 16}, k=5)
+    return table_
+
+
+@query("forced_bias")
+def forced_bias(spark, sf):
+    x = gappy_text(spark, sf).withColumn("english", (F.col("lang") == "en").cast("int"))
+    hist, _ = analysis.forced_bias(x, "quality", TEXT, "doc_id", {"english": (0, 1)}, QUICK, ["digits"], k=5)
+    return hist
+
+
+@query("group_scores")
+def group_scores(spark, sf):
+    hist, _ = analysis.group_scores(gappy_text(spark, sf), "quality", TEXT, "doc_id", ["lang"], params=QUICK, treat=["digits"], k=5)
+    return hist
+
+
+@query("split_training")
+def split_training(spark, sf):
+    """Held-out scores of a model trained on the other rows."""
+    parts = stratified_split(text_features(spark, sf), "quality", "doc_id")
+    model = models.fit_logistic(parts.where("split = 'train'"), TEXT, "quality")
+    return models.predict(model, parts.where("split = 'test'"), TEXT, keep=["doc_id", "quality"])
