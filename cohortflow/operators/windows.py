@@ -1,10 +1,14 @@
 """Joins between anchors (entity plus time window) and timed rows.
 
 Every join here carries an equality key, so Spark hashes on the key and tests the time condition as
-a residual. The timed side may have one key with a large share of all rows; ``salts`` splits each
-key over that many tasks by repeating the (much smaller) anchor rows. All joins are inner: callers
-aggregate the matches and bring back the unmatched anchors with :func:`attach`, which keeps the big
-side free to be split and combines before the second shuffle.
+a residual. Small anchor tables are broadcast by Spark's own size check; beyond it both sides shuffle.
+
+The timed side may have one key with a large share of all rows. The shuffle therefore also hashes a
+bucket of the key: a later aggregation by the key then needs its own exchange of partial results,
+which leaves adaptive execution free to split an oversized join partition over several tasks. All
+joins are inner, as only those may be split on either side; callers aggregate the matches and bring
+back the unmatched anchors with :func:`attach`. Where adaptive execution is off, ``salts`` splits
+each key over a fixed number of tasks by repeating the (much smaller) anchor rows.
 """
 
 from __future__ import annotations
@@ -15,12 +19,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 8
+SALTS = 1
+KEY_BUCKETS = 65536
 
 
 def _salted(anchors: DataFrame, rows: DataFrame, on: Sequence[str], salts: int):
     if salts <= 1:
-        return anchors, rows, list(on)
+        bucket = F.pmod(F.xxhash64(*on), F.lit(KEY_BUCKETS)).cast("int")
+        return anchors.withColumn("_salt", bucket), rows.withColumn("_salt", bucket), [*on, "_salt"]
     # a hash of the whole row is stable when a lost task is run again, unlike a random salt
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))

@@ -1,0 +1,236 @@
+"""Ordered sums, profiles, encodings, splits, metrics, missing values, sources."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cohortflow.operators import encode, metrics, missing, ordered, outliers, profile, split
+from cohortflow.session import settle, shared_dir
+from cohortflow.sources import io
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """A third of the rows share one value; the rest spread over several decades."""
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random(4000) < 1 / 3, 7.0, np.exp(rng.normal(2, 2, 4000)).round(3))
+    data = [(i, float(v), int(rng.random() < 0.3), "ab"[i % 2]) for i, v in enumerate(x)]
+    return spark.createDataFrame(data, "id long, x double, y int, g string").persist()
+
+
+def test_running_sums_match_a_sort(skewed):
+    got = {r["x"]: r for r in ordered.running_sums(skewed, "x", {"n": F.count(F.lit(1)), "y1": F.sum("y")}).collect()}
+    pdf = skewed.toPandas()
+    by = pdf.groupby("x")["y"].agg(["count", "sum"]).sort_index()
+    before = by.cumsum().shift(fill_value=0)
+    assert len(got) == len(by)
+    for v in by.index:
+        assert (got[v]["n"], got[v]["n_before"], got[v]["y1_before"], got[v]["n_total"]) == (
+            by.loc[v, "count"], before.loc[v, "count"], before.loc[v, "sum"], 4000)
+
+
+@pytest.mark.parametrize("limit", [0, 10**6])
+def test_quantiles_interpolate(skewed, limit):
+    probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
+    got = ordered.exact_quantiles(skewed, ["x"], probs, max_distinct=limit)["x"]
+    assert np.allclose(got, np.quantile(skewed.toPandas()["x"], probs), rtol=1e-12)
+
+
+def test_quantiles_of_nothing(spark):
+    assert ordered.exact_quantiles(spark.createDataFrame([(None,)], "x double"), ["x"], [0.5]) == {"x": [None]}
+
+
+def test_average_ranks_per_group(skewed):
+    pdf = skewed.toPandas()
+    pdf["r"] = pdf.groupby("g")["x"].rank(method="average")
+    want = {(g, x): r for g, x, r in pdf[["g", "x", "r"]].itertuples(index=False)}
+    got = {(r["g"], r["x"]): r["avg_rank"] for r in ordered.average_ranks(skewed, "x", ["g"]).collect()}
+    assert got == want
+
+
+def test_histogram_matches_numpy_and_lists_empty_bins(skewed):
+    x = skewed.toPandas()["x"].to_numpy()
+    counts, edges = np.histogram(x, bins=20)
+    got = profile.histogram(skewed, "x", 20).orderBy("bin").collect()
+    assert [r["n"] for r in got] == list(counts)
+    assert np.allclose([r["left_edge"] for r in got], edges[:-1])
+    assert np.isclose(sum(r["density"] for r in got) * (edges[1] - edges[0]), 1)
+
+
+def test_histogram_of_one_value(spark):
+    got = profile.histogram(spark.createDataFrame([(2.0,), (2.0,)], "x double"), "x", 4).orderBy("bin").collect()
+    assert [r["n"] for r in got] == [0, 0, 2, 0] and got[0]["left_edge"] == 1.5
+
+
+def test_histogram_own_range(spark):
+    df = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("b", 10.0), ("b", 30.0)], "g string, x double")
+    got = {(r["g"], r["bin"]): (r["left_edge"], r["n"]) for r in profile.histogram(df, "x", 2, ["g"], own_range=True).collect()}
+    assert got == {("a", 0): (0.0, 1), ("a", 1): (0.5, 1), ("b", 0): (10.0, 1), ("b", 1): (20.0, 1)}
+
+
+def test_density_matches_direct_sum(skewed):
+    few = skewed.where("id < 200")
+    x = np.sort(few.toPandas()["x"].to_numpy())
+    got = profile.kde_grid(few, "x", points=11).orderBy("point").collect()
+    h = x.std(ddof=1) * len(x) ** -0.2
+    for r in got:
+        z = (r["x"] - x) / h
+        assert np.isclose(r["density"], np.exp(-z * z / 2).sum() / (len(x) * h * np.sqrt(2 * np.pi)))
+
+
+def test_boxplot(spark):
+    x = [1.0, 2.0, 3.0, 4.0, 100.0]
+    r = profile.boxplot_stats(spark.createDataFrame([(v,) for v in x], "x double"), ["x"]).first()
+    assert (r["q1"], r["median"], r["q3"], r["whisker_low"], r["whisker_high"], r["n_outliers"]) == (2.0, 3.0, 4.0, 1.0, 4.0, 1)
+
+
+def test_column_summary(spark):
+    df = spark.createDataFrame([(1, "a", 2.0), (2, None, None), (3, "c", 5.0)], "subject_id int, s string, x double")
+    got = {r["column"]: r for r in profile.column_summary(encode.drop_matching(df, ["subject_id", "date"])).collect()}
+    assert set(got) == {"s", "x"}
+    assert (got["s"]["type"], got["s"]["count"], got["s"]["mean"]) == ("Categorical", 2, None)
+    assert [got["x"][k] for k in ("mean", "variance", "std_dev", "median", "min", "max", "sum", "count")] == [3.5, 4.5, 2.12, 3.5, 2.0, 5.0, 7.0, 2]
+
+
+def test_category_percent_fills_absent_groups_with_zero(spark):
+    df = spark.createDataFrame([(1, 0, "M"), (1, 0, "M"), (0, 1, "F"), (0, 1, "M")], "ins int, y int, g string")
+    out = profile.category_percent(df, {"dead": F.col("y") == 1, "alive": F.col("y") == 0}, "ins", ["g"])
+    got = {(r["category"], r["by_value"], r["group_value"]): r["percent"] for r in out.collect()}
+    assert got == {("dead", "0", "F"): 50.0, ("dead", "0", "M"): 50.0, ("dead", "1", "F"): 0.0, ("dead", "1", "M"): 0.0,
+                   ("alive", "1", "M"): 100.0, ("alive", "0", "M"): 0.0}
+
+
+def test_encodings(spark):
+    races = ["HISPANIC/LATINO - BLACK", "BLACK/AFRICAN", "ASIAN - X", "White - x", "other", None]
+    df = spark.createDataFrame([(r,) for r in races], "r string")
+    code = encode.map_contains(F.col("r"), [(("HISPANIC", "LATINO"), 1), (("BLACK", "AFRICAN"), 2), (("ASIAN",), 3), (("WHITE",), 4)], F.lit(0))
+    assert [r[0] for r in df.select(code).collect()] == [1, 2, 3, 4, 0, 0]
+    assert [r[0] for r in df.select(encode.map_values(F.col("r"), {"other": 1})).collect()] == [None] * 4 + [1, None]
+    hot = encode.one_hot(spark.createDataFrame([("b", 1), ("a", 2), (None, 3)], "c string, i int"), ["c"])
+    assert hot.columns == ["i", "c_a", "c_b"]
+    assert [tuple(r) for r in hot.orderBy("i").collect()] == [(1, 0.0, 1.0), (2, 1.0, 0.0), (3, 0.0, 0.0)]
+    with pytest.raises(ValueError):
+        encode.distinct_values(spark.range(30), "id", limit=10)
+
+
+def test_missing_count_and_completeness(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (2, None, None), (3, 1.0, 1.0)], "k int, a double, b double")
+    assert [r["missing_count"] for r in encode.add_missing_count(df).orderBy("k").collect()] == [1, 2, 0]
+    with pytest.raises(ValueError):
+        encode.add_missing_count(df, "a")
+    # int(0.8 * 48) = 38 of 48 columns must be there
+    wide = spark.createDataFrame([(n,) for n in (37, 38, 39)], "n int").select(
+        "n", *[F.when(F.col("n") > i, 1.0).alias(f"c{i}") for i in range(48)])
+    assert sorted(r["n"] for r in encode.keep_complete(wide, [[f"c{i}" for i in range(48)]]).collect()) == [38, 39]
+
+
+def test_attach_by_key_and_override(spark, rows):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k long, x double")
+    b = spark.createDataFrame([(2, "B"), (1, "A")], "k long, g string")
+    assert rows(encode.attach_by_key(a, b, ["k"], ["g"])) == [(1, 1.0, "A"), (2, 2.0, "B")]
+    with pytest.raises(ValueError):
+        encode.attach_by_key(a, a, ["k"], ["x"])
+    assert rows(encode.override(a, "x", 9)) == [(1, 9.0), (2, 9.0)]
+
+
+def test_split_is_exact_disjoint_and_repeatable(spark):
+    df = spark.range(1003).withColumn("y", (F.col("id") % 7 == 0).cast("int"))
+    parts = split.stratified_split(df, "y", "id")
+    again = split.stratified_split(df.repartition(7), "y", "id")
+    a, b = ({r["id"]: (r["split"], r["y"]) for r in p.collect()} for p in (parts, again))
+    assert a == b and len(a) == 1003
+    tests = [y for s, y in a.values() if s == "test"]
+    # ceil(0.2 * 1003) = 201 over 144 and 859 rows: 28.86 and 172.14
+    assert (len(tests), sum(tests)) == (201, 29)
+    other = {r["id"]: r["split"] for r in split.stratified_split(df, "y", "id", seed=7).collect()}
+    assert other != {k: v[0] for k, v in a.items()}
+
+
+def test_outlier_limits_and_binary_columns(spark):
+    train = spark.createDataFrame([(float(i), float(i % 10 == 0), None) for i in range(1, 12)] + [(500.0, 0.0, None)], "x double, f double, e double")
+    limits = outliers.fit_iqr(train, ["x", "f", "e", "absent"])
+    assert set(limits) == {"x", "f"}
+    q1, q3 = np.quantile([*range(1, 12), 500], [0.25, 0.75])
+    assert np.allclose(limits["x"], (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)))
+    masked = outliers.mask_outliers(train, limits)
+    assert masked.where("x IS NULL").count() == 1
+    # the 0/1 column has an interquartile range of zero: every one would go, so it is not offered
+    assert masked.where("f IS NULL").count() == train.where("f = 1").count() > 0
+    assert outliers.continuous_columns(train, ["x", "f"]) == ["x"]
+
+
+def _trapezoid(points):
+    points = sorted([(0.0, 0.0), *points])
+    return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:], strict=False))
+
+
+def test_auc_equals_area_under_roc_points(skewed):
+    value = metrics.auc(skewed, "y", "x").first()["auc"]
+    roc = [(r["fpr"], r["tpr"]) for r in metrics.roc_points(skewed, "y", "x").collect()]
+    assert np.isclose(value, _trapezoid(roc))
+    per_group = {r["g"]: r["auc"] for r in metrics.auc(skewed, "y", "x", ["g"]).collect()}
+    for g in "ab":
+        assert np.isclose(per_group[g], metrics.auc(skewed.where(F.col("g") == g), "y", "x").first()["auc"])
+
+
+def test_metrics_with_empty_cells_and_single_class_groups(spark):
+    data = [(1, 1, 0.9, "a", "u"), (0, 1, 0.8, "a", "u"), (1, 0, 0.2, "a", "v"), (0, 0, 0.1, "a", "v"), (1, 1, 0.7, "b", "u")]
+    df = spark.createDataFrame(data, "y int, pred int, p double, g string, h string")
+    row = metrics.confusion_metrics(df.where("y = 1 AND pred = 1"), "y", "pred").first()
+    assert (row["accuracy"], row["specificity"], row["npv"], row["mcc"], row["f1_score"]) == (1.0, 0.0, 0.0, 0.0, 1.0)
+    got = {(r["group_col"], r["group_value"]): r for r in metrics.group_metrics(df, "y", "pred", "p", ["g", "h"]).collect()}
+    assert set(got) == {("g", "a"), ("h", "u"), ("h", "v")}
+    assert got[("g", "a")]["auc"] == 0.75 and got[("g", "a")]["auc_hard"] == 0.5
+    report = {r["class"]: r for r in metrics.class_report(df, "y", "pred").collect()}
+    assert (report["1"]["support"], report["0"]["support"]) == (3, 2) and np.isclose(report["1"]["precision"], 2 / 3)
+    long = {r["metric"]: r["value"] for r in metrics.full_evaluation(df, "y", "pred", "p").collect()}
+    assert np.isclose(long["accuracy"], 0.6) and set(long) >= {"auc", "mcc", "ppv"}
+
+
+def test_co_missingness_against_numpy(spark):
+    rng = np.random.default_rng(0)
+    gone = rng.random((500, 4)) < [0.1, 0.4, 0.3, 0.0]
+    gone[:, 2] |= gone[:, 1] & (rng.random(500) < 0.5)
+    cols = ["a", "b", "c", "d"]
+    df = spark.createDataFrame([[None if g else 1.0 for g in row] for row in gone.tolist()], "a double, b double, c double, d double")
+    m = gone[:, :3].astype(float)
+    table = m.T @ (1 - m)
+    got = {(r["col_i"], r["col_j"]): r["n"] for r in missing.missing_present_table(df, cols).collect()}
+    assert got == {(cols[i], cols[j]): int(table[i, j]) for i in range(3) for j in range(3)}
+    expected = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / table.sum()
+    found = missing.co_missing_chi2(df, cols)
+    assert np.isclose(found["statistic"], ((table - expected) ** 2 / expected).sum()) and found["dof"] == 4
+    assert 0 <= found["p_value"] <= 1
+    corr = {(r["col_i"], r["col_j"]): r["corr"] for r in missing.nullity_correlation(df, cols).collect()}
+    assert set(corr) == {("a", "b"), ("a", "c"), ("b", "c")}
+    assert np.isclose(corr[("b", "c")], np.corrcoef(m[:, 1], m[:, 2])[0, 1])
+
+
+def test_co_missingness_without_gaps_or_table_raises(spark):
+    with pytest.raises(ValueError):
+        missing.co_missing_chi2(spark.range(5), ["id"])
+    with pytest.raises(ValueError):
+        missing.co_missing_chi2(spark.createDataFrame([(None,), (1,)], "a int"), ["a"])
+
+
+def test_missing_predictability(spark):
+    df = spark.range(400).select(
+        F.when(F.col("id") >= 100, F.col("id").cast("double")).alias("a"), F.col("id").cast("double").alias("b"),
+        F.lit(None).cast("double").alias("gone"))
+    got = {r["column"]: r for r in missing.missing_predictability(df, ["a", "b", "gone"]).collect()}
+    assert got["a"]["auc"] == 1.0 and got["a"]["flagged"] is False
+    assert got["b"]["auc"] is None and got["gone"]["note"] == "no variation in missingness"
+
+
+def test_files(spark, rows):
+    df = spark.createDataFrame([(1, "a,b", 0.0), (2, None, 2.5)], "k long, s string, x double")
+    for kind, read in (("csv", io.read_csv), ("json", io.read_json)):
+        path = shared_dir(spark)
+        io.write_table(df, path, kind)
+        assert rows(read(spark, path, df.schema)) == rows(df)
+    with pytest.raises(ValueError):
+        io.write_table([1, 2], shared_dir(spark))
+    cells = io.triplets(df, ["k"])
+    assert rows(cells) == [(2, "x", 2.5)]
+    assert rows(io.from_triplets(cells, ["k"], ["x"])) == [(2, 2.5)]
+    assert rows(settle(df)) == rows(df)
