@@ -253,7 +253,7 @@ def duration_filter(spark, sf):
 
 
 @query("attrition_funnel", """WITH r AS (SELECT o_custkey, o_orderkey,
-    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) > 5 AS late,
+    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) > 1 AS late,
     o_orderstatus = 'P' AS pending, o_totalprice < 30000 AS small FROM orders),
   s1 AS (SELECT * FROM r WHERE NOT late), s2 AS (SELECT * FROM s1 WHERE NOT pending),
   s3 AS (SELECT * FROM s2 WHERE NOT small),
@@ -266,12 +266,11 @@ def duration_filter(spark, sf):
   UNION ALL SELECT 4, 'pending', p1 - p2, n1 - n2 FROM c UNION ALL SELECT 5, 'After: pending', p2, n2 FROM c
   UNION ALL SELECT 6, 'small', p2 - p3, n2 - n3 FROM c UNION ALL SELECT 7, 'After: small', p3, n3 FROM c""")
 def attrition_funnel(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    o = table(spark, sf, "orders").withColumn("rn", F.row_number().over(w))
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice")
+    firsts = cohort.first_per_key(o.select("o_custkey", "o_orderdate", "o_orderkey"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    o = o.join(firsts.select("o_orderkey", F.lit(True).alias("is_first")), "o_orderkey", "left")
     rules = [
-        ("late", F.col("rn") > 5),
+        ("late", F.col("is_first").isNull()),
         ("pending", F.col("o_orderstatus") == "P"),
         ("small", F.col("o_totalprice") < 30000),
     ]

@@ -3,7 +3,7 @@
 A window without a partition key would sort the column in one task. Here equal values are first
 combined (so a value that fills a third of the rows becomes one row), then cut into ordered buckets
 at approximate quantiles. Each bucket is summed on its own, and the bucket totals, of which there
-are at most ``BUCKETS`` per group, supply the offsets.
+are at most ``MAX_BUCKETS`` per group, supply the offsets.
 """
 
 from __future__ import annotations
@@ -15,15 +15,29 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-MAX_DISTINCT = 1_000_000
+MAX_BUCKETS = 8192
+VALUES_PER_BUCKET = 50_000
+MAX_DISTINCT = 100_000
 
 
-def cut_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
-    """Approximate quantiles of ``value`` as ascending bucket borders for a Bucketizer."""
-    probs = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(F.col(value).cast("double"), probs, 10 * buckets)).first()[0] or []
-    return [-math.inf, *sorted(set(found)), math.inf]
+def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+    """Approximate quantiles of ``value`` as ascending bucket borders for a Bucketizer.
+
+    By default there are enough of them for about ``VALUES_PER_BUCKET`` distinct values each.
+    """
+    grid = buckets or MAX_BUCKETS
+    probs = [i / grid for i in range(1, grid)]
+    x = F.col(value).cast("double")
+    n, found = df.agg(F.approx_count_distinct(x), F.percentile_approx(x, probs, 10 * grid)).first()
+    if buckets is None and found:
+        wanted = min(MAX_BUCKETS, max(16, n // VALUES_PER_BUCKET))
+        found = found[:: max(1, len(found) // wanted)]
+    return as_borders(found)
+
+
+def as_borders(cuts: Sequence[float] | None) -> list[float]:
+    """Open-ended borders from cut points; there is always at least one inner border."""
+    return [-math.inf, *(sorted(set(cuts or [])) or [0.0]), math.inf]
 
 
 def add_bucket(df: DataFrame, value: str, name: str, borders: list[float]) -> DataFrame:

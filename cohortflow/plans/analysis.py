@@ -122,20 +122,47 @@ class TargetRun:
     """Everything one label's run produced. ``scored`` holds the test rows of every model."""
 
     label: str
+    key: str
     features: list[str]
     train: DataFrame
     test: DataFrame
     imputer: KnnImputer
     variants: dict[str, Variant]
     scored: DataFrame
+    fits: dict
+    moments: dict
     settings: dict[str, dict] = field(default_factory=dict)
 
+    def score(self, name: str, df: DataFrame) -> DataFrame:
+        """Score any rows with model ``name``: the run's imputer, then the model's own transform."""
+        ready = self.imputer.transform(df)
+        kind = self.variants[name].transform
+        if kind == "normal":
+            ready = _normal(self.train, ready, self.fits)[1]
+        elif kind == "standard":
+            ready = dist.standardise(ready, self.moments)
+        return _scored(self.variants[name].model, ready, self.features, self.key, self.label, name)
+
     def metrics(self) -> DataFrame:
         return metrics.full_evaluation(self.scored, "label", "pred", "p", ["model", "target"])
 
-    def importance(self, model: str, key: str, top: int = 20) -> DataFrame:
-        v = self.variants[model]
-        return explain.shap_importance(explain.model_shap(self.test, key, self.features, v.model, self.train), top)
+    def importance(self, name: str, top: int = 20) -> DataFrame:
+        """Features by mean absolute contribution on the test rows."""
+        kind, model = self.variants[name].transform, self.variants[name].model
+        train, test = self.train, self.test
+        if kind == "normal":
+            train, test = _normal(train, test, self.fits)
+        elif kind == "standard":
+            train, test = (dist.standardise(df, self.moments) for df in (train, test))
+        return explain.shap_importance(explain.model_shap(test, self.key, self.features, model, train), top)
+
+
+def _normal(train: DataFrame, other: DataFrame, fits: dict) -> list[DataFrame]:
+    """Normal scores of both tables; ranks, where no family fits, are taken among the training rows."""
+    columns = [c for c in train.columns if c in other.columns]
+    both = train.select(*columns, F.lit(True).alias("_train")).unionByName(other.select(*columns, F.lit(False).alias("_train")))
+    scores = dist.normal_scores(both, fits, F.col("_train"))
+    return [scores.where(c).drop("_train") for c in (F.col("_train"), ~F.col("_train"))]
 
 
 def run_target(
@@ -168,10 +195,8 @@ def run_target(
 
     if fits is None:
         fits = dist.best_fits(train, continuous_columns(train, features))
-    both = train.withColumn("_train", F.lit(True)).unionByName(test.withColumn("_train", F.lit(False)))
-    scores = dist.normal_scores(both, fits, F.col("_train"))
     moments = dist.fit_standard(train, features)
-    normal = [scores.where(F.col("_train")).drop("_train"), scores.where(~F.col("_train")).drop("_train")]
+    normal = _normal(train, test, fits)
     inputs = {
         "lr_encoded": (train, test, "none"),
         "lr_normalized": (*normal, "normal"),
@@ -189,7 +214,8 @@ def run_target(
             model, settings[name] = models.fit_gbt(train, features, label, params, seed), params
         variants[name] = Variant(model)
         scored.append(_scored(model, test, features, key, label, name))
-    return TargetRun(label, features, train, test, imputer, variants, settle(union_all(scored)), settings)
+    done = settle(union_all(scored))
+    return TargetRun(label, key, features, train, test, imputer, variants, done, fits, moments, settings)
 
 
 def _scored(model, df: DataFrame, features, key: str, label: str, name: str) -> DataFrame:
