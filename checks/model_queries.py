@@ -10,6 +10,7 @@ from cohortflow.functions.numeric import round_half_away
 from cohortflow.operators import explain, fairness, impute, models, outliers
 from cohortflow.operators.split import stratified_split
 from cohortflow.plans import analysis
+from cohortflow.session import settle
 
 GAPS = """g AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS size,
     CASE WHEN p_partkey % 7 <> 1 THEN p_retailprice END AS price, CAST((p_partkey * 37) % 101 AS DOUBLE) AS weight,
@@ -81,7 +82,7 @@ def text_features(spark, sf):
         F.length(F.regexp_replace(t, "[^0-9]", "")).cast("double").alias("digits"),
         F.length(F.regexp_replace(t, "[^A-Z]", "")).cast("double").alias("capitals"),
     )
-    return table(spark, sf, "labels").join(docs, "doc_id").persist()
+    return settle(table(spark, sf, "labels").join(docs, "doc_id"))
 
 
 @query("fit_logistic")

@@ -25,14 +25,12 @@ def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[fl
 
     By default there are enough of them for about ``VALUES_PER_BUCKET`` distinct values each.
     """
-    grid = buckets or MAX_BUCKETS
-    probs = [i / grid for i in range(1, grid)]
     x = F.col(value).cast("double")
-    n, found = df.agg(F.approx_count_distinct(x), F.percentile_approx(x, probs, 10 * grid)).first()
-    if buckets is None and found:
-        wanted = min(MAX_BUCKETS, max(16, n // VALUES_PER_BUCKET))
-        found = found[:: max(1, len(found) // wanted)]
-    return as_borders(found)
+    if buckets is None:
+        distinct = df.agg(F.approx_count_distinct(x)).first()[0]
+        buckets = min(MAX_BUCKETS, max(16, distinct // VALUES_PER_BUCKET))
+    probs = [i / buckets for i in range(1, buckets)]
+    return as_borders(df.agg(F.percentile_approx(x, probs, 10 * buckets)).first()[0])
 
 
 def as_borders(cuts: Sequence[float] | None) -> list[float]:

@@ -191,7 +191,6 @@ def run_target(
     if treat is None:
         treat = continuous_columns(train, features)
     train, test, imputer = preprocess(train, test, features, treat, key, k)
-    train, test = train.persist(), test.persist()
 
     if fits is None:
         fits = dist.best_fits(train, continuous_columns(train, features))
