@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The first row of each key by ``order``, which must be unique within the key.
+def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
+    """The first (or last) row of each key by ``order``, which must be unique within the key.
 
     A minimum over structs combines before the shuffle, so a key with very many rows sends one
     row per task instead of its whole group to a sort.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    best = F.min(F.struct(*order, *rest)).alias("_best")
+    best = (F.max if last else F.min)(F.struct(*order, *rest)).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, "_best.*").select(*df.columns)
 
 

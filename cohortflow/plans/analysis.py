@@ -141,7 +141,7 @@ class TargetRun:
             ready = _normal(self.train, ready, self.fits)[1]
         elif kind == "standard":
             ready = dist.standardise(ready, self.moments)
-        return _scored(self.variants[name].model, ready, self.features, self.key, self.label, name)
+        return _with_groups(_scored(self.variants[name].model, ready, self.features, self.key, self.label, name), df, self.key)
 
     def metrics(self) -> DataFrame:
         return metrics.full_evaluation(self.scored, "label", "pred", "p", ["model", "target"])
@@ -186,6 +186,8 @@ def run_target(
     """
     features = list(features)
     parts = settle(stratified_split(df, label, key, seed=seed))
+    if not parts.groupBy(key).count().where(F.col("count") > 1).isEmpty():
+        raise ValueError(f"{key} must identify the rows")
     keep = [c for c in parts.columns if c != "split"]
     train, test = (parts.where(F.col("split") == s).select(*keep) for s in ("train", "test"))
     if treat is None:
@@ -213,17 +215,21 @@ def run_target(
             model, settings[name] = models.fit_gbt(train, features, label, params, seed), params
         variants[name] = Variant(model)
         scored.append(_scored(model, test, features, key, label, name))
-    done = settle(union_all(scored))
+    done = settle(_with_groups(union_all(scored), parts, key))
     return TargetRun(label, key, features, train, test, imputer, variants, done, fits, moments, settings)
 
 
 def _scored(model, df: DataFrame, features, key: str, label: str, name: str) -> DataFrame:
-    groups = [c for c in DEMOGRAPHICS if c in df.columns]
-    extra = [c for c in groups if c not in (key, label)]
-    out = models.predict(model, df, features, keep=[key, label, *extra])
+    out = models.predict(model, df, features, keep=[key, label])
     return out.withColumnRenamed(label, "label").withColumns({"model": F.lit(name), "target": F.lit(label)})
 
 
+def _with_groups(scored: DataFrame, source: DataFrame, key: str) -> DataFrame:
+    """Demographic columns by key from the untouched rows, not from imputed ones."""
+    groups = [c for c in DEMOGRAPHICS if c in source.columns]
+    return scored.join(source.select(key, *groups), key) if groups else scored
+
+
 def model_grid(df: DataFrame, labels: Sequence[str], features: Sequence[str], **options) -> tuple[DataFrame, dict[str, TargetRun]]:
     """Every model for every label: long metric table ``(model, target, metric, value)`` and the runs."""
     runs = {y: run_target(df, y, features, **options) for y in labels}

@@ -84,3 +84,35 @@ def test_time_arithmetic(spark):
         whole_hours(F.col("s"), F.col("e") - F.expr("INTERVAL '1' MINUTE")).alias("h"), calendar_years(F.col("y"), F.col("e")).alias("years")
     ).first()
     assert (row["h"], row["years"]) == (23, 1)
+
+
+def test_adaptive_execution_splits_the_hot_key(spark):
+    """With small limits in place of the cluster's, the oversized join partition is split."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16KB",
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        anchors = spark.range(500).select("id", F.lit(T0).cast("timestamp_ntz").alias("intime")).withColumn(
+            "day_end", plus(F.col("intime"), hours=24)
+        )
+        events = spark.range(0, 200_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500).alias("id"),
+            F.lit(T0).cast("timestamp_ntz").alias("ts"), F.col("id").alias("v"),
+        )
+        counts = windows.events_in_window(anchors, events, ["id"], "ts", "intime", "day_end").groupBy("id").agg(F.count("v").alias("n"))
+        got = {r["id"]: r["n"] for r in counts.collect()}
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(got.values()) == 200_000 and got[0] >= 66_667
+    assert "skew=true" in plan
