@@ -254,6 +254,12 @@ def co_missing_chi2(spark, sf):
     return spark.createDataFrame([(round(found["statistic"], 6), found["dof"])], "statistic double, dof int")
 
 
+@query("co_missing_groups")
+def co_missing_groups(spark, sf):
+    groups = {s: F.col("status") == s for s in ("F", "O", "P")}
+    return missing.co_missing_by_group(messy(spark, sf), GAPPY, groups)
+
+
 @query("nullity_corr", f"""WITH {MESSY}, m AS (SELECT """ + ", ".join(
     f"CASE WHEN {c} IS NULL THEN 1.0e0 ELSE 0.0e0 END AS {c}" for c in GAPPY[:4]) + " FROM messy) " + " UNION ALL ".join(
     f"SELECT '{a}' AS col_i, '{b}' AS col_j, round(corr({a}, {b}), 9) AS corr FROM m"

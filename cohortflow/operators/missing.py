@@ -65,6 +65,20 @@ def co_missing_chi2(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {"statistic": stat, "dof": dof, "p_value": chi2_sf(stat, dof) if dof else 1.0}
 
 
+def co_missing_by_group(df: DataFrame, columns: Sequence[str], groups: dict[str, Column]) -> DataFrame:
+    """:func:`co_missing_chi2` within each named row condition; ``note`` says why a group has no test."""
+    rows = []
+    for name, condition in groups.items():
+        try:
+            found = co_missing_chi2(df.where(condition), columns)
+            rows.append((name, found["statistic"], found["dof"], found["p_value"], found["p_value"] >= 0.05, None))
+        except ValueError as e:
+            rows.append((name, None, None, None, None, str(e)))
+    return df.sparkSession.createDataFrame(
+        rows, "group string, statistic double, dof int, p_value double, at_random boolean, note string"
+    )
+
+
 def nullity_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Correlation of the null indicators of each pair of columns; constant indicators are left out."""
     both = co_missing_counts(df, columns)

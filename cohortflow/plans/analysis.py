@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortflow.operators import dist, encode, explain, fairness, metrics, models
 from cohortflow.operators.impute import KnnImputer, preprocess
 from cohortflow.operators.outliers import continuous_columns
+from cohortflow.operators.scores import first_match
 from cohortflow.operators.split import stratified_split
 from cohortflow.session import settle
 from cohortflow.sources.io import union_all
@@ -77,6 +78,17 @@ def encodings() -> dict[str, Column]:
     }
 
 
+def name_groups(df: DataFrame) -> DataFrame:
+    """Add ``group_name``, the readable form of ``group_col`` and ``group_value``, where one is known."""
+    rules = [
+        ((F.col("group_col") == c) & (F.col("group_value").cast("double") == float(v)), F.lit(name))
+        for c, names in VALUE_NAMES.items()
+        for v, name in names.items()
+    ]
+    numeric = F.col("group_col").isin(*VALUE_NAMES) & F.col("group_value").rlike(r"^[0-9]+(\.0)?$")
+    return df.withColumn("group_name", F.when(numeric, first_match(rules)))
+
+
 def prepare(
     df: DataFrame,
     drop: Sequence[str],

@@ -213,6 +213,22 @@ def test_co_missingness_without_gaps_or_table_raises(spark):
         missing.co_missing_chi2(spark.createDataFrame([(None,), (1,)], "a int"), ["a"])
 
 
+def test_co_missingness_by_group(spark):
+    df = spark.createDataFrame(
+        [("x", 1.0, None), ("x", None, 1.0), ("x", None, None), ("x", None, 2.0), ("y", 1.0, 1.0)], "g string, a double, b double")
+    got = {r["group"]: r for r in missing.co_missing_by_group(df, ["a", "b"], {g: F.col("g") == g for g in "xy"}).collect()}
+    # two missing with the other present against one the other way round, nothing on the diagonal
+    assert np.isclose(got["x"]["statistic"], 3.0) and got["x"]["dof"] == 1 and got["x"]["note"] is None
+    assert got["y"]["statistic"] is None and got["y"]["note"] == "no missing values"
+
+
+def test_group_names(spark):
+    from cohortflow.plans.analysis import name_groups
+
+    df = spark.createDataFrame([("race", "4"), ("gender", "1.0"), ("lang", "en"), ("race", "9"), ("gender", None)], "group_col string, group_value string")
+    assert [r["group_name"] for r in name_groups(df).collect()] == ["White", "Male", None, None, None]
+
+
 def test_missing_predictability(spark):
     df = spark.range(400).select(
         F.when(F.col("id") >= 100, F.col("id").cast("double")).alias("a"), F.col("id").cast("double").alias("b"),
