@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortflow.llm import packing, token_files
+from cohortflow.llm import neighbours, packing, quality_rules, token_files, toxicity
+from cohortflow.llm.labelled import held_out
 from cohortflow.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +42,24 @@ def op3(spark, sf):
 def op4(spark, sf):
     path = token_files.write_tokens(table(spark, sf, "documents"), public_tokenizers.path(WORD_BPE), shared_dir(spark))
     return token_files.checksums(spark, path)
+
+
+@query("op5_quality_rules")
+def op5(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality_rules.fit(docs, table(spark, sf, "labels"))
+    return quality_rules.judge(docs, model)
+
+
+@query("op9_neighbour_votes")
+def op9(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = neighbours.fit(docs, table(spark, sf, "labels"))
+    return neighbours.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_toxicity")
+def op10(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -21,6 +21,10 @@ LAST_ID = 2**63 - 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
+# Everything but ASCII letters, digits and bytes of longer characters separates bare words
+NOT_BARE = np.ones(256, bool)
+NOT_BARE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
 _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
@@ -100,9 +104,9 @@ def chunks(batch: pa.RecordBatch, text: int = 1) -> Iterator[tuple[pa.RecordBatc
         yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, off: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the n + 1 positions among the words at which rows begin."""
-    word = ~SPACE[buf]
+    word = ~space[buf]
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
