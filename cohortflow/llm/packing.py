@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm.text import chunks, rows_with
-from cohortflow.llm.tokens import WordEncoder, ship_spec
+from cohortflow.llm.tokens import shared_encoder, ship_spec
 from cohortflow.session import settle
 
 LENGTH = 4096
@@ -151,7 +151,7 @@ def pack(
     end = np.array([] if end_id is None else [end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(spec.value), TaskContext.get().partitionId()
+        encoder, part = shared_encoder(spec.value), TaskContext.get().partitionId()
         windows = Windows(length, open_windows, least_cut, _sequence_base(0, part))
         for batch in batches:
             for rows, buf, off in chunks(batch):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortflow.llm.text import chunks, rows_with
-from cohortflow.llm.tokens import WordEncoder, ship_spec
+from cohortflow.llm.tokens import shared_encoder, ship_spec
 
 ROWS = "part int, doc_id long, local_start long, n_tokens long, tokens array<int>"
 END_ID = 2
@@ -40,7 +40,7 @@ def write_tokens(
     end = np.array([] if end_id is None else [end_id], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, total = WordEncoder(spec.value), TaskContext.get().partitionId(), 0
+        encoder, part, total = shared_encoder(spec.value), TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows, buf, off in chunks(batch):
                 ids, at = encoder.encode(buf, off)
