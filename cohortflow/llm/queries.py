@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import neighbours, packing, quality_rules, token_files, toxicity
+from cohortflow.llm import neighbours, packing, quality_rules, style_tree, token_files, topk, toxicity
 from cohortflow.llm.labelled import held_out
 from cohortflow.session import shared_dir
 
@@ -33,6 +33,11 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+@query("op1_style_tree")
+def op1(spark, sf):
+    return style_tree.extract(table(spark, sf, "pages"))
+
+
 @query("op3_packing")
 def op3(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(WORD_BPE))
@@ -63,3 +68,17 @@ def op10(spark, sf):
     docs = table(spark, sf, "documents")
     model = toxicity.fit(docs, table(spark, sf, "labels"))
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, 1 + least(len(q.v), len(c.v))), i -> q.v[i] * c.v[i])) AS BIGINT) AS score
+    FROM v q, v c WHERE q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@query("op7_impact_top_k", TOP_K_SQL)
+def op7(spark, sf):
+    return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)

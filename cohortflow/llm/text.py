@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 21
+BATCH_ROWS = 1000
 U64 = np.uint64
 LAST_ID = 2**63 - 1
 
@@ -138,7 +139,11 @@ def shingles(hashes: np.ndarray, begin: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def rows_with(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
-    """Only the wanted columns, so extra ones can neither clash nor be shuffled."""
+    """Only the wanted columns, so extra ones can neither clash nor be shuffled.
+
+    Sets the session's Arrow batches to ``BATCH_ROWS`` rows at most: texts are long, and a batch is held as a whole.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 
 
