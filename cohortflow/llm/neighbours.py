@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from cohortflow.llm.labelled import calibrate, logistic, training_rows
 from cohortflow.llm.quality_rules import SYMBOL, Parsed, _per_row
-from cohortflow.llm.text import chunks, rows_with
+from cohortflow.llm.text import chunks, kept_rows, rows_with
 
 TRAIN_ROWS = 4000
 TERMS = 4096
@@ -32,6 +32,7 @@ NEIGHBOURS = 15
 BLOCK = 256
 SHAPE_WEIGHT = 0.25
 SHARPNESS = 4
+THRESHOLD = 0.3
 
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
@@ -165,3 +166,15 @@ def score(docs: DataFrame, model: NeighbourModel | None, key: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays([rows.column(0).slice(i, j - i), pa.array(p.astype(np.float64))], names=["doc_id", "score"])
 
     return rows_with(docs, key, text).mapInArrow(run, "doc_id long, score double")
+
+
+def keep(docs: DataFrame, model: NeighbourModel | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows whose score reaches ``threshold``, as they are and with all their columns; all without a model."""
+
+    def wanted(buf: np.ndarray, off: np.ndarray, model: dict | None) -> np.ndarray:
+        if not model:
+            return np.ones(len(off) - 1, bool)
+        own = NeighbourModel(**model)
+        return np.concatenate([own.score(block) >= threshold for _, _, block in term_matrix(buf, off)])
+
+    return kept_rows(docs, text, wanted, model and vars(model))

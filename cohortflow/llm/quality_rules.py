@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from cohortflow.llm.labelled import calibrate, logistic, training_rows
-from cohortflow.llm.text import SPACE, U64, chunks, mix, prefix_hash, row_of, rows_with, span_hash, words
+from cohortflow.llm.text import SPACE, U64, chunks, kept_rows, mix, prefix_hash, row_of, rows_with, span_hash, words
 
 TRAIN_ROWS = 3000
 THRESHOLD = 0.5
@@ -197,3 +197,14 @@ def judge(
                 )
 
     return rows_with(docs, key, text).mapInArrow(run, f"{COUNTS}, base_failed boolean, probability double, kept boolean")
+
+
+def keep(docs: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows that ``judge`` keeps, as they are and with all their columns."""
+
+    def wanted(buf: np.ndarray, off: np.ndarray, model: dict | None) -> np.ndarray:
+        t = Parsed(buf, off)
+        p = QualityModel(**model).probability(t) if model else np.ones(len(off) - 1)
+        return ~base_failed(base_counts(t)) & (p >= threshold)
+
+    return kept_rows(docs, text, wanted, model and vars(model))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import neighbours, packing, quality_rules, style_tree, token_files, topk, toxicity
+from cohortflow.llm import jaccard, neighbours, packing, quality_rules, style_tree, suffixes, token_files, topk, toxicity
 from cohortflow.llm.labelled import held_out
 from cohortflow.session import shared_dir
 
@@ -38,6 +38,11 @@ def op1(spark, sf):
     return style_tree.extract(table(spark, sf, "pages"))
 
 
+@query("op2_suffix_dedup")
+def op2(spark, sf):
+    return suffixes.remove_repeats(table(spark, sf, "documents")).drop("kept", "spans")
+
+
 @query("op3_packing")
 def op3(spark, sf):
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path(WORD_BPE))
@@ -60,7 +65,7 @@ def op5(spark, sf):
 def op9(spark, sf):
     docs = table(spark, sf, "documents")
     model = neighbours.fit(docs, table(spark, sf, "labels"))
-    return neighbours.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return neighbours.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= neighbours.THRESHOLD).cast("int").alias("predicted"))
 
 
 @query("op10_toxicity")
@@ -82,3 +87,8 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 @query("op7_impact_top_k", TOP_K_SQL)
 def op7(spark, sf):
     return topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op6_jaccard_join")
+def op6(spark, sf):
+    return jaccard.near_duplicates(table(spark, sf, "documents"), percent=90, n=3)

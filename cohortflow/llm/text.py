@@ -166,3 +166,17 @@ def by_chunk(fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBat
                 yield fn(part, buf, off)
 
     return run
+
+
+def kept_rows(docs: DataFrame, text: str, wanted: Callable[[np.ndarray, np.ndarray, object], np.ndarray], model: object) -> DataFrame:
+    """The rows of ``docs`` for which ``wanted(bytes, offsets, model)`` holds; the model is broadcast."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, buf, off in chunks(batch, place):
+                yield part.filter(pa.array(wanted(buf, off, shipped.value), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
