@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import jaccard, neighbours, packing, quality_rules, style_tree, suffixes, token_files, topk, toxicity
+from cohortflow.llm import jaccard, neighbours, packing, pieces, quality_rules, style_tree, suffixes, token_files, topk, toxicity
 from cohortflow.llm.labelled import held_out
 from cohortflow.session import shared_dir
 
@@ -17,6 +17,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -92,3 +93,8 @@ def op7(spark, sf):
 @query("op6_jaccard_join")
 def op6(spark, sf):
     return jaccard.near_duplicates(table(spark, sf, "documents"), percent=90, n=3)
+
+
+@query("op8_piece_sampling")
+def op8(spark, sf):
+    return pieces.sample(table(spark, sf, "documents"), public_tokenizers.path(PIECES))

@@ -98,10 +98,10 @@ def runs(off: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def chunks(batch: pa.RecordBatch, text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def chunks(batch: pa.RecordBatch, text: int = 1, size: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The batch in runs of rows, each with its bytes and offsets."""
     buf, off = flat(batch.column(text))
-    for i, j in runs(off):
+    for i, j in runs(off, size):
         yield batch.slice(i, j - i), buf[off[i] : off[j]], off[i : j + 1] - off[i]
 
 
@@ -157,17 +157,6 @@ def shown(key: str | Column = "doc_id") -> Column:
     return F.nullif(F.col(key) if isinstance(key, str) else key, F.lit(LAST_ID))
 
 
-def by_chunk(fn: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch], text: int = 1):
-    """A function for ``mapInArrow`` from one on chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, buf, off in chunks(batch, text):
-                yield fn(part, buf, off)
-
-    return run
-
-
 def kept_rows(docs: DataFrame, text: str, wanted: Callable[[np.ndarray, np.ndarray, object], np.ndarray], model: object) -> DataFrame:
     """The rows of ``docs`` for which ``wanted(bytes, offsets, model)`` holds; the model is broadcast."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
