@@ -10,8 +10,6 @@ from cohortflow.functions.numeric import (
     decimal_round,
     round_half_away,
     safe_ratio,
-    stable_avg,
-    stable_sum,
 )
 from cohortflow.functions.times import calendar_years, plus, whole_hours, whole_minutes
 from cohortflow.operators import codes, cohort, encode, pivot, scores, windows
@@ -19,18 +17,19 @@ from cohortflow.plans.clinical import body_mass_index, mortality
 from cohortflow.session import shared_dir
 from cohortflow.sources import io
 
-# shared SQL fragments: the same sums in whole millionths as the engine uses
+# shared SQL fragments
 ANCHORS = """anchors AS (
   SELECT user_id, min(ts) AS intime, max(ts) AS outtime FROM events GROUP BY user_id)"""
-ROUND2 = "(sign({x}) * floor(abs({x}) * 100.0e0 + 0.5e0) / 100.0e0)"
+# a half within 1e-12 counts as one: sums in another order differ in the last bit
+ROUND2 = "(sign({x}) * floor(abs({x}) * (100.0e0 * (1 + 1.0e-12)) + 0.5e0) / 100.0e0)"
 
 
 def sql_sum(x: str) -> str:
-    return f"(sum(CAST(floor(({x}) * 1000000.0e0 + 0.5e0) AS DOUBLE)) / 1000000.0e0)"
+    return f"sum(CAST({x} AS DOUBLE))"
 
 
 def sql_avg(x: str) -> str:
-    return f"({sql_sum(x)} / nullif(count({x}), 0))"
+    return f"avg(CAST({x} AS DOUBLE))"
 
 
 def sql_round2(x: str) -> str:
@@ -85,11 +84,11 @@ def csv_roundtrip(spark, sf):
     return io.read_csv(spark, path, "o_orderkey long, o_orderpriority string, o_totalprice double")
 
 
-@query("json_roundtrip", f"""SELECT event_type, count(*) AS n, {sql_sum("value")} AS total FROM events GROUP BY event_type""")
+@query("json_roundtrip", f"""SELECT event_type, count(*) AS n, round({sql_sum("value")}, 4) AS total FROM events GROUP BY event_type""")
 def json_roundtrip(spark, sf):
     path = shared_dir(spark)
     small = table(spark, sf, "events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), stable_sum(F.col("value")).alias("total")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")
     )
     io.write_table(small, path, "json")
     return io.read_json(spark, path, "event_type string, n long, total double")
@@ -423,7 +422,7 @@ def year_diff_age(spark, sf):
 
 @query("star_assembly", f"""WITH {DAY_ONE},
   v AS (SELECT user_id, max(value) AS view_max FROM day_one WHERE event_type = 'view' GROUP BY user_id),
-  c AS (SELECT user_id, {sql_sum("value")} AS click_sum FROM day_one WHERE event_type = 'click' GROUP BY user_id),
+  c AS (SELECT user_id, round({sql_sum("value")}, 4) AS click_sum FROM day_one WHERE event_type = 'click' GROUP BY user_id),
   e AS (SELECT user_id, count(*) AS errors FROM day_one WHERE event_type = 'error' GROUP BY user_id),
   p AS (SELECT user_id, min(ts) AS first_purchase FROM events WHERE event_type = 'purchase' GROUP BY user_id),
   s AS (SELECT user_id, {sql_round2(sql_avg("value"))} AS signup_avg FROM events WHERE event_type = 'signup' GROUP BY user_id),
@@ -441,10 +440,10 @@ def star_assembly(spark, sf):
 
     parts = [
         of(day, "view").agg(F.max("value").alias("view_max")),
-        of(day, "click").agg(stable_sum(F.col("value")).alias("click_sum")),
+        of(day, "click").agg(F.round(F.sum("value"), 4).alias("click_sum")),
         of(day, "error").agg(F.count(F.lit(1)).alias("errors")),
         of(ev, "purchase").agg(F.min("ts").alias("first_purchase")),
-        of(ev, "signup").agg(round_half_away(stable_avg(F.col("value"))).alias("signup_avg")),
+        of(ev, "signup").agg(round_half_away(F.avg(F.col("value"))).alias("signup_avg")),
         ev.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events")),
     ]
     wide = windows.attach(anchors(spark, sf).select("user_id"), parts, key, fill={"errors": 0})
@@ -470,13 +469,14 @@ def dim_attach(spark, sf):
 
 
 @query("flag_and_sum", f"""WITH {ANCHORS}, x AS (SELECT user_id, ts, value FROM events WHERE event_type = 'purchase')
-  SELECT a.user_id, max(CASE WHEN x.ts IS NOT NULL THEN 1 ELSE 0 END) AS any_purchase, {sql_sum("x.value")} AS total
+  SELECT a.user_id, max(CASE WHEN x.ts IS NOT NULL THEN 1 ELSE 0 END) AS any_purchase, round({sql_sum("x.value")}, 4) AS total
   FROM anchors a LEFT JOIN x ON a.user_id = x.user_id AND x.ts BETWEEN a.intime AND a.intime + INTERVAL '24' HOUR
   GROUP BY a.user_id""")
 def flag_and_sum(spark, sf):
     features = [pivot.Feature("any_purchase", ("purchase",), "flag"), pivot.Feature("total", ("purchase",), "sum")]
     wide = pivot.pivot_features(day_one(spark, sf), ["user_id"], features, "event_type", "value")
-    return windows.attach(anchors(spark, sf).select("user_id"), [wide], ["user_id"], fill={"any_purchase": 0})
+    out = windows.attach(anchors(spark, sf).select("user_id"), [wide], ["user_id"], fill={"any_purchase": 0})
+    return out.withColumn("total", F.round("total", 4))
 
 
 @query("bounded_avg", f"""SELECT c.c_custkey, {sql_round2(sql_avg("o.o_totalprice"))} AS avg_price FROM customer c
@@ -486,7 +486,7 @@ def bounded_avg(spark, sf):
     o = cohort.within(table(spark, sf, "orders"), "o_totalprice", 3000, 300000)
     people = table(spark, sf, "customer").select("c_custkey")
     rows = people.join(o, F.col("c_custkey") == F.col("o_custkey"))
-    return rows.groupBy("c_custkey").agg(round_half_away(stable_avg(F.col("o_totalprice"))).alias("avg_price"))
+    return rows.groupBy("c_custkey").agg(round_half_away(F.avg(F.col("o_totalprice"))).alias("avg_price"))
 
 
 @query("key_intersect", """SELECT l_orderkey FROM lineitem WHERE l_quantity > 40 INTERSECT

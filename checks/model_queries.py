@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.profile_queries import LABELLED, labelled_docs
 from checks.registry import query, table
 from cohortflow.functions.numeric import round_half_away
-from cohortflow.operators import explain, fairness, impute, models, outliers
+from cohortflow.operators import encode, explain, fairness, impute, models, outliers
 from cohortflow.operators.split import stratified_split
 from cohortflow.plans import analysis
 from cohortflow.session import settle
@@ -101,9 +101,10 @@ def fit_gbt(spark, sf):
 
 @query("search_grid")
 def search_grid(spark, sf):
+    """All eight settings of a space, then four around the best of them."""
     space = {"max_depth": [2, 3], "n_estimators": [3, 5], "learning_rate": [0.1, 0.3]}
     _, settings, score = models.search(
-        text_features(spark, sf), TEXT, "quality", space, n_random=2, grid_limit=2, folds=2, key="doc_id"
+        text_features(spark, sf), TEXT, "quality", space, budget=12, n_random=8, refine=models.Around(), key="doc_id"
     )
     return spark.createDataFrame([(*settings.values(), score)], ", ".join(
         [*[f"{n} {'double' if isinstance(v, float) else 'long'}" for n, v in settings.items()], "auc double"]))
@@ -157,12 +158,13 @@ def rule_score(df):
 
 
 @query("forced_value", f"""WITH {LABELLED}, f AS (
-    SELECT doc_id, n_chars, toxic, v AS lang, 'lang' AS forced_col, v AS forced_value FROM d, (VALUES ('en'), ('fr'), ('de')) t(v)
+    SELECT doc_id, n_chars, toxic, v AS lang, 'lang' AS forced_col, v AS forced_value FROM d, (SELECT DISTINCT lang AS v FROM d)
     UNION ALL SELECT doc_id, n_chars, v, lang, 'toxic', CAST(v AS VARCHAR) FROM d, (VALUES (0), (1)) t(v))
   SELECT forced_col, forced_value, count(*) AS n, round(avg(p), 9) AS mean_p, min(p) AS min_p, max(p) AS max_p
   FROM (SELECT *, {RULE} AS p FROM f) GROUP BY forced_col, forced_value""")
 def forced_value(spark, sf):
-    forced = fairness.forced_values(labelled_docs(spark, sf), {"lang": ["en", "fr", "de"], "toxic": [0, 1]})
+    d = labelled_docs(spark, sf)
+    forced = fairness.forced_values(d, {"lang": encode.category_names(d, "lang", 50), "toxic": [0, 1]})
     return rule_score(forced).groupBy("forced_col", "forced_value").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 9).alias("mean_p"), F.min("p").alias("min_p"), F.max("p").alias("max_p")
     )
@@ -179,10 +181,17 @@ def group_score_hist(spark, sf):
     return out.select("group_col", "group_value", "bin", "n")
 
 
-@query("forced_density")
+@query("forced_density", f"""WITH {LABELLED}, f AS (SELECT n_chars, toxic, v AS lang, 'lang' AS forced_col, v AS forced_value
+    FROM d, (SELECT DISTINCT lang AS v FROM d)), e AS (SELECT forced_col, forced_value, {RULE} AS p FROM f),
+  s AS (SELECT forced_col, forced_value, count(*) AS n, stddev_samp(p) * pow(count(*), -0.2e0) AS h, min(p) AS lo, max(p) AS hi FROM e GROUP BY ALL),
+  g AS (SELECT s.*, CAST(r AS INTEGER) AS point, (lo - 3 * h) + ((hi + 3 * h) - (lo - 3 * h)) * r / 49.0e0 AS x FROM s, range(50) t(r))
+  SELECT g.forced_col, g.forced_value, g.point, round(g.x, 6) AS x,
+    round(sum(exp(-0.5e0 * ((g.x - e.p) / h) * ((g.x - e.p) / h)) / (n * h * sqrt(2 * pi()))), 6) AS density
+  FROM g JOIN e ON e.forced_value = g.forced_value GROUP BY ALL""")
 def forced_density(spark, sf):
-    out = fairness.forced_score_density(labelled_docs(spark, sf), {"lang": ["en", "fr"]}, rule_score, points=50)
-    return out.withColumn("density", round_half_away(F.col("density"), 6))
+    d = labelled_docs(spark, sf)
+    out = fairness.forced_score_density(d, {"lang": encode.category_names(d, "lang", 50)}, rule_score, points=50)
+    return out.withColumns({"x": F.round("x", 6), "density": F.round("density", 6)})
 
 
 QUICK = {"n_estimators": 5, "max_depth": 3}

@@ -10,6 +10,7 @@ from cohortflow.functions.distributions import normal_cdf_column, normal_quantil
 from cohortflow.functions.numeric import round_half_away
 from cohortflow.operators import dist, encode, metrics, missing, ordered, outliers, profile, split
 from cohortflow.plans import analysis
+from cohortflow.sources import io
 
 # orders with gaps made by rule; the same expressions run on both engines
 MESSY_COLUMNS = {
@@ -34,7 +35,7 @@ def messy(spark, sf):
     f"""CASE WHEN o_orderpriority = '{p}' THEN 1.0e0 ELSE 0.0e0 END AS "o_orderpriority_{p}" """
     for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")) + " FROM orders")
 def one_hot(spark, sf):
-    return encode.one_hot(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"])
+    return encode.one_hot(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderpriority"], most=50)
 
 
 @query("missing_count", f"WITH {MESSY} SELECT *, {MISSING} AS missing_count FROM messy")
@@ -53,15 +54,14 @@ def sql_summary(table_name: str, column: str, numeric: bool, quoted: bool = True
     if not numeric:
         none = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in ("mean", "variance", "std_dev", "median", '"min"', '"max"', '"sum"'))
         return f"SELECT '{column}' AS \"column\", 'Categorical' AS type, {none}, count({column}) AS \"count\" FROM {table_name}"
-    total = f"(sum(CAST(floor({column} * 10000.0e0 + 0.5e0) AS DOUBLE)) / 10000.0e0)"
     parts = {
-        "mean": f"({total} / nullif(count({column}), 0))",
+        "mean": sql_avg(column),
         "variance": f"var_samp({column})",
         "std_dev": f"sqrt(var_samp({column}))",
         "median": f"quantile_cont({column}, 0.5)",
         '"min"': f"min({column})",
         '"max"': f"max({column})",
-        '"sum"': total,
+        '"sum"': sql_sum(column),
     }
     cells = ", ".join(f"{sql_round2(e)} AS {n}" for n, e in parts.items())
     return f"SELECT '{column}' AS \"column\", 'Numerical' AS type, {cells}, count({column}) AS \"count\" FROM {table_name}"
@@ -275,12 +275,12 @@ def missing_predict_auc(spark, sf):
     return missing.missing_predictability(messy(spark, sf), GAPPY, groups=groups)
 
 
-@query("distinct_values", """SELECT 'lang' AS name, lang AS value, (SELECT count(DISTINCT lang) FROM documents) AS n FROM (SELECT DISTINCT lang FROM documents)
-  UNION ALL SELECT 'source', source, (SELECT count(DISTINCT source) FROM documents) FROM (SELECT DISTINCT source FROM documents)""")
+@query("distinct_values", """SELECT 'lang' AS name, lang AS value FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)
+  UNION ALL SELECT 'source', source FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)""")
 def distinct_values(spark, sf):
     docs = table(spark, sf, "documents")
-    found = {c: encode.distinct_values(docs, c) for c in ("lang", "source")}
-    return spark.createDataFrame([(c, v, len(vs)) for c, vs in found.items() for v in vs], "name string, value string, n long")
+    found = [(c, encode.distinct_values(docs, c)) for c in ("lang", "source")]
+    return io.union_all([v.select(F.lit(c).alias("name"), F.col(c).alias("value")) for c, v in found])
 
 
 @query("key_concat", f"""WITH {LABELLED} SELECT doc_id, quality, toxic, lang, n_chars,
@@ -376,11 +376,13 @@ def group_metrics(spark, sf):
     )
 
 
-@query("normal_cdf_ppf")
+@query("normal_cdf_ppf", """SELECT l_orderkey, l_linenumber, (l_partkey % 999 + 1) / 1000.0e0 AS p,
+    round((l_partkey % 999 + 1) / 1000.0e0, 9) AS back FROM lineitem""")
 def normal_cdf_ppf(spark, sf):
+    """The distribution function of the quantile is the probability again."""
     p = (F.col("l_partkey") % 999 + 1) / 1000.0
-    li = table(spark, sf, "lineitem").select("l_orderkey", p.alias("p")).withColumn("z", normal_quantile_column("p"))
-    return li.withColumn("back", round_half_away(normal_cdf_column("z"), 9))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", p.alias("p"))
+    return li.withColumn("back", F.round(normal_cdf_column(normal_quantile_column("p")), 9))
 
 
 @query("dist_fit")
@@ -390,10 +392,18 @@ def dist_fit(spark, sf):
     return dist.fits_frame(spark, dist.best_fits(x, x.columns))
 
 
-@query("ecdf_ks_norm")
-def ecdf_ks_norm(spark, sf):
-    """Distance of order totals per family to their fitted distribution."""
-    return dist.fit_table(table(spark, sf, "orders"), ["o_totalprice"], ["norm", "expon"]).drop("shapes")
+@query("ecdf_ks", """WITH m AS (SELECT count(*) AS n, min(o_totalprice) AS lo, avg(o_totalprice) AS mean,
+    stddev_pop(o_totalprice) * sqrt(2 / (4 - pi())) AS s FROM orders),
+  f AS (SELECT 'expon' AS family, lo AS loc, mean - lo AS scale, n FROM m UNION ALL SELECT 'rayleigh', mean - s * sqrt(pi() / 2), s, n FROM m),
+  v AS (SELECT x, sum(c) OVER (ORDER BY x) AS upto, c FROM (SELECT o_totalprice AS x, count(*) AS c FROM orders GROUP BY 1)),
+  p AS (SELECT f.*, upto, c, CASE WHEN x <= loc THEN 0.0e0 WHEN family = 'expon' THEN 1 - exp(-(x - loc) / scale)
+    ELSE 1 - exp(-((x - loc) / scale) * ((x - loc) / scale) / 2) END AS cdf FROM f, v)
+  SELECT 'o_totalprice' AS "column", family, round(loc, 5) AS loc, round(scale, 5) AS scale, n,
+    round(max(greatest(cdf - (upto - c) / n, upto / n - cdf)), 9) AS ks_stat FROM p GROUP BY family, loc, scale, n""")
+def ecdf_ks(spark, sf):
+    """Distance of order totals to two fitted families whose distribution functions are elementary."""
+    out = dist.fit_table(table(spark, sf, "orders"), ["o_totalprice"], ["expon", "rayleigh"])
+    return out.select("column", "family", F.round("loc", 5).alias("loc"), F.round("scale", 5).alias("scale"), "n", F.round("ks_stat", 9).alias("ks_stat"))
 
 
 @query("init_pipeline", f"""WITH c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal / 2 END AS half,

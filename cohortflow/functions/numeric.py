@@ -1,33 +1,19 @@
-"""Rounding and sums whose result does not depend on the order of the rows.
-
-Spark adds doubles in whatever order partitions arrive, so a mean that is rounded afterwards can
-come out differently between two runs. Scaling to whole numbers before the sum makes it exact (up
-to 2**53) and keeps the work on primitive doubles inside generated code.
-"""
+"""Rounding, ratios and clipping in plain double arithmetic."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCALE = 6
+# relative; sums in another order differ by less
+TIE = 1e-12
 
 
 def round_half_away(x: Column, digits: int = 2) -> Column:
-    """Round half away from zero in plain double arithmetic."""
+    """Round half away from zero; what lies within ``TIE`` of a half counts as one, so that the last bit of a mean,
+    which depends on the order of the rows, does not decide."""
     factor = float(10**digits)
-    return F.signum(x) * F.floor(F.abs(x) * factor + 0.5) / F.lit(factor)
-
-
-def stable_sum(x: Column, scale: int = SCALE) -> Column:
-    """Sum of ``x`` kept to ``scale`` decimals per row, independent of row order."""
-    factor = float(10**scale)
-    return F.sum(F.floor(x * F.lit(factor) + 0.5).cast("double")) / F.lit(factor)
-
-
-def stable_avg(x: Column, scale: int = SCALE) -> Column:
-    """Mean of the non-null values of ``x``; null when there are none."""
-    return stable_sum(x, scale) / F.nullif(F.count(x), F.lit(0))
+    return F.signum(x) * F.floor(F.abs(x) * (factor * (1 + TIE)) + 0.5) / F.lit(factor)
 
 
 def safe_ratio(num: Column, den: Column, otherwise=None) -> Column:

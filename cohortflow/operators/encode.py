@@ -10,9 +10,6 @@ from pyspark.sql import types as T
 
 from cohortflow.operators.scores import first_match
 
-MAX_CATEGORIES = 1000
-
-
 def map_values(column: Column, mapping: dict, default=None) -> Column:
     """Dictionary lookup; anything not listed gives ``default``."""
     return first_match([(column == k, F.lit(v)) for k, v in mapping.items()], default)
@@ -25,17 +22,22 @@ def map_contains(column: Column, needles: Sequence[tuple[Sequence[str], object]]
     return first_match(rules, default)
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
-    """Sorted non-null values of a category column; refuses a column that is not a category."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} distinct values")
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """The non-null values of a column, once each."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct()
+
+
+def category_names(df: DataFrame, column: str, most: int) -> list:
+    """Sorted values of a column whose values are to become column names; refuses more than ``most``."""
+    rows = distinct_values(df, column).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} distinct values")
     return sorted(r[0] for r in rows)
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], categories: dict[str, list] | None = None) -> DataFrame:
-    """Replace each column by 0/1 columns named ``column_value``, categories in sorted order."""
-    categories = categories or {c: distinct_values(df, c) for c in columns}
+def one_hot(df: DataFrame, columns: Sequence[str], most: int, categories: dict[str, list] | None = None) -> DataFrame:
+    """Replace each column by 0/1 columns named ``column_value``, categories in sorted order, ``most`` per column."""
+    categories = categories or {c: category_names(df, c, most) for c in columns}
     flags = {
         f"{c}_{v}": F.coalesce((F.col(c) == v).cast("double"), F.lit(0.0)) for c in columns for v in categories[c]
     }

@@ -8,11 +8,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.functions.numeric import round_half_away, stable_avg, stable_sum
+from cohortflow.functions.numeric import round_half_away
 from cohortflow.operators.encode import distinct_values, numeric_columns, unpivot_groups
 from cohortflow.operators.ordered import exact_quantiles
 
 
+BROADCAST_GROUPS = 100_000  # of a few numbers each
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """Per column: type, number of rows, number of nulls."""
     one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in df.columns])
@@ -36,11 +39,11 @@ def column_summary(df: DataFrame, digits: int = 2) -> DataFrame:
     for c in numeric:
         x = F.col(c).cast("double")
         aggs += [
-            stable_avg(x, 4).alias(f"mean_{c}"),
+            F.avg(x).alias(f"mean_{c}"),
             F.var_samp(x).alias(f"var_{c}"),
             F.min(x).alias(f"min_{c}"),
             F.max(x).alias(f"max_{c}"),
-            stable_sum(x, 4).alias(f"sum_{c}"),
+            F.sum(x).alias(f"sum_{c}"),
         ]
     one = df.agg(*aggs)
 
@@ -69,14 +72,14 @@ def column_summary(df: DataFrame, digits: int = 2) -> DataFrame:
 
 def group_mean(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
     """Mean of ``value`` per group, largest first."""
-    mean = stable_avg(F.col(value).cast("double")).alias(name)
+    mean = F.avg(F.col(value).cast("double")).alias(name)
     return df.groupBy(*groups).agg(mean).orderBy(F.desc(name), *groups)
 
 
 def rates_by_group(df: DataFrame, labels: Sequence[str], group_columns: Sequence[str]) -> DataFrame:
     """``1 - mean(label)`` per observed value of each group column."""
     long = unpivot_groups(df, labels, group_columns).where(F.col("group_value").isNotNull())
-    rates = [(F.lit(1.0) - stable_avg(F.col(y).cast("double"))).alias(f"survival_{y}") for y in labels]
+    rates = [(F.lit(1.0) - F.avg(F.col(y).cast("double"))).alias(f"survival_{y}") for y in labels]
     return long.groupBy("group_col", "group_value").agg(F.count(F.lit(1)).alias("n"), *rates)
 
 
@@ -98,19 +101,26 @@ def category_percent(
         .groupBy("category", "by_value", "group_col", "group_value")
         .count()
     )
-    by_values = F.array(*[F.lit(str(v)) for v in distinct_values(df, by)])
-    filled = (
-        counts.groupBy("category", "group_col", "group_value")
-        .agg(F.map_from_entries(F.collect_list(F.struct("by_value", "count"))).alias("_n"))
-        .select("category", "group_col", "group_value", "_n", F.explode(by_values).alias("by_value"))
-        .withColumn("n", F.coalesce(F.col("_n")[F.col("by_value")], F.lit(0)))
-        .drop("_n")
+    # every group value of a category meets every ``by`` value: through the category, which both have
+    groups = counts.select("category", "group_col", "group_value").distinct()
+    by_values = distinct_values(df.select(F.col(by).cast("string").alias("by_value")), "by_value")
+    named = F.explode(F.array(*[F.lit(c) for c in categories])).alias("category")
+    wanted = groups.join(by_values.select("by_value", named), "category")
+    filled = wanted.join(counts, ["category", "by_value", "group_col", "group_value"], "left").select(
+        "category", "group_col", "group_value", "by_value", F.coalesce("count", F.lit(0)).alias("n")
     )
     total = F.sum("n").over(Window.partitionBy("category", "by_value", "group_col"))
     percent = round_half_away(F.coalesce(F.lit(100.0) * F.col("n") / F.nullif(total, F.lit(0)), F.lit(0.0)), digits)
     return filled.select("category", "by_value", "group_col", "group_value", "n", percent.alias("percent"))
 
 
+def with_group_rows(rows: DataFrame, per_group: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Attach one row of statistics per group. Few groups are broadcast, as a shuffle by a handful of keys would leave
+    their rows to a handful of tasks; with many groups the keys themselves spread the rows."""
+    few = per_group.count() <= BROADCAST_GROUPS
+    return rows.join(F.broadcast(per_group) if few else per_group, list(groups))
+
+
 def histogram(
     df: DataFrame,
     value: str,
@@ -126,8 +136,8 @@ def histogram(
     x = F.col(value).cast("double")
     rows = df.where(x.isNotNull()).select(*groups, x.alias("_x"))
     ends = [F.min("_x").alias("_lo"), F.max("_x").alias("_hi")]
-    if own_range:
-        rows = rows.join(rows.groupBy(*groups).agg(*ends), list(groups))
+    if own_range and groups:
+        rows = with_group_rows(rows, rows.groupBy(*groups).agg(*ends), groups)
     else:
         lo, hi = limits or rows.agg(*ends).first()
         rows = rows.withColumns({"_lo": F.lit(lo).cast("double"), "_hi": F.lit(hi).cast("double")})
@@ -188,18 +198,20 @@ def kde_grid(df: DataFrame, value: str, groups: Sequence[str] = (), points: int
     """
     x = F.col(value).cast("double")
     weighted = df.where(x.isNotNull()).groupBy(*groups, x.alias("_x")).agg(F.count(F.lit(1)).alias("_w"))
-    keys = list(groups) or [F.lit(0).alias("_all")]
-    stats = df.where(x.isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.stddev_samp(x).alias("_sd"), F.min(x).alias("_lo"), F.max(x).alias("_hi")
-    )
-    names = list(groups) or ["_all"]
-    stats = stats.where(F.col("_sd") > 0).withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    rows = weighted if groups else weighted.withColumn("_all", F.lit(0))
-    joined = rows.join(stats, names).withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    aggs = [F.count(F.lit(1)).alias("_n"), F.stddev_samp(x).alias("_sd"), F.min(x).alias("_lo"), F.max(x).alias("_hi")]
+    present = df.where(x.isNotNull())
+    if groups:
+        joined = with_group_rows(weighted, present.groupBy(*groups).agg(*aggs), groups)
+    else:
+        # one row of statistics: numbers in the plan, not a join
+        one = present.agg(*aggs).first()
+        joined = weighted.withColumns({c: F.lit(one[c]) for c in ("_n", "_sd", "_lo", "_hi")})
+    joined = joined.where(F.col("_sd") > 0).withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    joined = joined.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
     start = F.col("_lo") - cut * F.col("_h")
     stop = F.col("_hi") + cut * F.col("_h")
     at = start + (stop - start) * F.col("point") / F.lit(float(points - 1))
     z = (at - F.col("_x")) / F.col("_h")
     kernel = F.col("_w") * F.exp(F.lit(-0.5) * z * z) / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
-    out = joined.withColumns({"x": at, "_k": kernel}).groupBy(*names, "point", "x").agg(F.sum("_k").alias("density"))
+    out = joined.withColumns({"x": at, "_k": kernel}).groupBy(*groups, "point", "x").agg(F.sum("_k").alias("density"))
     return out.select(*groups, "point", "x", "density")

@@ -106,11 +106,11 @@ def test_encodings(spark):
     code = encode.map_contains(F.col("r"), [(("HISPANIC", "LATINO"), 1), (("BLACK", "AFRICAN"), 2), (("ASIAN",), 3), (("WHITE",), 4)], F.lit(0))
     assert [r[0] for r in df.select(code).collect()] == [1, 2, 3, 4, 0, 0]
     assert [r[0] for r in df.select(encode.map_values(F.col("r"), {"other": 1})).collect()] == [None] * 4 + [1, None]
-    hot = encode.one_hot(spark.createDataFrame([("b", 1), ("a", 2), (None, 3)], "c string, i int"), ["c"])
+    hot = encode.one_hot(spark.createDataFrame([("b", 1), ("a", 2), (None, 3)], "c string, i int"), ["c"], most=2)
     assert hot.columns == ["i", "c_a", "c_b"]
     assert [tuple(r) for r in hot.orderBy("i").collect()] == [(1, 0.0, 1.0), (2, 1.0, 0.0), (3, 0.0, 0.0)]
     with pytest.raises(ValueError):
-        encode.distinct_values(spark.range(30), "id", limit=10)
+        encode.category_names(spark.range(30), "id", 10)
 
 
 def test_missing_count_and_completeness(spark):
