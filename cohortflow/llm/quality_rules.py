@@ -88,16 +88,22 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (counts["n_words"] < LEAST_WORDS) | (100 * counts["n_repeat_words"] > MOST_REPEATED_PERCENT * counts["n_words"])
 
 
+def _ends(off: np.ndarray, n: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row's n-grams begin and end among ``total`` of them."""
+    first = np.minimum(off[:-1], total)
+    return first, np.clip(off[1:] - n + 1, first, total)
+
+
 def _grams(t: Parsed) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Group by group: buckets of all positions, and where each row's positions begin and end."""
     wide = t.buf.astype(np.uint32)
     pair = wide[:-1] | wide[1:] << 8
-    yield pair, t.off[:-1], np.maximum(t.off[1:] - 1, t.off[:-1])
-    quad = ((pair[:-2] | pair[2:] << 16) * np.uint32(0x9E3779B1)) >> np.uint32(16) if len(pair) > 2 else pair[:0]
-    yield quad, np.minimum(t.off[:-1], len(quad)), np.clip(t.off[1:] - 3, np.minimum(t.off[:-1], len(quad)), len(quad))
-    yield (t.word >> U64(48)).astype(np.uint32), t.begin[:-1], t.begin[1:]
+    yield pair, *_ends(t.off, 2, len(pair))
+    quad = ((pair[:-2] | pair[2:] << 16) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    yield quad, *_ends(t.off, 4, len(quad))
+    yield (t.word >> U64(48)).astype(np.uint32), *_ends(t.begin, 1, len(t.word))
     both = (mix(t.word[:-1] * U64(3) + t.word[1:]) >> U64(48)).astype(np.uint32)
-    yield both, np.minimum(t.begin[:-1], len(both)), np.clip(t.begin[1:] - 1, np.minimum(t.begin[:-1], len(both)), len(both))
+    yield both, *_ends(t.begin, 2, len(both))
 
 
 def raw_scores(t: Parsed, weights: np.ndarray) -> np.ndarray:

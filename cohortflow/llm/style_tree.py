@@ -77,6 +77,7 @@ class Element:
     noise: bool
     article: bool  # marks the article itself
     children: list = field(default_factory=list)  # elements and strings, in order
+    holds_article: bool = False
     path: int = 0
     number: int = -1
 
@@ -147,6 +148,9 @@ def parse(source: str) -> Element:
                     break
         element = Element(tag, mark, noise, article)
         stack[-1].children.append(element)
+        if article and not any(e.noise for e in stack):
+            for e in stack:
+                e.holds_article = True
         if RAW.match(m[0]):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
             at = end.end() if end else n
@@ -157,16 +161,12 @@ def parse(source: str) -> Element:
     return root
 
 
-def _has_article(e: Element) -> bool:
-    return any(not isinstance(c, str) and not c.noise and (c.article or _has_article(c)) for c in e.children)
-
-
 def blocks(e: Element, low: frozenset[int] = frozenset(), only_article: bool | None = None) -> list[str]:
     """Text blocks in page order, without noise and without the elements numbered in ``low``."""
     out: list[str] = []
     parts: list[str] = []
     if only_article is None:
-        only_article = _has_article(e)
+        only_article = e.holds_article
 
     def flush() -> None:
         text = WHITE.sub(" ", entities.unescape("".join(parts))).strip(" ")
@@ -228,7 +228,7 @@ def elements(root: Element) -> list[tuple[int, int, int, int, bool]]:
         own = WHITE.sub(" ", "".join(c for c in e.children if isinstance(c, str))).strip(" ")
         e.number = len(out)
         inside = inside or e.article
-        out.append((e.number, e.path, style, _hash("text", own) if own else 0, not (inside or e is root or e.tag in ("html", "body") or _has_article(e))))
+        out.append((e.number, e.path, style, _hash("text", own) if own else 0, not (inside or e is root or e.tag in ("html", "body") or e.holds_article)))
         for k, c in enumerate(kids):
             c.path = _hash(e.path, style, k, c.tag, c.mark)
         todo.extend((c, inside) for c in reversed(kids))
