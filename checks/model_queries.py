@@ -71,10 +71,10 @@ def preprocess_chain(spark, sf):
 TEXT = ["n_chars", "n_words", "n_lines", "digits", "capitals"]
 
 
-def text_features(spark, sf):
-    """Labelled documents with counts taken over their whole text."""
-    t = F.col("text")
-    docs = table(spark, sf, "documents").select(
+def text_counts(spark, sf):
+    """Counts over the whole text of every document."""
+    t = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").select(
         "doc_id", "lang", "source",
         F.length(t).cast("double").alias("n_chars"),
         F.size(F.split(F.trim(t), r"\s+")).cast("double").alias("n_words"),
@@ -82,21 +82,34 @@ def text_features(spark, sf):
         F.length(F.regexp_replace(t, "[^0-9]", "")).cast("double").alias("digits"),
         F.length(F.regexp_replace(t, "[^A-Z]", "")).cast("double").alias("capitals"),
     )
-    return settle(table(spark, sf, "labels").join(docs, "doc_id"))
 
 
-@query("fit_logistic")
+def text_features(spark, sf):
+    """Counts of the labelled documents."""
+    return settle(table(spark, sf, "labels").join(text_counts(spark, sf), "doc_id"))
+
+
+@query("fit_logistic", """SELECT unnest(['n_chars', 'n_words', 'n_lines', 'digits', 'capitals', '(intercept)']) AS feature, count(*) AS n, 0.0e0 AS slope
+    FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)""")
 def fit_logistic(spark, sf):
-    model = models.fit_logistic(text_features(spark, sf), TEXT, "quality")
-    rows = [(f, float(w)) for f, w in zip(TEXT, model.coefficients, strict=True)]
-    return spark.createDataFrame([*rows, ("(intercept)", float(model.intercept))], "feature string, weight double")
+    """Slope of the penalised loss at the fitted weights, as a share of its terms' size: zero at the optimum."""
+    x = text_features(spark, sf)
+    model = models.fit_logistic(x, TEXT, "quality")
+    error = F.col("p") - F.col("quality")
+    scored = models.predict(model, x, TEXT).withColumn("(intercept)", F.lit(1.0))
+    weights = {**dict(zip(TEXT, map(float, model.coefficients), strict=True)), "(intercept)": 0.0}
+    sums = scored.agg(F.count("*").alias("n"), *[e for f in weights for e in (
+        F.sum(error * F.col(f"`{f}`")).alias(f"g_{f}"), F.sum(F.abs(F.col(f"`{f}`"))).alias(f"a_{f}"))])
+    lines = [F.struct(F.lit(f).alias("feature"), F.col("n"), (F.round((F.col(f"`g_{f}`") + w) / F.col(f"`a_{f}`"), 3) + 0.0).alias("slope")) for f, w in weights.items()]
+    return sums.select(F.inline(F.array(*lines)))
 
 
 @query("fit_gbt")
 def fit_gbt(spark, sf):
-    x = text_features(spark, sf)
-    model = models.fit_gbt(x, TEXT, "quality", {"n_estimators": 10, "max_depth": 3, "scale_pos_weight": 2, "gamma": 0.5})
-    return models.predict(model, x, TEXT, keep=["doc_id", "quality"])
+    """Trained on the labelled documents, all documents scored."""
+    params = {"n_estimators": 10, "max_depth": 3, "scale_pos_weight": 2, "gamma": 0.5}
+    model = models.fit_gbt(text_features(spark, sf), TEXT, "quality", params)
+    return models.predict(model, text_counts(spark, sf), TEXT, keep=["doc_id"])
 
 
 @query("search_grid")
@@ -127,11 +140,20 @@ def shap_top(spark, sf):
     return top.withColumn("mean_abs_shap", F.round("mean_abs_shap", 9))
 
 
-@query("tree_shap")
+def residual(parts, scored):
+    """Per row: features listed, and what contributions and base leave of the log-odds."""
+    whole = parts.groupBy("doc_id").agg(F.count("*").alias("features"), F.sum("contribution").alias("c"), F.first("base").alias("base"))
+    odds = F.log(F.col("p") / (1 - F.col("p")))
+    left = F.round(F.abs(F.col("c") + F.col("base") - odds), 6)
+    return whole.join(scored, "doc_id").withColumn("residual", left).drop("c", "base", "p")
+
+
+@query("tree_shap", "SELECT doc_id, CAST(5 AS BIGINT) AS features, 0.0e0 AS residual FROM documents")
 def tree_shap(spark, sf):
-    x = text_features(spark, sf)
-    model = models.fit_gbt(x, TEXT, "quality", {"n_estimators": 5, "max_depth": 3})
-    return explain.tree_shap(x, "doc_id", TEXT, model)
+    """Contributions of all documents; with the base value they add up to the log-odds."""
+    x = text_counts(spark, sf)
+    model = models.fit_gbt(text_features(spark, sf), TEXT, "quality", {"n_estimators": 5, "max_depth": 3})
+    return residual(explain.tree_shap(x, "doc_id", TEXT, model), models.predict(model, x, TEXT, keep=["doc_id"]).drop("pred"))
 
 
 @query("extreme_rows", """(SELECT o_orderkey, o_totalprice, 'high' AS side FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 2)
@@ -140,11 +162,14 @@ def extreme_rows(spark, sf):
     return explain.extreme_rows(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", "o_totalprice")
 
 
-@query("explain_extremes")
+@query("explain_extremes", "SELECT unnest(['high', 'high', 'low', 'low']) AS side, CAST(5 AS BIGINT) AS features, count(*) AS scored FROM documents")
 def explain_extremes(spark, sf):
-    x = text_features(spark, sf)
-    model = models.fit_gbt(x, TEXT, "quality", {"n_estimators": 5, "max_depth": 3})
-    return explain.explain_extremes(model, x, "doc_id", TEXT)
+    """The rows with the most extreme scores, with all their contributions."""
+    x = text_counts(spark, sf)
+    model = models.fit_gbt(text_features(spark, sf), TEXT, "quality", {"n_estimators": 5, "max_depth": 3})
+    parts = explain.explain_extremes(model, x, "doc_id", TEXT)
+    n = x.count()
+    return parts.groupBy("doc_id", "side").agg(F.count("*").alias("features")).select("side", "features", F.lit(n).cast("long").alias("scored"))
 
 
 RULE = """(CASE lang WHEN 'en' THEN 0.3e0 WHEN 'fr' THEN 0.2e0 ELSE 0.1e0 END + CASE WHEN toxic = 1 THEN 0.25e0 ELSE 0.0e0 END
@@ -222,9 +247,16 @@ def group_scores(spark, sf):
     return hist
 
 
-@query("split_training")
+@query("split_training", f"""WITH {LABELLED}, c AS (SELECT quality, count(*) AS m, sum(count(*)) OVER () AS n FROM d GROUP BY quality),
+  w AS (SELECT *, ceil(round(n * 0.2e0, 9)) AS wanted FROM c),
+  q AS (SELECT *, row_number() OVER (ORDER BY floor(wanted * m / n) - wanted * m / n, quality) AS place FROM w)
+  SELECT quality, CAST(floor(wanted * m / n) + CASE WHEN place <= wanted - sum(floor(wanted * m / n)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS held_out,
+    0.0e0 AS bias FROM q""")
 def split_training(spark, sf):
-    """Held-out scores of a model trained on the other rows."""
-    parts = stratified_split(text_features(spark, sf), "quality", "doc_id")
+    """A model trained on one part of the rows: held-out rows per class, and its mean error where it was trained."""
+    parts = settle(stratified_split(text_features(spark, sf), "quality", "doc_id"))
     model = models.fit_logistic(parts.where("split = 'train'"), TEXT, "quality")
-    return models.predict(model, parts.where("split = 'test'"), TEXT, keep=["doc_id", "quality"])
+    scored = models.predict(model, parts, TEXT, keep=["doc_id", "quality", "split"])
+    bias = scored.where("split = 'train'").agg(F.avg(F.col("p") - F.col("quality"))).first()[0]
+    held = scored.where("split = 'test'").groupBy("quality").agg(F.count("*").alias("held_out"))
+    return held.withColumn("bias", F.round(F.lit(bias), 3) + 0.0)

@@ -141,7 +141,7 @@ def iqr_mask(spark, sf):
     quantile_cont(o_totalprice, 0.9) AS q3 FROM orders""")
 def quantiles_ranked(spark, sf):
     """The path for columns with too many distinct values for one aggregate."""
-    q = ordered.exact_quantiles(table(spark, sf, "orders"), ["o_totalprice"], [0.25, 0.5, 0.9], max_distinct=0)
+    q = ordered.exact_quantiles(table(spark, sf, "orders"), ["o_totalprice"], [0.25, 0.5, 0.9])
     return spark.createDataFrame([tuple(q["o_totalprice"])], "q1 double, q2 double, q3 double")
 
 
@@ -203,10 +203,16 @@ def strat_split(spark, sf):
     return split.stratified_split(table(spark, sf, "labels"), "quality", "doc_id", order=order)
 
 
-@query("hash_split")
+@query("hash_split", """WITH o AS (SELECT DISTINCT l_orderkey, CASE WHEN l_orderkey % 11 = 0 THEN 1 ELSE 0 END AS y FROM lineitem),
+  c AS (SELECT y, count(*) AS m, sum(count(*)) OVER () AS n FROM o GROUP BY y), w AS (SELECT *, ceil(round(n * 0.2e0, 9)) AS wanted FROM c),
+  q AS (SELECT *, floor(wanted * m / n) AS base, row_number() OVER (ORDER BY floor(wanted * m / n) - wanted * m / n, y) AS place FROM w),
+  t AS (SELECT y, m, CAST(base + CASE WHEN place <= wanted - sum(base) OVER () THEN 1 ELSE 0 END AS BIGINT) AS test FROM q)
+  SELECT y, 'test' AS split, test AS n FROM t UNION ALL SELECT y, 'train', m - test FROM t""")
 def hash_split(spark, sf):
-    return split.stratified_split(table(spark, sf, "lineitem").select("l_orderkey").distinct().withColumn(
-        "y", (F.col("l_orderkey") % 11 == 0).cast("int")), "y", "l_orderkey")
+    """Sizes of the parts of a stratified split."""
+    keys = table(spark, sf, "lineitem").select("l_orderkey").distinct()
+    parts = split.stratified_split(keys.withColumn("y", (F.col("l_orderkey") % 11 == 0).cast("int")), "y", "l_orderkey")
+    return parts.groupBy("y", "split").agg(F.count("*").alias("n"))
 
 
 @query("standardise", f"""WITH {MESSY}, s AS (SELECT avg(price) AS pm, stddev_pop(price) AS ps, avg(steps) AS sm, stddev_pop(steps) AS ss
@@ -226,10 +232,19 @@ def rank_normal(spark, sf):
     return ranks.withColumn("p", F.col("avg_rank") / (F.col("n") + 1))
 
 
-@query("rank_scores")
+def sql_rank(c: str) -> str:
+    train = f"CASE WHEN o_orderkey % 5 <> 0 AND {c} IS NOT NULL THEN 1 ELSE 0 END"
+    share = f"""(sum({train}) OVER (ORDER BY {c}) - sum({train}) OVER (PARTITION BY {c}) + (sum({train}) OVER (PARTITION BY {c}) + 1) / 2.0e0)
+      / (sum({train}) OVER () + 1)"""
+    return f"CASE WHEN {c} IS NOT NULL THEN round(least(greatest({share}, 0.000001e0), 0.999999e0), 9) END AS {c}"
+
+
+@query("rank_scores", f"WITH {MESSY} SELECT o_orderkey, {sql_rank('price')}, {sql_rank('age')} FROM messy")
 def rank_scores(spark, sf):
+    """Normal scores of ranks among the training rows, mapped back to shares."""
     x = messy(spark, sf).select("o_orderkey", "price", "age")
-    return dist.normal_scores(x, {"price": None, "age": None}, F.col("o_orderkey") % 5 != 0)
+    out = dist.normal_scores(x, {"price": None, "age": None}, F.col("o_orderkey") % 5 != 0)
+    return out.select("o_orderkey", *[F.round(normal_cdf_column(c), 9).alias(c) for c in ("price", "age")])
 
 
 @query("ecdf", """SELECT DISTINCT l_quantity, (rank() OVER (ORDER BY l_quantity) - 1) / CAST(count(*) OVER () AS DOUBLE) AS ecdf_below,
@@ -254,10 +269,16 @@ def co_missing_chi2(spark, sf):
     return spark.createDataFrame([(round(found["statistic"], 6), found["dof"])], "statistic double, dof int")
 
 
-@query("co_missing_groups")
+@query("co_missing_groups", f"""WITH {MESSY}, u AS (""" + " UNION ALL ".join(
+    f"SELECT status, '{a}' AS i, '{b}' AS j, CAST(count(CASE WHEN {a} IS NULL AND {b} IS NOT NULL THEN 1 END) AS DOUBLE) AS n FROM messy GROUP BY status"
+    for a in GAPPY[:4] for b in GAPPY[:4]) + """), x AS (SELECT *, sum(n) OVER (PARTITION BY status, i) AS a, sum(n) OVER (PARTITION BY status, j) AS b,
+    sum(n) OVER (PARTITION BY status) AS t FROM u)
+  SELECT status AS "group", round(sum((n - a * b / t) * (n - a * b / t) / (a * b / t)), 6) AS statistic,
+    CAST((count(DISTINCT i) - 1) * (count(DISTINCT j) - 1) AS INTEGER) AS dof FROM x WHERE a > 0 AND b > 0 GROUP BY status""")
 def co_missing_groups(spark, sf):
-    groups = {s: F.col("status") == s for s in ("F", "O", "P")}
-    return missing.co_missing_by_group(messy(spark, sf), GAPPY, groups)
+    groups = {s: F.col("status") == s for s in encode.category_names(messy(spark, sf), "status", 50)}
+    found = missing.co_missing_by_group(messy(spark, sf), GAPPY, groups)
+    return found.select("group", F.round("statistic", 6).alias("statistic"), "dof")
 
 
 @query("nullity_corr", f"""WITH {MESSY}, m AS (SELECT """ + ", ".join(
@@ -342,7 +363,7 @@ def auc_rank(spark, sf):
   SELECT threshold, (SELECT CAST(count(*) AS DOUBLE) FROM s WHERE quality = 0 AND p >= threshold) / (SELECT count(*) FROM s WHERE quality = 0) AS fpr,
     (SELECT CAST(count(*) AS DOUBLE) FROM s WHERE quality = 1 AND p >= threshold) / (SELECT count(*) FROM s WHERE quality = 1) AS tpr FROM t""")
 def roc_points(spark, sf):
-    return metrics.roc_points(scored(spark, sf), "quality", "p", borders=metrics.UNIT_BORDERS)
+    return metrics.roc_points(scored(spark, sf), "quality", "p")
 
 
 @query("class_report", f"""WITH {SCORED}, c AS (SELECT {COUNTS} FROM s), x AS (SELECT *, CAST(tn + fp AS DOUBLE) AS s0, CAST(tp + fn AS DOUBLE) AS s1,
@@ -367,13 +388,11 @@ def class_report(spark, sf):
   c AS (SELECT group_col, group_value, {COUNTS} FROM r GROUP BY group_col, group_value),
   a AS (SELECT group_col, group_value, {AUC} AS auc FROM r GROUP BY group_col, group_value
     HAVING count(CASE WHEN quality = 1 THEN 1 END) > 0 AND count(CASE WHEN quality = 0 THEN 1 END) > 0),
-  m AS (SELECT group_col, group_value, tp + fp + fn + tn AS n, {RATES} FROM c WHERE tp + fn > 0 AND fp + tn > 0)
-  SELECT m.group_col, m.group_value, n, accuracy, mcc, f1_score, (sensitivity + specificity) / 2.0e0 AS auc_hard, auc
+  m AS (SELECT group_col, group_value, tp + fp + fn + tn AS n, tp, fp, fn, tn, {RATES} FROM c WHERE tp + fn > 0 AND fp + tn > 0)
+  SELECT m.group_col, m.group_value, n, tp, fp, fn, tn, accuracy, mcc, f1_score, (sensitivity + specificity) / 2.0e0 AS auc_hard, auc
   FROM m JOIN a ON m.group_col = a.group_col AND m.group_value = a.group_value""")
 def group_metrics(spark, sf):
-    return metrics.group_metrics(
-        scored(spark, sf), "quality", "pred", "p", ["lang", "source"], borders=metrics.UNIT_BORDERS
-    )
+    return metrics.group_metrics(scored(spark, sf), "quality", "pred", "p", ["lang", "source"])
 
 
 @query("normal_cdf_ppf", """SELECT l_orderkey, l_linenumber, (l_partkey % 999 + 1) / 1000.0e0 AS p,

@@ -103,7 +103,7 @@ def missing_predictability(
     below ``threshold``; columns that are always or never null have no area. ``groups`` maps names
     to row conditions and repeats the test within each.
     """
-    from cohortflow.operators.metrics import UNIT_BORDERS, auc
+    from cohortflow.operators.metrics import auc
     from cohortflow.operators.models import fit_logistic, predict
 
     spark, rows = df.sparkSession, []
@@ -131,7 +131,7 @@ def missing_predictability(
             others = [o for o in columns if o != c and stats[f"n_{o}"] > 0]
             model = fit_logistic(ready, others, f"_y_{c}", n_rows=n)
             scored = predict(model, ready, others, keep=[f"_y_{c}"])
-            area = auc(scored, f"_y_{c}", "p", borders=UNIT_BORDERS).first()["auc"]
+            area = auc(scored, f"_y_{c}", "p").first()["auc"]
             rows.append((group, c, area, area < threshold, "tested"))
         ready.unpersist()
     return spark.createDataFrame(rows, "group string, column string, auc double, flagged boolean, note string")

@@ -2,8 +2,8 @@
 
 A window without a partition key would sort the column in one task. Here equal values are first
 combined (so a value that fills a third of the rows becomes one row), then cut into ordered buckets
-at approximate quantiles. Each bucket is summed on its own, and the bucket totals, of which there
-are at most ``MAX_BUCKETS`` per group, supply the offsets.
+at approximate quantiles of the distinct values. Each bucket is summed on its own, and the bucket totals supply the
+offsets. Buckets and their size both grow with the square root of the distinct values.
 """
 
 from __future__ import annotations
@@ -15,22 +15,20 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_BUCKETS = 8192
-VALUES_PER_BUCKET = 50_000
-MAX_DISTINCT = 100_000
+LEAST_BUCKETS = 16
 
 
-def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list[float]:
+def cut_points(distinct: DataFrame, value: str, buckets: int | None = None) -> list[float]:
     """Approximate quantiles of ``value`` as ascending bucket borders for a Bucketizer.
 
-    By default there are enough of them for about ``VALUES_PER_BUCKET`` distinct values each.
+    ``distinct`` should hold every value once, so that a value with most of the rows does not take most of the
+    borders. By default there are an eighth of the root of their number, ``LEAST_BUCKETS`` at least.
     """
     x = F.col(value).cast("double")
     if buckets is None:
-        distinct = df.agg(F.approx_count_distinct(x)).first()[0]
-        buckets = min(MAX_BUCKETS, max(16, distinct // VALUES_PER_BUCKET))
+        buckets = max(LEAST_BUCKETS, math.isqrt(distinct.count()) // 8)
     probs = [i / buckets for i in range(1, buckets)]
-    return as_borders(df.agg(F.percentile_approx(x, probs, 10 * buckets)).first()[0])
+    return as_borders(distinct.agg(F.percentile_approx(x, probs, 10 * buckets)).first()[0])
 
 
 def as_borders(cuts: Sequence[float] | None) -> list[float]:
@@ -63,7 +61,7 @@ def running_sums(
     aggs = [e.alias(k) for k, e in sums.items()]
     if bucket is None:
         per_value = rows.groupBy(*groups, value).agg(*aggs)
-        bucketed = add_bucket(per_value, value, "_bucket", borders or cut_points(rows, value))
+        bucketed = add_bucket(per_value, value, "_bucket", borders or cut_points(rows.select(value).distinct(), value))
     else:
         bucketed = rows.groupBy(*groups, value, F.col(bucket).alias("_bucket")).agg(*aggs)
     bucketed = bucketed.withColumn("_g", F.struct(F.lit(0), *groups))
@@ -110,37 +108,32 @@ def ecdf(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], max_distinct: int = MAX_DISTINCT
-) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
     """Exact quantiles with linear interpolation, per column, as driver-side numbers.
 
-    Columns with few distinct values use Spark's exact aggregate, which holds one counter per
-    distinct value. Wider ones are ranked across tasks and only the rows at the wanted ranks return.
+    All columns are ranked together, as (column, value) pairs; only the values at the wanted ranks return.
     """
-    distinct = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first().asDict()
-    narrow = [c for c in columns if distinct[c] <= max_distinct]
-    out: dict[str, list[float | None]] = {}
-    if narrow:
-        p = F.array(*[F.lit(float(x)) for x in probs])
-        row = df.agg(*[F.percentile(F.col(c).cast("double"), p).alias(c) for c in narrow]).first()
-        out = {c: row[c] if row[c] is not None else [None] * len(probs) for c in narrow}
-    for c in columns:
-        if c not in out:
-            out[c] = _ranked_quantiles(df, c, probs)
-    return {c: out[c] for c in columns}
-
-
-def _ranked_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
-    n = df.where(F.col(column).isNotNull()).count()
-    places = [(math.floor(p * (n - 1)), p * (n - 1)) for p in probs]
-    wanted = sorted({k for lo, _ in places for k in (lo, min(lo + 1, n - 1))})
-    ranked = running_sums(df.select(column), column, {"cnt": F.count(F.lit(1))})
-    covers = F.array(*[F.lit(k) for k in wanted])
+    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    places = {c: [p * (n - 1) for p in probs] for c, n in sizes.items() if n}
+    out: dict[str, list[float | None]] = {c: [None] * len(probs) for c in columns}
+    if not places:
+        return out
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in places]
+    long = df.select(F.inline(F.array(*cells)))
+    ranked = running_sums(long, "value", {"cnt": F.count(F.lit(1))}, ["column"])
     first, last = F.col("cnt_before"), F.col("cnt_before") + F.col("cnt")
-    hits = ranked.where(F.exists(covers, lambda k: (k >= first) & (k < last))).collect()
-
-    def at(k: int) -> float:
-        return next(float(r[column]) for r in hits if r["cnt_before"] <= k < r["cnt_before"] + r["cnt"])
-
-    return [at(lo) + (pos - lo) * (at(min(lo + 1, n - 1)) - at(lo)) for lo, pos in places]
+    wanted = F.lit(False)
+    for c, at in places.items():
+        ranks = sorted({k for pos in at for k in (math.floor(pos), math.ceil(pos))})
+        hit = F.exists(F.array(*[F.lit(k) for k in ranks]), lambda k: (k >= first) & (k < last))
+        wanted = wanted | ((F.col("column") == c) & hit)
+    hits = ranked.where(wanted).collect()
+
+    def value(c: str, k: int) -> float:
+        return next(r["value"] for r in hits if r["column"] == c and r["cnt_before"] <= k < r["cnt_before"] + r["cnt"])
+
+    for c, at in places.items():
+        low = [value(c, math.floor(pos)) for pos in at]
+        high = [value(c, math.ceil(pos)) for pos in at]
+        out[c] = [lo + (pos - math.floor(pos)) * (hi - lo) for lo, hi, pos in zip(low, high, at, strict=True)]
+    return out

@@ -71,9 +71,9 @@ def column_summary(df: DataFrame, digits: int = 2) -> DataFrame:
 
 
 def group_mean(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
-    """Mean of ``value`` per group, largest first."""
+    """Mean of ``value`` per group, largest first. Rows without a value for some group column are left out."""
     mean = F.avg(F.col(value).cast("double")).alias(name)
-    return df.groupBy(*groups).agg(mean).orderBy(F.desc(name), *groups)
+    return df.dropna(subset=list(groups)).groupBy(*groups).agg(mean).orderBy(F.desc(name), *groups)
 
 
 def rates_by_group(df: DataFrame, labels: Sequence[str], group_columns: Sequence[str]) -> DataFrame:

@@ -158,6 +158,14 @@ class TargetRun:
     def metrics(self) -> DataFrame:
         return metrics.full_evaluation(self.scored, "label", "pred", "p", ["model", "target"])
 
+    def roc(self) -> DataFrame:
+        """Points of every model's ROC curve on the test rows."""
+        return metrics.roc_points(self.scored, "label", "p", ["model", "target"])
+
+    def report(self) -> DataFrame:
+        """Classification report of every model on the test rows."""
+        return metrics.class_report(self.scored, "label", "pred", ["model", "target"])
+
     def importance(self, name: str, top: int = 20) -> DataFrame:
         """Features by mean absolute contribution on the test rows."""
         kind, model = self.variants[name].transform, self.variants[name].model
@@ -251,10 +259,15 @@ def model_grid(df: DataFrame, labels: Sequence[str], features: Sequence[str], **
 def group_evaluation(run: TargetRun, group_columns: Sequence[str] = DEMOGRAPHICS) -> DataFrame:
     """Metrics of each model per demographic group, on the held-out rows."""
     return metrics.group_metrics(
-        run.scored, "label", "pred", "p", group_columns, ["model", "target"], metrics.UNIT_BORDERS
+        run.scored, "label", "pred", "p", group_columns, ["model", "target"]
     )
 
 
+def group_report(run: TargetRun, group_columns: Sequence[str] = DEMOGRAPHICS) -> DataFrame:
+    """Classification report of each model per demographic group, on the held-out rows."""
+    return metrics.group_report(run.scored, "label", "pred", group_columns, ["model", "target"])
+
+
 def forced_bias(
     df: DataFrame,
     label: str,
