@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.profile_queries import LABELLED, labelled_docs
 from checks.registry import query, table
 from cohortflow.functions.numeric import round_half_away
-from cohortflow.operators import encode, explain, fairness, impute, models, outliers
+from cohortflow.operators import encode, explain, fairness, impute, metrics, models, outliers
 from cohortflow.operators.split import stratified_split
 from cohortflow.plans import analysis
 from cohortflow.session import settle
@@ -219,6 +219,30 @@ def forced_density(spark, sf):
     return out.withColumns({"x": F.round("x", 6), "density": F.round("density", 6)})
 
 
+@query("group_score_density", f"""WITH {LABELLED}, e AS (SELECT {RULE} AS p, unnest(['lang', 'source']) AS group_col, unnest([lang, source]) AS group_value FROM d),
+  s AS (SELECT group_col, group_value, count(*) AS n, stddev_samp(p) * pow(count(*), -0.2e0) AS h, min(p) AS lo, max(p) AS hi FROM e GROUP BY ALL
+    HAVING stddev_samp(p) > 0),
+  g AS (SELECT s.*, CAST(r AS INTEGER) AS point, (lo - 3 * h) + ((hi + 3 * h) - (lo - 3 * h)) * r / 49.0e0 AS x FROM s, range(50) t(r))
+  SELECT g.group_col, g.group_value, g.point, round(g.x, 6) AS x,
+    round(sum(exp(-0.5e0 * ((g.x - e.p) / h) * ((g.x - e.p) / h)) / (n * h * sqrt(2 * pi()))), 6) AS density
+  FROM g JOIN e ON e.group_col = g.group_col AND e.group_value = g.group_value GROUP BY ALL""")
+def group_score_density(spark, sf):
+    out = fairness.group_score_density(rule_score(labelled_docs(spark, sf)), "p", ["lang", "source"], points=50)
+    return out.withColumns({"x": F.round("x", 6), "density": F.round("density", 6)})
+
+
+@query("group_report", f"""WITH {LABELLED}, u AS (SELECT quality AS y, CASE WHEN {RULE} >= 0.4e0 THEN 1 ELSE 0 END AS p, unnest(['lang', 'source']) AS group_col,
+    unnest([lang, source]) AS group_value FROM d),
+  c AS (SELECT group_col, group_value, k, CAST(count(CASE WHEN y = k AND p = k THEN 1 END) AS DOUBLE) AS hit, count(CASE WHEN y <> k AND p = k THEN 1 END) AS extra,
+    count(CASE WHEN y = k AND p <> k THEN 1 END) AS missed FROM u, (VALUES (0), (1)) t(k) GROUP BY ALL)
+  SELECT group_col, group_value, CAST(k AS VARCHAR) AS class, coalesce(hit / nullif(hit + extra, 0), 0) AS "precision", coalesce(hit / nullif(hit + missed, 0), 0) AS recall,
+    coalesce(2 * hit / nullif(2 * hit + extra + missed, 0), 0) AS f1_score, CAST(hit + missed AS BIGINT) AS support FROM c""")
+def group_report(spark, sf):
+    """Report lines of both classes per group."""
+    scored_ = rule_score(labelled_docs(spark, sf)).withColumn("pred", (F.col("p") >= 0.4).cast("int"))
+    return metrics.group_report(scored_, "quality", "pred", ["lang", "source"]).where(F.col("class").isin("0", "1"))
+
+
 QUICK = {"n_estimators": 5, "max_depth": 3}
 
 
