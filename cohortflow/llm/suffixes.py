@@ -28,13 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.text import CHUNK, LAST_ID, U64, chunks, known, prefix_hash, rows_with, span_hash
+from cohortflow.llm.text import LAST_ID, U64, chunks, known, prefix_hash, rows_with, span_hash
 from cohortflow.session import settle
 
 LENGTH = 50
 GRAM = 16
 LONGEST_RUN = 35
-FAMILY_BYTES = 32 << 20  # text for each family
+FAMILY_BYTES = 16 << 20  # text for each family
+SEGMENT = 1 << 20  # suffixes hashed at once
 
 BLOCKS = "block long, ids binary, sizes binary, data binary, more binary"
 TO_FAMILY = "family int, first long, block long, payload binary"
@@ -117,8 +118,8 @@ def suffix_runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: in
     Suffixes shorter than ``length`` are none. How runs are cut does not matter for the result, only that equal
     suffixes have equal smallest hashes.
     """
-    for a in range(0, max(len(buf) - length + 1, 0), CHUNK):
-        part = buf[a : a + CHUNK + length - 1]
+    for a in range(0, max(len(buf) - length + 1, 0), SEGMENT):
+        part = buf[a : a + SEGMENT + length - 1]
         n = len(part) - length + 1
         prefix = prefix_hash(part)
         at = np.arange(len(part) - gram + 1)

@@ -65,7 +65,7 @@ def test_runs_do_not_depend_on_segments(monkeypatch):
     whole = [np.concatenate(x) for x in zip(*suffixes.suffix_runs(buf, off), strict=True)]
     covered = np.concatenate([np.arange(s, s + n) for s, n in zip(whole[2], whole[3], strict=True)])
     assert sorted(covered.tolist()) == [p for a, b in zip(off[:-1], off[1:], strict=True) for p in range(a, b - 49)]
-    monkeypatch.setattr(suffixes, "CHUNK", 700)
+    monkeypatch.setattr(suffixes, "SEGMENT", 700)
     parts = [np.concatenate(x) for x in zip(*suffixes.suffix_runs(buf, off), strict=True)]
     low = {s + k: h for h, s, n in zip(whole[0], whole[2], whole[3], strict=True) for k in range(n)}
     assert low == {s + k: h for h, s, n in zip(parts[0], parts[2], parts[3], strict=True) for k in range(n)}
