@@ -8,8 +8,9 @@ members' shingle bitmaps and their range of sizes. Traversing a tree against its
 the largest overlap they allow is too small, or when all their members are known to be connected. What is left is
 verified on the complete sets.
 
-Trees with the same members are one. A first round proposes neighbours in leaf order and to the tree's first member, so
-that the complete traversal afterwards only looks at pairs of different components.
+Trees with the same members are one. To find components, some rounds first propose, for every member, a few neighbours in
+leaf order whose bounds allow a link; what they connect is one component, and the complete traversal afterwards only
+looks at pairs of different components.
 
 Rows: null and empty texts have no shingles and link with nothing; texts shorter than a shingle are one shingle as a
 whole. Repeated rows and repeated ids are judged by their text. Rows without id come last and show a null component
@@ -34,6 +35,9 @@ SEEDS = 6
 BITS = 1024
 FAN = 16
 PAIRS_AT_ONCE = 2048
+PROPOSED = 3  # neighbours of each member in a round of proposals, of the next REACH in leaf order
+REACH = 64
+ROUNDS = 3
 BROADCAST_IDS = 500_000
 
 PAIRS = "a long, b long"
@@ -219,20 +223,22 @@ def _traverse(percent: int, propose: bool):
             if not t.num_rows:
                 continue
             tree, size, sid, component = (t[c].to_numpy() for c in ("tree", "size", "sid", "component"))
+            component = np.unique(component, return_inverse=True)[1]  # negative numbers mark mixed nodes
             signs = np.frombuffer(b"".join(t["signs"].to_pylist()), U64).reshape(len(sid), BITS // 64)
             first = np.flatnonzero(np.concatenate([[True], tree[1:] != tree[:-1]]))
             count = np.diff(np.append(first, len(tree)))
+            flat = SignatureTree.__new__(SignatureTree)
+            flat.levels = [(size, size, signs, _bits(signs), component)]
+            found = []
             if propose:
-                lead = np.repeat(first, count)
-                at = np.arange(len(tree))
-                i = np.concatenate([at, at[1:]])
-                j = np.concatenate([lead, np.maximum(at[1:] - 1, lead[1:])])
-                found = [(i[i != j], j[i != j])]
+                has = np.zeros(len(tree), np.int64)
+                for k in range(1, min(REACH + 1, len(tree))):
+                    i = np.flatnonzero((tree[k:] == tree[:-k]) & (has[:-k] < PROPOSED))
+                    i = i[flat.may_link(0, i, i + k, percent)]
+                    has[i] += 1
+                    found.append((i, i + k))
             else:
-                found = []
                 small = np.repeat(count <= FAN, count)
-                flat = SignatureTree.__new__(SignatureTree)
-                flat.levels = [(size, size, signs, _bits(signs), component)]
                 for k in range(1, min(FAN, len(tree))):
                     i = np.flatnonzero((tree[k:] == tree[:-k]) & small[k:])
                     found.append((i + k, i))
@@ -378,12 +384,16 @@ class Join:
         """``(sid, component)`` of the classes that have a link."""
         trees = settle(self.trees())
         own = trees.groupBy("sid").agg(F.max(F.struct("members", "tree")).alias("best")).select("sid", "best.tree")
-        first = settle(self.verified(settle(self._candidates(own.withColumn("component", F.col("sid")), propose=True))))
-        labels = components(first)
-        members = trees.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("tree", "sid", F.coalesce("component", "sid").alias("component"))
-        open_ = members.groupBy("tree").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tree")
-        second = self.verified(settle(self._candidates(members.join(open_, "tree"), propose=False)))
-        return components(first.union(second)).withColumnRenamed("node", "sid")
+        members = own.withColumn("component", F.col("sid"))
+        links = settle(self.verified(settle(self._candidates(members, propose=True))))
+        for turn in range(1, ROUNDS + 1):
+            labels = components(links).withColumnRenamed("node", "sid")
+            members = trees.join(labels, "sid", "left").select("tree", "sid", F.coalesce("component", "sid").alias("component"))
+            open_ = members.groupBy("tree").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+            members = members.join(open_.select("tree"), "tree", "left_semi")
+            # the last round is the complete traversal
+            links = settle(links.union(self.verified(settle(self._candidates(members, propose=turn < ROUNDS)))))
+        return components(links).withColumnRenamed("node", "sid")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, n: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
