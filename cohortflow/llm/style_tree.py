@@ -47,7 +47,11 @@ NOISE_WORDS = set(
     "related recommended recommendations widget toolbar pagination pager comment comments commentlist reply replies "
     "respond disqus contentinfo complementary search form dialog alertdialog hidden".split()
 )
-MAIN_WORDS = set("article main maincontent".split())
+# Marks that hold even for what looks like an article, or has one inside
+SURE_WORDS = set(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion related recommended "
+    "recommendations comment comments commentlist reply replies respond disqus".split()
+)
 BLOCKS = set(
     "html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre address figure figcaption hr center details summary hgroup".split()
@@ -67,7 +71,7 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
-WHITE = re.compile(r"[ \t\n\r\f\v   -     　\u0085]+")
+WHITE = re.compile(r"\s+")
 
 
 @dataclass(slots=True)
@@ -75,6 +79,7 @@ class Element:
     tag: str
     mark: str
     noise: bool
+    sure: bool  # noise even around or as an article
     article: bool  # marks the article itself
     children: list = field(default_factory=list)  # elements and strings, in order
     holds_article: bool = False
@@ -82,15 +87,17 @@ class Element:
     number: int = -1
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """What tells elements of one tag apart, whether it is noise, whether it is the article."""
-    noise, article, names = tag in NOISE_TAGS, tag in ("article", "main"), []
+def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """What tells elements of one tag apart, whether it is noise, surely so, whether it is the article."""
+    noise = sure = tag in NOISE_TAGS
+    article, names = tag in ("article", "main"), []
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id", "role"):
                 words = [w.lower() for w in WORD_PARTS.findall(value)]
                 noise |= not NOISE_WORDS.isdisjoint(words)
+                sure |= not SURE_WORDS.isdisjoint(words)
                 article |= name == "role" and value.strip().lower() in ("main", "article")
                 names.append(value if name == "class" else "")
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -98,13 +105,15 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 noise = True
     if tag in ("html", "body"):
-        noise = False
-    return " ".join(names), noise, article and not noise
+        noise = sure = False
+    if article:
+        noise = sure
+    return " ".join(names), noise, sure, article and not noise
 
 
 def parse(source: str) -> Element:
     """Tree of a page. Unclosed paragraphs and list items end where a browser would end them."""
-    root = Element("", "", False, False)
+    root = Element("", "", False, False, False)
     stack = [root]
     at, n = 0, len(source)
     while at < n:
@@ -131,7 +140,7 @@ def parse(source: str) -> Element:
                 if tag not in BLOCKS and stack[k].tag in BLOCKS:
                     break
             continue
-        mark, noise, article = _marks(tag, attributes)
+        mark, noise, sure, article = _marks(tag, attributes)
         if tag in BLOCKS:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSED_BY_BLOCK:
@@ -146,11 +155,11 @@ def parse(source: str) -> Element:
                     break
                 if stack[k].tag in LIST_ROOTS[tag]:
                     break
-        element = Element(tag, mark, noise, article)
+        element = Element(tag, mark, noise, sure, article)
         stack[-1].children.append(element)
-        if article and not any(e.noise for e in stack):
-            for e in stack:
-                e.holds_article = True
+        if article and not any(e.sure for e in stack):
+            for e in stack:  # a wrapper named after the sidebar beside the article is no sidebar
+                e.noise, e.holds_article = False, True
         if RAW.match(m[0]):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
             at = end.end() if end else n

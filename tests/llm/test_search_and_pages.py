@@ -68,6 +68,13 @@ def test_blocks_of_a_page():
     assert style_tree.blocks(style_tree.parse(PAGE)) == want
 
 
+def test_wrappers_named_after_their_surroundings():
+    source = """<body class="has-cookie-notice"><div class="page with-sidebar"><main class="search-results"><p>Text</p><div class="share">s</div></main>
+    <div class="sidebar">side</div></div><section id="comments"><article class="comment"><p>reader</p></article></section>
+    <div class="related"><article>other page</article></div></body>"""
+    assert style_tree.blocks(style_tree.parse(source)) == ["Text"]
+
+
 @pytest.mark.parametrize("source", ["", "plain & text", "<p", "</div></p>", "<p><p><p>", "<<>>", "a<b", "<a title='x>y</a>z", "<script>never closed", "<!-- open", "<" * 3000, "<div>" * 2000 + "deep"])
 def test_broken_pages(source):
     root = style_tree.parse(source)
