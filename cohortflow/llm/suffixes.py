@@ -8,7 +8,9 @@ Two things keep this within bounds. Suffixes are dealt to many families by the s
 (equal suffixes meet in one family), and consecutive suffixes with the same smallest hash travel as one run. A first
 family works on runs as wholes: a run that an earlier document has too is removed as it is, and of the rest only
 runs whose smallest hash also occurs with other content send their bytes to the second family, which works on single
-suffixes. Of equal keys a level holds those of the smallest document only, so repeats of any number shrink to one.
+suffixes. Of equal keys a level holds those of the smallest document only, so repeats of any number shrink to one. Where
+one smallest hash has very many contents (a passage that many documents embed in texts of their own), suffixes are
+first reduced to one per block and then dealt by their own hash, so that no family gets them all.
 
 Documents are first written in compressed blocks to the shared folder; a block is a batch, and results come back to it.
 
@@ -36,6 +38,7 @@ GRAM = 16
 LONGEST_RUN = 35
 FAMILY_BYTES = 16 << 20  # text for each family
 SEGMENT = 1 << 20  # suffixes hashed at once
+MANY_CONTENTS = 256  # from which on the suffixes of one smallest hash are dealt singly
 
 BLOCKS = "block long, ids binary, sizes binary, data binary, more binary"
 TO_FAMILY = "family int, first long, block long, payload binary"
@@ -234,30 +237,41 @@ def _answers(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def _judge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block's runs: covered as a whole, or to be looked at suffix by suffix."""
-    for family, held in _by_family(batches):
-        levels, lows = Family(), []
-        for _, payload in held:
-            low, content, which, ids = unpack(payload, "u4", "u8", "u2", "i8")
-            levels.add(content, ids[which])
-            lows.append(low)
-        ask = [np.zeros(len(x), bool) for x in lows]
-        left = levels.whole()
-        if left is not None:
-            content, _, batch, place = left
-            start = np.cumsum([0] + [len(x) for x in lows])
-            at = start[batch] + place
-            low = np.concatenate(lows)[at]
-            order = np.argsort(low, kind="stable")
-            low, content, at = low[order], content[order], at[order]
-            first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-            size = np.diff(np.append(first, len(low)))
-            several = np.repeat(np.minimum.reduceat(content, first) != np.maximum.reduceat(content, first), size)
-            flat = np.zeros(start[-1], bool)
-            flat[at[several]] = True
-            ask = [flat[a:b] for a, b in zip(start[:-1], start[1:], strict=True)]
-        yield _answers([(block, family, pack(np.packbits(c), np.packbits(q))) for (block, _), c, q in zip(held, levels.covered, ask, strict=True)])
+def _judge_runs(many_from: int):
+    """For each block's runs: covered as a whole, or to be looked at suffix by suffix, and if so whether singly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for family, held in _by_family(batches):
+            levels, lows = Family(), []
+            for _, payload in held:
+                low, content, which, ids = unpack(payload, "u4", "u8", "u2", "i8")
+                levels.add(content, ids[which])
+                lows.append(low)
+            ask, many = ([np.zeros(len(x), bool) for x in lows] for _ in range(2))
+            left = levels.whole()
+            if left is not None:
+                content, _, batch, place = left
+                start = np.cumsum([0] + [len(x) for x in lows])
+                at = start[batch] + place
+                low = np.concatenate(lows)[at]
+                order = np.argsort(low, kind="stable")
+                low, content, at = low[order], content[order], at[order]
+                first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+                size = np.diff(np.append(first, len(low)))
+                several = np.repeat(np.minimum.reduceat(content, first) != np.maximum.reduceat(content, first), size)
+                for marks, which in ((ask, several), (many, several & np.repeat(size >= many_from, size))):
+                    flat = np.zeros(start[-1], bool)
+                    flat[at[which]] = True
+                    marks[:] = [flat[a:b] for a, b in zip(start[:-1], start[1:], strict=True)]
+            bits = zip(held, levels.covered, ask, many, strict=True)
+            yield _answers([(block, family, pack(*map(np.packbits, marks))) for (block, _), *marks in bits])
+
+    return run
+
+
+def _suffixes(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes cut at the length that matters. All have it, so dropped zero bytes at their ends don't confuse them."""
+    return np.lib.stride_tricks.sliding_window_view(buf, length)[at].copy().view(f"S{length}").ravel()
 
 
 def _join_runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -277,23 +291,37 @@ def _send_contents(families: int, length: int):
         for r in _rows_of(batches):
             block = Blocks(r["ids"], r["sizes"], r["data"])
             low, _, start, count, row = block.runs(length)
-            covered, ask = np.zeros(len(low), bool), np.zeros(len(low), bool)
+            covered, ask, many = (np.zeros(len(low), bool) for _ in range(3))
             answers = {a["family"]: a["payload"] for a in r["answers"] or ()}
             family = (low % U64(families)).astype(np.int32)
             for f, at in _split(family):
-                c, q = unpack(answers[f], "u1", "u1")
-                covered[at] = np.unpackbits(c, count=len(at)).view(bool)
-                ask[at] = np.unpackbits(q, count=len(at)).view(bool)
-            a, b = _join_runs(start[covered], start[covered] + count[covered] + length - 1)
-            out = [(-1, LAST_ID, r["block"], pack(a, b))]
-            at = np.flatnonzero(ask)
-            for f, own in _split(family[at]):
-                own = at[own]
+                for marks, bits in zip((covered, ask, many), unpack(answers[f], "u1", "u1", "u1"), strict=True):
+                    marks[at] = np.unpackbits(bits, count=len(at)).view(bool)
+            begin, end = start[covered], start[covered] + count[covered] + length - 1
+            # single suffixes of hashes with many contents: the smallest document of the block speaks for all
+            n = count[many]
+            place = np.repeat(start[many] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            docs, dealt = np.repeat(block.ids[row[many]], n), np.zeros(0, np.int32)
+            if len(place):
+                keys = _suffixes(block.buf, place, length)
+                order = np.argsort(docs, kind="stable")
+                order = order[np.argsort(keys[order], kind="stable")]
+                head = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+                least = np.repeat(docs[order][head], np.diff(np.append(head, len(order))))
+                late = docs[order] > least
+                begin, end = np.append(begin, place[order[late]]), np.append(end, place[order[late]] + length)
+                place, docs = place[order[~late]], docs[order[~late]]
+                dealt = (span_hash(prefix_hash(block.buf), place, place + length) % U64(families)).astype(np.int32)
+            out = [(-1, LAST_ID, r["block"], pack(*_join_runs(begin, end)))]
+            # runs, and single suffixes as runs of one
+            at = np.flatnonzero(ask & ~many)
+            start, count = np.append(start[at], place), np.append(count[at], np.ones(len(place), np.int64))
+            docs = np.append(block.ids[row[at]], docs)
+            for f, own in _split(np.append(family[at], dealt)):
                 size = count[own] + length - 1
                 total = np.cumsum(size)
-                place = np.repeat(start[own] - (total - size), size) + np.arange(int(total[-1]))
-                docs = block.ids[row[own]]
-                out.append((f, int(docs.min()), r["block"], pack(block.buf[place], count[own].astype(np.int32), docs, start[own])))
+                where = np.repeat(start[own] - (total - size), size) + np.arange(int(total[-1]))
+                out.append((f, int(docs[own].min()), r["block"], pack(block.buf[where], count[own].astype(np.int32), docs[own], start[own])))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())],
@@ -316,8 +344,7 @@ def _judge_suffixes(length: int):
                 nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
                 first = np.repeat(np.cumsum(size) - size, count) + nth
                 # the suffix array's keys: all suffixes of the open runs, cut at the length that matters
-                keys = np.lib.stride_tricks.sliding_window_view(data, length)[first].copy().view(f"S{length}").ravel()
-                levels.add(keys, np.repeat(docs, count))
+                levels.add(_suffixes(data, first, length), np.repeat(docs, count))
                 where.append(np.repeat(start, count) + nth)
             out = []
             for (block, _), covered, at in zip(held, levels.covered, where, strict=True):
@@ -381,7 +408,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         own = answers.groupBy("block").agg(F.collect_list(F.struct("family", "payload")).alias("answers"))
         return blocks.join(own, "block", "left")
 
-    judged = in_order(blocks.mapInArrow(_deal_runs(families, length), TO_FAMILY)).mapInArrow(_judge_runs, TO_BLOCK)
+    judged = in_order(blocks.mapInArrow(_deal_runs(families, length), TO_FAMILY)).mapInArrow(_judge_runs(MANY_CONTENTS), TO_BLOCK)
     sent = settle(with_answers(settle(judged)).drop("more").mapInArrow(_send_contents(families, length), TO_FAMILY))
     singles = in_order(sent.where("family >= 0")).mapInArrow(_judge_suffixes(length), TO_BLOCK)
     spans = settle(sent.where("family < 0").select("block", "family", "payload").unionByName(singles))

@@ -53,6 +53,7 @@ def test_random_passages(spark, seed, monkeypatch):
     rng.shuffle(docs)
     # several blocks, families and segments even for small data
     monkeypatch.setattr(suffixes, "FAMILY_BYTES", 700)
+    monkeypatch.setattr(suffixes, "MANY_CONTENTS", [2, 4, 256][seed])
     got = got_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), length=30)
     assert got == brute_repeats(docs, 30)
 
@@ -71,6 +72,14 @@ def test_runs_do_not_depend_on_segments(monkeypatch):
     assert low == {s + k: h for h, s, n in zip(parts[0], parts[2], parts[3], strict=True) for k in range(n)}
 
 
+def test_passage_in_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "MANY_CONTENTS", 8)
+    rng = random.Random(1)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(130))
+    docs = [(d, f"{rng.random()} {passage}{rng.random()}" + "\0" * (d % 3) * 30) for d in range(80)]
+    assert got_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(6)) == brute_repeats(docs, 50)
+
+
 def test_kept_text_and_spans(spark):
     passage = "the same fifty bytes and some more of it stand here twice. "
     docs = spark.createDataFrame([(1, f"A {passage}B"), (2, f"C {passage}D")], "doc_id long, text string")
