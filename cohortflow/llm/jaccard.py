@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.llm.text import FOLDED, U64, chunks, known, mix, prefix_hash, row_of, rows_with, shingles, shown, span_hash, words
@@ -329,13 +329,21 @@ class Join:
         return self.docs.mapInArrow(run, "root long, sid long")
 
     def trees(self) -> DataFrame:
-        """``(tree, sid, members)`` of the trees with two members or more; of equal trees one."""
+        """``(tree, sid, members)`` of the trees with two members or more; of equal trees one.
+
+        The roots are by far the largest table here: they are shuffled once, and only those that several classes share
+        are written.
+        """
         held = self._roots().repartition("root").dropDuplicates(["root", "sid"])
-        groups = held.groupBy("root").agg(
-            F.count("*").alias("members"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")
-        ).where("members > 1")
-        kept = groups.groupBy("members", "x", "y").agg(F.min("root").alias("root"))
-        return held.join(kept, "root").select(F.col("root").alias("tree"), "sid", "members")
+        own = Window.partitionBy("root")
+        shared = settle(
+            held.select(
+                "root", "sid", F.count("*").over(own).alias("members"),
+                F.bit_xor(F.xxhash64("sid")).over(own).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).over(own).alias("y"),
+            ).where("members > 1")
+        )
+        kept = shared.groupBy("members", "x", "y").agg(F.min("root").alias("root"))
+        return shared.join(kept.select("root"), "root", "left_semi").select(F.col("root").alias("tree"), "sid", "members")
 
     def _candidates(self, members: DataFrame, propose: bool) -> DataFrame:
         """Pairs of classes that the trees leave open. ``members``: (tree, sid, component)."""
