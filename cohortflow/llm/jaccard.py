@@ -37,7 +37,7 @@ FAN = 16
 PAIRS_AT_ONCE = 2048
 PROPOSED = 3  # neighbours of each member in a round of proposals, of the next REACH in leaf order
 REACH = 64
-ROUNDS = 3
+ROUNDS = 2
 BROADCAST_IDS = 500_000
 
 PAIRS = "a long, b long"
