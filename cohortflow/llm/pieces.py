@@ -35,6 +35,7 @@ SAMPLES = 4
 ALPHA = 0.5
 RANK_SHIFT = 10.0
 TABLE_BITS = 20
+NEAR = 64  # edges at a text's beginning, where most of what can still be opened lies
 LARGE_CHUNK = 4 << 20  # the lattice of a word serves all its places in a chunk
 SPACE_MARK = "▁"
 PREFIXES = (3, 5, 8)  # lengths at which stretches that begin no longer piece are given up
@@ -194,7 +195,7 @@ def build_lattice(v: Vocabulary, buf: np.ndarray, begin: np.ndarray, end: np.nda
         froms, tos, ids, weight = froms[reach], tos[reach], ids[reach], weight[reach]
     chance = np.exp(weight + rest[tos] - rest[froms])
     first = np.searchsorted(froms, np.arange(len(unit) + 1))
-    return Lattice(first, tos, ids, chance, start, ~inside, source)
+    return Lattice(first, tos.astype(np.int32), ids.astype(np.int32), chance, start, ~inside, source)
 
 
 SALTS = mix(np.arange(1, 4097, dtype=U64))
@@ -331,18 +332,21 @@ class Sampler:
             with np.errstate(over="ignore", invalid="ignore"):
                 split = mass - np.log(np.exp(mass - top) - np.log(noise))
             split[~np.isfinite(mass)] = -np.inf
-            # only the best few can still be opened
-            for _ in range(samples - turn):
-                best = np.maximum.reduceat(split, begin)
-                hit = np.flatnonzero(split == best[text])
-                hit = hit[np.unique(text[hit], return_index=True)[1]]
-                for at in hit[np.isfinite(split[hit])].tolist():
-                    k = int(text[at])
-                    place = at - int(begin[k])
-                    node = opened[rows[k]]
-                    taken = [int(edges[at])] + (node.taken if node is not None and place == node.at else [])
-                    heapq.heappush(heaps[rows[k]], (-float(split[at]), turn * (1 << 40) + place, Node(*paths[k], place, taken)))
-                split[hit] = -np.inf
+            # only the best few can still be opened: those not below the last of the best few at a text's beginning
+            few = samples - turn
+            head = begin[:, None] + np.arange(NEAR)
+            early = np.where(head < (begin + size)[:, None], split[np.minimum(head, len(split) - 1)], -np.inf)
+            bar = np.partition(early, NEAR - few, axis=1)[:, NEAR - few]
+            able = np.flatnonzero((split >= bar[text]) & np.isfinite(split))
+            order = able[np.lexsort((able, -split[able], text[able]))]
+            owner = text[order]
+            rank = np.arange(len(order)) - np.searchsorted(owner, owner)
+            for at in order[rank < few].tolist():
+                k = int(text[at])
+                place = at - int(begin[k])
+                node = opened[rows[k]]
+                taken = [int(edges[at])] + (node.taken if node is not None and place == node.at else [])
+                heapq.heappush(heaps[rows[k]], (-float(split[at]), turn * (1 << 40) + place, Node(*paths[k], place, taken)))
             total = np.add.reduceat(log_p, begin)
             for k, r in enumerate(rows):
                 found[r].append((paths[k][0], float(total[k]), value[r]))
@@ -398,6 +402,8 @@ def sample(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = A
 
     ``model`` is the path of a SentencePiece file. With ``with_ids`` the ids themselves are returned as ``ids``.
     """
+    if samples > NEAR:
+        raise ValueError(f"{NEAR} samples at most")
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
