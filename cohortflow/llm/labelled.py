@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.llm.text import rows_with
+from cohortflow.session import settle
 
 FOLDS = 5
 
@@ -17,16 +18,19 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[int]]:
-    """``(doc_id, text, y)`` of at most ``bound`` labelled rows, half of each class at most, and all labels' counts.
+    """``(doc_id, text, y)`` of at most ``bound`` labelled rows, half of each class at most, and all their labels' counts.
 
     Chosen by the hash of the id, so a larger table gives other rows but the same kind. Labels other than 0 and 1,
-    null ids and held-out rows are left out; an id labelled twice counts with its smaller label.
+    null ids, ids that ``docs`` lacks and held-out rows are neither chosen nor counted; an id labelled twice counts with
+    its smaller label.
     """
-    usable = (
+    there = docs.select(F.col(key).cast("long").alias("doc_id")).distinct()
+    usable = settle(
         labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
         .where(~held_out("doc_id"))
         .groupBy("doc_id").agg(F.min("y").alias("y"))
+        .join(there, "doc_id", "left_semi")
     )
     counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     picked = [

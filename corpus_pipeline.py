@@ -27,8 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose nearest labelled neighbours speak for them."""
-    return neighbours.keep(docs, neighbours.fit(docs, table(spark, sf_dir, "labels")))
+    """Documents whose nearest labelled neighbours speak for them.
+
+    The neighbours come from all documents: of those with label 0, the stage before has removed nearly all.
+    """
+    return neighbours.keep(docs, neighbours.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from cohortflow.llm import pieces, style_tree, topk
+from cohortflow.llm.labelled import held_out, training_rows
 from cohortflow.llm.text import flat
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -208,6 +209,32 @@ def test_pipeline_stages(spark, tmp_path):
     assert {p.doc_id for p in pieces_} == set(seen[3])
 
 
+def test_the_classifier_rejects_what_the_rules_miss(spark, tmp_path):
+    """The rows labelled 0 are no longer among the stage's documents, unlabelled ones of their kind are."""
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(1)
+    text = lambda kind: " ".join(f"{kind}{k}" for k in rng.integers(0, 3000, 120))
+    docs = [(n, text("good" if n % 2 else "bad")) for n in range(240)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame([(n, t, "en", "s", len(t)) for n, t in docs], schema)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    # ids beyond the table must not use up the bounded sample
+    labels = [(n, n % 2, 0) for n in range(200)] + [(n, 0, 0) for n in range(1000, 1300)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = frame.where("doc_id >= 200 OR doc_id % 2 = 1")
+    kept = {r.doc_id for r in cp.classifier(spark, left, str(tmp_path)).collect()}
+    assert kept == set(range(1, 240, 2))
+
+
+def test_training_rows_are_chosen_among_the_documents(spark):
+    docs = spark.createDataFrame([(n, f"text {n}") for n in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(400)], "doc_id long, quality int")
+    rows, counts = training_rows(docs, labels, "quality", 10)
+    assert sorted(r.y for r in rows.collect()) == [0] * 5 + [1] * 5
+    assert counts == [r["n"] for r in labels.where("doc_id < 40").where(~held_out()).groupBy("quality").agg(F.count("*").alias("n")).orderBy("quality").collect()]
+
+
 def test_registered_names():
     import __spark_entry__ as driver
 
