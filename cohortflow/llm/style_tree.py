@@ -3,8 +3,9 @@
 Pages of a host are merged into one tree: an element is known by the path of styles (sequences of child elements) that
 leads to it. Its importance on the site is one where its presentation or content varies from page to page, and falls
 towards zero the more pages show the same: with m pages that hold the element, the entropy (base m) of its styles
-counts for its presentation, and for every text block one minus log_m of the pages that show the same block. Branches
-of low importance are removed from each page.
+counts for its presentation, and for every text block one minus log_m of the pages that show the same block. The strings
+of elements of low importance are removed from each page: a branch goes as a whole where all its elements are low, and
+what varies below a constant label stays.
 
 What a page says about itself outranks the statistics: marked menus, headers, footers, sidebars, notices, adverts,
 forms, scripts and comments go (``NOISE_TAGS``, ``NOISE_WORDS``); where a page marks its article, the article is the main
@@ -171,7 +172,7 @@ def parse(source: str) -> Element:
 
 
 def blocks(e: Element, low: frozenset[int] = frozenset(), only_article: bool | None = None) -> list[str]:
-    """Text blocks in page order, without noise and without the elements numbered in ``low``."""
+    """Text blocks in page order, without noise and without the strings of the elements numbered in ``low``."""
     out: list[str] = []
     parts: list[str] = []
     if only_article is None:
@@ -198,8 +199,6 @@ def blocks(e: Element, low: frozenset[int] = frozenset(), only_article: bool | N
             if not (node.tag == "header" and inside and only_article and not node.mark):
                 continue
             heading_only = True
-        if node.number in low:
-            continue
         if node.tag == "br":
             if inside:
                 parts.append(" ")
@@ -211,7 +210,8 @@ def blocks(e: Element, low: frozenset[int] = frozenset(), only_article: bool | N
         if block:
             flush()
             todo.append((None, False, False))
-        todo.extend((c, inside, heading_only) for c in reversed(node.children))
+        bare = node.number in low
+        todo.extend((c, inside, heading_only) for c in reversed(node.children) if not (bare and isinstance(c, str)))
     flush()
     return out
 
@@ -266,8 +266,8 @@ def _parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def importance(nodes: DataFrame) -> DataFrame:
     """``(element, importance, pages)`` of every element on at least ``LEAST_PAGES`` pages of its host.
 
-    The presentation's entropy over styles and the mean importance of the element's distinct text blocks, both in [0, 1];
-    an element without text has its presentation alone, one with text its content for the larger part.
+    The presentation's entropy over styles and the mean importance of the element's distinct text blocks, both in [0, 1],
+    the latter for the larger part; an element without text of its own has nothing to lose and counts as one.
     """
     pages = nodes.groupBy("element").agg(F.count("*").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
 

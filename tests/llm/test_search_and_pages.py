@@ -98,6 +98,15 @@ def test_repeated_branches_of_a_site_go(spark):
     assert texts[100].startswith("three home") and texts[101] == texts[102] == ""
 
 
+def test_what_varies_below_a_constant_label_stays(spark):
+    def page(n):
+        return f"<body><div>You are here: <p>Article {n} of its own.</p></div><p>Note: <b>sentence {n * 3}</b></p><div>Call us <i>today</i></div></body>"
+
+    rows = [(n, f"http://h/{n}", page(n)) for n in range(30)]
+    got = style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == {n: f"Article {n} of its own.\nsentence {n * 3}" for n in range(30)}
+
+
 def test_copies_of_an_article_stay(spark):
     rows = [(n, "http://h/x", f"<body><article><p>Same for all.</p></article><div>menu {n}</div></body>") for n in range(30)]
     got = style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
