@@ -13,8 +13,8 @@ text and copies of it on other pages of the host don't count against it. The tre
 
 Statistics are counted by Spark per (host, element), never per host, so a host of any size spreads over all tasks.
 
-Rows: null html gives an empty text. Pages without a host share the host "". Repeated rows and repeated ids are
-extracted one by one. An empty table gives no rows. Extra columns are ignored.
+Rows: null html gives an empty text. Pages without a host share the host "". Copies of a page, which hold the same text
+in the same elements, are one page of the statistics under whatever id, url and html, and are extracted one by one. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -249,7 +249,13 @@ def _host(url: str | None) -> str:
     return m[1].rpartition("@")[2].partition(":")[0].lower() if m else ""
 
 
+def page_hash(found: list[tuple[int, int, int, int, bool]]) -> int:
+    """The same for copies of a page: of its elements' texts and their paths."""
+    return _hash("page", *(f"{path} {content}" for _, path, _, content, _ in found if content))
+
+
 ELEMENT_ROWS = "row long, number int, element long, style long, content long, removable boolean"
+PAGE_ROWS = ELEMENT_ROWS + ", page long"
 
 
 def _parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,9 +264,10 @@ def _parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for row, url, source in zip(batch["row"], batch["url"], batch["html"], strict=True):
             if not source:
                 continue
-            host = _host(url)
-            rows += [(row, number, _hash(host, path), style, content, removable) for number, path, style, content, removable in elements(parse(source))]
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ELEMENT_ROWS.split(", ")])
+            host, found = _host(url), elements(parse(source))
+            page = page_hash(found)
+            rows += [(row, number, _hash(host, path), style, content, removable, page) for number, path, style, content, removable in found]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE_ROWS.split(", ")])
 
 
 def importance(nodes: DataFrame) -> DataFrame:
@@ -307,12 +314,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     rows = pages.select(
         F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")
     ).withColumn("row", F.xxhash64("page_id", "url", "html"))
-    parsed = rows.select("row", "url", "html").mapInPandas(_parse_rows, ELEMENT_ROWS)
-    # identical rows are one page of the site
-    nodes = settle(parsed.dropDuplicates(["row", "number"]))
-    weak = importance(nodes).where(F.col("importance") < threshold).select("element")
+    nodes = settle(rows.select("row", "url", "html").mapInPandas(_parse_rows, PAGE_ROWS))
+    # copies are one page of the site
+    counted = nodes.groupBy("element", "page").agg(F.min(F.struct("style", "content")).alias("one")).select("element", "one.*")
+    weak = importance(settle(counted)).where(F.col("importance") < threshold).select("element")
     low = settle(
-        nodes.where("removable").join(weak, "element", "left_semi").groupBy("row").agg(F.collect_list("number").alias("low"))
+        nodes.where("removable").join(weak, "element", "left_semi").groupBy("row").agg(F.collect_set("number").alias("low"))
     )
     if (low.agg(F.sum(F.size("low") + 1)).first()[0] or 0) <= BROADCAST_NUMBERS:
         low = F.broadcast(low)

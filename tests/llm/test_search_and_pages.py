@@ -107,6 +107,19 @@ def test_what_varies_below_a_constant_label_stays(spark):
     assert {r.page_id: r.text for r in got.collect()} == {n: f"Article {n} of its own.\nsentence {n * 3}" for n in range(30)}
 
 
+def test_copies_of_an_unmarked_page_stay(spark):
+    """Under other ids, urls and spellings they count once; what the site's other pages share goes from every copy."""
+    def page(n, more=""):
+        ps = "".join(f"<p>Part {k} of text {n}.</p>" for k in range(2 if n else 3))
+        return f"<body{more}><div>Site home</div><div>{ps}</div></body>"
+
+    rows = [(n, f"http://h/{n}", page(0, f" data-n='{n}'")) for n in range(30)] + [(n, f"http://h/{n}", page(n)) for n in range(30, 40)]
+    got = style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    texts = {r.page_id: r.text for r in got.collect()}
+    assert {texts[n] for n in range(30)} == {"Part 0 of text 0.\nPart 1 of text 0.\nPart 2 of text 0."}
+    assert all(texts[n] == f"Part 0 of text {n}.\nPart 1 of text {n}." for n in range(30, 40))
+
+
 def test_copies_of_an_article_stay(spark):
     rows = [(n, "http://h/x", f"<body><article><p>Same for all.</p></article><div>menu {n}</div></body>") for n in range(30)]
     got = style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
