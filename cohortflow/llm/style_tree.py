@@ -7,9 +7,11 @@ counts for its presentation, and for every text block one minus log_m of the pag
 of elements of low importance are removed from each page: a branch goes as a whole where all its elements are low, and
 what varies below a constant label stays.
 
-What a page says about itself outranks the statistics: marked menus, headers, footers, sidebars, notices, adverts,
-forms, scripts and comments go (``NOISE_TAGS``, ``NOISE_WORDS``); where a page marks its article, the article is the main
-text and copies of it on other pages of the host don't count against it. The tree decides about everything else.
+What a page says about itself weighs beforehand: marked menus, headers, footers, sidebars, notices, adverts, forms,
+scripts and comments go (``NOISE_TAGS``, ``NOISE_WORDS``), but an element marked only by a word of its class, id or role stays if
+it holds most of the page's varied text. A marked article is the main text unless far more varied text lies outside of it
+(``ARTICLE_WEIGHT``); its elements go like others, but only from a lower importance (``ARTICLE_PRIOR``), and never all of them.
+Pages with the same marked article are copies. The tree decides about everything else.
 
 Statistics are counted by Spark per (host, element), never per host, so a host of any size spreads over all tasks.
 
@@ -34,6 +36,8 @@ from cohortflow.session import settle
 THRESHOLD = 0.35
 DECAY = 0.9  # weight of an element's own presentation against its content, per level
 LEAST_PAGES = 4
+ARTICLE_PRIOR = 0.25  # importance that lying in a marked article gives before anything is counted
+ARTICLE_WEIGHT = 3  # a marked article is the main text unless so many times its varied text lie outside
 BROADCAST_NUMBERS = 1_000_000  # beyond it, pages and their weak elements meet in a shuffle join
 
 # Elements and words in class, id and role that mark what is no main text
@@ -62,6 +66,7 @@ RAW = re.compile(r"<(script|style|textarea|title|noscript|template|iframe|svg)\b
 CLOSED_BY_BLOCK = {"p"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIST_ROOTS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
+PLAIN, MARKED, ARTICLE = range(3)  # where an element lies
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 # a tag's attributes may hold ">" in quotes; where quotes don't match, the tag ends at the next ">"
@@ -83,14 +88,15 @@ class Element:
     sure: bool  # noise even around or as an article
     article: bool  # marks the article itself
     children: list = field(default_factory=list)  # elements and strings, in order
+    named: bool = False  # noise only by a word of class, id or role
     holds_article: bool = False
     path: int = 0
     number: int = -1
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """What tells elements of one tag apart, whether it is noise, surely so, whether it is the article."""
-    noise = sure = tag in NOISE_TAGS
+def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """What tells elements of one tag apart, whether it is noise, surely so, whether it is the article, and noise by words alone."""
+    noise = sure = unseen = tag in NOISE_TAGS
     article, names = tag in ("article", "main"), []
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
@@ -102,14 +108,14 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
                 article |= name == "role" and value.strip().lower() in ("main", "article")
                 names.append(value if name == "class" else "")
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                noise = True
+                noise = unseen = True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                noise = True
+                noise = unseen = True
     if tag in ("html", "body"):
         noise = sure = False
     if article:
         noise = sure
-    return " ".join(names), noise, sure, article and not noise
+    return " ".join(names), noise, sure, article and not noise, noise and not sure and not unseen
 
 
 def parse(source: str) -> Element:
@@ -141,7 +147,7 @@ def parse(source: str) -> Element:
                 if tag not in BLOCKS and stack[k].tag in BLOCKS:
                     break
             continue
-        mark, noise, sure, article = _marks(tag, attributes)
+        mark, noise, sure, article, named = _marks(tag, attributes)
         if tag in BLOCKS:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in CLOSED_BY_BLOCK:
@@ -156,7 +162,7 @@ def parse(source: str) -> Element:
                     break
                 if stack[k].tag in LIST_ROOTS[tag]:
                     break
-        element = Element(tag, mark, noise, sure, article)
+        element = Element(tag, mark, noise, sure, article, named=named)
         stack[-1].children.append(element)
         if article and not any(e.sure for e in stack):
             for e in stack:  # a wrapper named after the sidebar beside the article is no sidebar
@@ -171,12 +177,44 @@ def parse(source: str) -> Element:
     return root
 
 
+def weigh(root: Element, low: frozenset[int]) -> tuple[frozenset[int], bool]:
+    """Weighs the marks against the page's varied text, that of elements not in ``low``.
+
+    Takes the mark off wrappers that hold most of it. Returns ``low`` without the article's elements if nothing else of the
+    article would stay, and whether the article is the main text.
+    """
+    order: list[tuple[Element, int, bool]] = []
+    todo = [(root, -1, False)]
+    while todo:
+        e, up, inside = todo.pop()
+        if e.noise and not e.named:
+            continue
+        inside = inside or e.article
+        todo.extend((c, len(order), inside) for c in e.children if not isinstance(c, str))
+        order.append((e, up, inside))
+    full = [sum(len(c.strip()) for c in e.children if isinstance(c, str)) for e, _, _ in order]
+    own = [0 if e.number in low else n for (e, _, _), n in zip(order, full, strict=True)]
+    whole = own.copy()
+    for k in range(len(order) - 1, 0, -1):
+        whole[order[k][1]] += whole[k]
+    gone = []
+    for (e, up, _), n in zip(order, whole, strict=True):
+        e.noise = e.noise and 2 * n <= whole[0]
+        gone.append(e.noise or (up >= 0 and gone[up]))
+    stays = [k for k in range(len(order)) if not gone[k]]
+    article, outside = (sum(own[k] for k in stays if order[k][2] == inside) for inside in (True, False))
+    if not article:
+        low = low - {e.number for e, _, inside in order if inside}
+        article = sum(full[k] for k in stays if order[k][2])
+    return low, article > 0 and ARTICLE_WEIGHT * article >= outside
+
+
 def blocks(e: Element, low: frozenset[int] = frozenset(), only_article: bool | None = None) -> list[str]:
     """Text blocks in page order, without noise and without the strings of the elements numbered in ``low``."""
     out: list[str] = []
     parts: list[str] = []
     if only_article is None:
-        only_article = e.holds_article
+        low, only_article = weigh(e, low)
 
     def flush() -> None:
         text = WHITE.sub(" ", entities.unescape("".join(parts))).strip(" ")
@@ -220,42 +258,59 @@ def _hash(*parts) -> int:
     return xxhash.xxh64_intdigest("\x1f".join(map(str, parts))) - (1 << 63)
 
 
-def elements(root: Element) -> list[tuple[int, int, int, int, bool]]:
-    """``(number, path, style, content, removable)`` of every element that is no noise and holds text or elements.
+def elements(root: Element) -> list[tuple[int, int, int, int, bool, int, int]]:
+    """``(number, path, style, content, removable, place, size)`` of every element that is no noise or noise by words alone.
 
-    ``style`` is the sequence of child elements, ``content`` the text of the element's own block (0 if it has none). The
-    path of a child is its parent's path and style and its place. An element that is or holds or lies in the article is
-    never removed; numbers count elements in page order.
+    ``style`` is the sequence of child elements, ``content`` the text of the element's own block (0 if it has none), ``size`` its
+    length. The path of a child is its parent's path and style and its place. ``place`` is where the element lies: ``PLAIN``,
+    ``MARKED`` as noise, or ``ARTICLE``. Numbers count elements in page order.
     """
-    out: list[tuple[int, int, int, int, bool]] = []
+    out: list[tuple[int, int, int, int, bool, int, int]] = []
     root.path = _hash("root")
-    todo = [(root, False)]
+    todo = [(root, PLAIN)]
     while todo:
-        e, inside = todo.pop()
+        e, place = todo.pop()
         kids = [c for c in e.children if not isinstance(c, str) and not c.noise and c.tag not in VOID]
         style = _hash(*(f"{c.tag}.{c.mark}" for c in kids))
         own = WHITE.sub(" ", "".join(c for c in e.children if isinstance(c, str))).strip(" ")
         e.number = len(out)
-        inside = inside or e.article
-        out.append((e.number, e.path, style, _hash("text", own) if own else 0, not (inside or e is root or e.tag in ("html", "body") or e.holds_article)))
+        if e.noise:
+            place = MARKED
+        elif e.article and place == PLAIN:
+            place = ARTICLE
+        out.append((e.number, e.path, style, _hash("text", own) if own else 0, not (e is root or e.tag in ("html", "body")), place, len(own)))
         for k, c in enumerate(kids):
             c.path = _hash(e.path, style, k, c.tag, c.mark)
-        todo.extend((c, inside) for c in reversed(kids))
+        # what is marked as noise comes and goes between pages, so it is no part of the style
+        marked = [c for c in e.children if not isinstance(c, str) and c.noise and c.named and c.tag not in VOID]
+        for k, c in enumerate(marked):
+            c.path = _hash(e.path, "marked", k, c.tag, c.mark)
+        below = [c for c in e.children if not isinstance(c, str) and c.tag not in VOID and (c.named or not c.noise)] if marked else kids
+        todo.extend((c, place) for c in reversed(below))
     return out
 
 
+def page_hash(found: list[tuple[int, int, int, int, bool, int, int]]) -> int:
+    """The same for copies of a page: of the texts of its article if that is the main text, else of texts and paths.
+
+    What is marked as noise may differ between copies, unless most of the page lies there.
+    """
+    size = [0, 0, 0]
+    for *_, place, n in found:
+        size[place] += n
+    if size[ARTICLE] and ARTICLE_WEIGHT * size[ARTICLE] >= size[PLAIN]:
+        return _hash("article", *(content for _, _, _, content, _, place, _ in found if content and place == ARTICLE))
+    most = size[MARKED] > size[PLAIN] + size[ARTICLE]
+    return _hash("page", *(f"{path} {content}" for _, path, _, content, _, place, _ in found if content and (most or place != MARKED)))
+
+
 def _host(url: str | None) -> str:
     m = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//([^/?#\s]*)", url or "")
     return m[1].rpartition("@")[2].partition(":")[0].lower() if m else ""
 
 
-def page_hash(found: list[tuple[int, int, int, int, bool]]) -> int:
-    """The same for copies of a page: of its elements' texts and their paths."""
-    return _hash("page", *(f"{path} {content}" for _, path, _, content, _ in found if content))
-
-
 ELEMENT_ROWS = "row long, number int, element long, style long, content long, removable boolean"
-PAGE_ROWS = ELEMENT_ROWS + ", page long"
+PAGE_ROWS = ELEMENT_ROWS + ", page long, place int"
 
 
 def _parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,7 +321,7 @@ def _parse_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             host, found = _host(url), elements(parse(source))
             page = page_hash(found)
-            rows += [(row, number, _hash(host, path), style, content, removable, page) for number, path, style, content, removable in found]
+            rows += [(row, number, _hash(host, path), style, content, removable, page, place) for number, path, style, content, removable, place, _ in found]
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE_ROWS.split(", ")])
 
 
@@ -317,9 +372,10 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     nodes = settle(rows.select("row", "url", "html").mapInPandas(_parse_rows, PAGE_ROWS))
     # copies are one page of the site
     counted = nodes.groupBy("element", "page").agg(F.min(F.struct("style", "content")).alias("one")).select("element", "one.*")
-    weak = importance(settle(counted)).where(F.col("importance") < threshold).select("element")
+    weak = importance(settle(counted)).where(F.col("importance") < threshold).select("element", "importance")
+    prior = F.when(F.col("place") == ARTICLE, ARTICLE_PRIOR).otherwise(0.0)
     low = settle(
-        nodes.where("removable").join(weak, "element", "left_semi").groupBy("row").agg(F.collect_set("number").alias("low"))
+        nodes.where("removable").join(weak, "element").where(prior + (1 - prior) * F.col("importance") < threshold).groupBy("row").agg(F.collect_set("number").alias("low"))
     )
     if (low.agg(F.sum(F.size("low") + 1)).first()[0] or 0) <= BROADCAST_NUMBERS:
         low = F.broadcast(low)

@@ -120,6 +120,28 @@ def test_copies_of_an_unmarked_page_stay(spark):
     assert all(texts[n] == f"Part 0 of text {n}.\nPart 1 of text {n}." for n in range(30, 40))
 
 
+@pytest.mark.parametrize("name", ["page with-sidebar", "content-bottom", "has-cookie-notice"])
+def test_marked_wrappers_of_the_main_text_stay(name):
+    source = f"<body><div class='{name}'><div><p>All that the page has to say.</p></div><div class='sidebar'>side</div></div><div class='menu'>x</div></body>"
+    assert style_tree.blocks(style_tree.parse(source)) == ["All that the page has to say."]
+
+
+def test_teaser_cards_are_not_the_article():
+    text = "A long text of its own. " * 9
+    source = f"<body><div><p>{text}</p></div><article>Read also</article></body>"
+    assert style_tree.blocks(style_tree.parse(source))[0] == text.strip()
+
+
+def test_the_tree_decides_within_and_without_marks(spark):
+    def page(n, tag, name=""):
+        return f"<body><div>Site home</div><{tag}{name}><p>Text {n} of its own, more or less.</p><p>Join our club</p></{tag}></body>"
+
+    kinds = [("main", ""), ("article", ""), ("div", " role='main'"), ("div", ""), ("div", " class='content-bottom'")]
+    rows = [(20 * k + n, f"http://{k}.h/{n}", page(n, *kind)) for k, kind in enumerate(kinds) for n in range(20)]
+    got = style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == {20 * k + n: f"Text {n} of its own, more or less." for k in range(len(kinds)) for n in range(20)}
+
+
 def test_copies_of_an_article_stay(spark):
     rows = [(n, "http://h/x", f"<body><article><p>Same for all.</p></article><div>menu {n}</div></body>") for n in range(30)]
     got = style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
