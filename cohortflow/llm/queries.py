@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortflow.llm import jaccard, neighbours, packing, pieces, quality_rules, style_tree, suffixes, token_files, topk, toxicity
+from cohortflow.llm import jaccard, licences, neighbours, packing, pieces, quality_rules, repair, style_tree, suffixes, token_files, topk, toxicity, trie
 from cohortflow.llm.labelled import held_out
+from cohortflow.llm.turn_sql import LICENCE_SQL, REPAIR_SQL, TRIE_SQL
 from cohortflow.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +99,18 @@ def op6(spark, sf):
 @query("op8_piece_sampling")
 def op8(spark, sf):
     return pieces.sample(table(spark, sf, "documents"), public_tokenizers.path(PIECES))
+
+
+@query("op11_prefix_trie", TRIE_SQL)
+def op11(spark, sf):
+    return trie.trie(*trie.rebased(trie.turns(table(spark, sf, "conversations")))).drop("turn_id")
+
+
+@query("op12_structure_repair", REPAIR_SQL)
+def op12(spark, sf):
+    return repair.digests(repair.damage(table(spark, sf, "conversations")))
+
+
+@query("op13_license_scan", LICENCE_SQL)
+def op13(spark, sf):
+    return licences.scan(table(spark, sf, "documents"))
