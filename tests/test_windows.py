@@ -1,4 +1,7 @@
+import math
+import random
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +80,77 @@ def test_a_hot_key_is_split_without_losing_rows(spark):
         assert {r["id"]: r["count"] for r in hits.groupBy("id").count().collect()} == want
 
 
+def _pairs(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+@pytest.mark.parametrize("kind, width", [("double", None), ("double", 3.0), ("timestamp_ntz", None), ("timestamp", 900), ("date", None), ("decimal(9,3)", None)])
+def test_cells_give_the_same_rows_as_a_plain_join(spark, kind, width):
+    """Windows of all lengths, reversed and without an end; far outliers; infinite numbers."""
+    rng = random.Random(7)
+    day = datetime(2020, 1, 1)
+
+    def time(v):
+        if v is None or kind == "double":
+            return v if v is None else float(v)
+        if kind.startswith("decimal"):
+            return Decimal(str(round(v, 3)))
+        at = day + timedelta(days=v) if kind == "date" else day + timedelta(minutes=v)
+        return at.date() if kind == "date" else at
+
+    def window():
+        s = rng.choice([rng.uniform(-50, 200), rng.randint(0, 100), None])
+        e = None if s is None else s + rng.choice([0, rng.uniform(-5, 30), 1, 5000, None or 2])
+        return (s, e) if rng.random() > 0.05 else (s, None)
+
+    infinite = [(1, "inf", -math.inf, math.inf), (2, "up", 3.0, math.inf), (2, "nan", 3.0, math.nan)] if kind == "double" else []
+    a = [(rng.randint(0, 3), f"a{n}", *map(time, window())) for n in range(120)] + infinite
+    b = [(rng.randint(0, 3), f"b{n}", *map(time, window())) for n in range(200)] + [(k, f"b{n}", s, e) for k, n, s, e in infinite]
+    a = spark.createDataFrame(a, f"k int, a string, s {kind}, e {kind}").repartition(3)
+    b = spark.createDataFrame(b, f"k int, b string, t {kind}, u {kind}").repartition(2)
+    a.createOrReplaceTempView("side_a")
+    b.createOrReplaceTempView("side_b")
+    join = "SELECT a, b FROM side_a JOIN side_b ON side_a.k = side_b.k AND "
+    for found, condition in (
+        (windows.events_in_window(a, b, ["k"], "t", "s", "e", width=width), "t BETWEEN s AND e"),
+        (windows.events_in_window(a, b, ["k"], "t", "s", "e", end_open=True, width=width), "t >= s AND t < e"),
+        (windows.points_in_intervals(b, a, ["k"], "t", "s", "e", width=width), "t BETWEEN s AND e"),
+        (windows.intervals_overlapping(a, b, ["k"], "t", "u", "s", "e", width=width), "u >= s AND t <= e"),
+    ):
+        assert _pairs(found, "a", "b") == _pairs(spark.sql(join + condition), "a", "b")
+        assert {"_cell", "_first", "_salt"}.isdisjoint(found.columns)
+
+
+def test_times_of_different_types_are_joined_by_key(spark):
+    a = spark.createDataFrame([(1, T0)], "k int, s timestamp_ntz").withColumn("e", F.col("s").cast("timestamp"))
+    b = spark.createDataFrame([(1, T0.date() + timedelta(days=0))], "k int, t date")
+    hits = windows.events_in_window(a, b.withColumn("t", F.col("t").cast("timestamp")), ["k"], "t", "s", "e")
+    assert hits.count() == 0 and "_cell" not in hits._jdf.queryExecution().toString()
+
+
+def test_clock_changes_do_not_part_a_window_from_its_events(spark):
+    """Local times that the clock skips keep their order."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        a = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ'2020-03-29 02:20:00' AS s, TIMESTAMP_NTZ'2020-03-29 03:10:00' AS e")
+        b = spark.sql("SELECT 1 AS k, explode(array(TIMESTAMP_NTZ'2020-03-29 02:30:00', TIMESTAMP_NTZ'2020-03-29 03:05:00')) AS t")
+        assert windows.events_in_window(a, b, ["k"], "t", "s", "e", width=60).count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_one_key_with_many_windows_and_events_is_near_linear(spark):
+    """100,000 windows and 1,000,000 events of one key: the rows that meet are a small multiple of the matches."""
+    a = spark.range(100_000).select(F.lit(1).alias("k"), (F.col("id") * 10.0).alias("s"), (F.col("id") * 10.0 + F.col("id") % 7).alias("e"))
+    b = spark.range(0, 1_000_000, 1, 8).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("t"))
+    hits = windows.events_in_window(a, b, ["k"], "t", "s", "e")
+    assert hits.count() == sum(n % 7 + 1 for n in range(100_000))
+    assert "_cell" in hits._jdf.queryExecution().optimizedPlan().toString()
+    cut = windows._in_cells(a, windows.Span("s", "e"), 3.0, None, None)
+    assert cut.count() < 3 * 100_000
+
+
 def test_time_arithmetic(spark):
     s, e = datetime(2000, 12, 31), datetime(2001, 1, 1)
     df = spark.createDataFrame([(s, e, 2000)], "s timestamp_ntz, e timestamp_ntz, y int")
