@@ -59,13 +59,42 @@ def knn_impute(spark, sf):
     )
 
 
-@query("preprocess_chain")
+def sql_fill(name: str, source: str, donors: str, k: int) -> str:
+    """CTE ``name``: ``source`` with its gaps filled from the nearest rows of ``donors``, or their mean if none is near."""
+    total = " + ".join(sql_square(c) for c in COLS)
+    shared = " + ".join(f"CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in COLS)
+    sides = ", ".join(f"a.{c} AS q_{c}, b.{c} AS d_{c}" for c in COLS)
+    fills = ", ".join(
+        f"{name}_{c} AS (SELECT p_partkey, avg(v) AS m FROM (SELECT p_partkey, d_{c} AS v, row_number() OVER (PARTITION BY p_partkey "
+        f"ORDER BY sqrt(total * 4 / shared), CAST(donor AS VARCHAR)) AS rn FROM {name}_pairs WHERE q_{c} IS NULL AND d_{c} IS NOT NULL "
+        f"AND shared > 0) WHERE rn <= {k} GROUP BY p_partkey)"
+        for c in COLS
+    )
+    out = ", ".join(f"coalesce(s.{c}, {name}_{c}.m, (SELECT avg({c}) FROM {donors})) AS {c}" for c in COLS)
+    joins = " ".join(f"LEFT JOIN {name}_{c} ON {name}_{c}.p_partkey = s.p_partkey" for c in COLS)
+    gap = " OR ".join(f"a.{c} IS NULL" for c in COLS)
+    return f"""{name}_pairs AS (SELECT a.p_partkey, b.p_partkey AS donor, {total} AS total, {shared} AS shared, {sides} FROM {source} a, {donors} b
+      WHERE {gap}), {fills}, {name} AS (SELECT s.p_partkey, {out} FROM {source} s {joins})"""
+
+
+def sql_chain(k: int) -> str:
+    ends = ", ".join(f"quantile_cont({c}, 0.25) AS {c}1, quantile_cont({c}, 0.75) AS {c}3" for c in COLS)
+    masked = ", ".join(f"CASE WHEN {c} BETWEEN {c}1 - 1.5e0 * ({c}3 - {c}1) AND {c}3 + 1.5e0 * ({c}3 - {c}1) THEN {c} END AS {c}" for c in COLS)
+    return f"""WITH {GAPS}, far AS (SELECT * REPLACE (price * CASE WHEN p_partkey % 41 = 0 THEN 9 ELSE 1 END AS price) FROM g),
+      donors AS (SELECT * FROM far WHERE p_partkey % 5 <> 1), {sql_fill("once", "far", "donors", k)},
+      ends AS (SELECT {ends} FROM once WHERE p_partkey % 5 <> 1),
+      masked AS (SELECT p_partkey, {masked} FROM once, ends), {sql_fill("twice", "masked", "donors", k)}
+    SELECT p_partkey, {", ".join(f"round({c}, 6) AS {c}" for c in COLS)}, CASE WHEN p_partkey % 5 <> 1 THEN 'train' ELSE 'test' END AS split FROM twice"""
+
+
+@query("preprocess_chain", sql_chain(5))
 def preprocess_chain(spark, sf):
     """Impute, mask, impute again, fitted on the training rows."""
     x = gaps(spark, sf).withColumn("price", F.col("price") * F.when(F.col("p_partkey") % 41 == 0, 9).otherwise(1))
     train, test = x.where(F.col("p_partkey") % 5 != 1), x.where(F.col("p_partkey") % 5 == 1)
     train, test, _ = impute.preprocess(train, test, COLS, outliers.continuous_columns(train, COLS), "p_partkey", k=5)
-    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return both.select("p_partkey", *[F.round(c, 6).alias(c) for c in COLS], "split")
 
 
 TEXT = ["n_chars", "n_words", "n_lines", "digits", "capitals"]
