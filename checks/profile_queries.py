@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.cohort_queries import sql_avg, sql_round2, sql_sum
 from checks.registry import query, table
-from cohortflow.functions.distributions import normal_cdf_column, normal_quantile_column
+from cohortflow.functions.distributions import cdf_column, normal_cdf_column, normal_quantile_column
 from cohortflow.functions.numeric import round_half_away
 from cohortflow.operators import dist, encode, metrics, missing, ordered, outliers, profile, split
 from cohortflow.plans import analysis
@@ -425,6 +428,78 @@ def ecdf_ks(spark, sf):
     return out.select("column", "family", F.round("loc", 5).alias("loc"), F.round("scale", 5).alias("scale"), "n", F.round("ks_stat", 9).alias("ks_stat"))
 
 
+def sql_normal(z: str) -> str:
+    """Normal distribution function by its power series."""
+    term = f"exp((2 * k + 1) * ln(abs({z}) + 1e-300) - (k + 1) * ln(2.0e0) - lgamma(k + 1.5e0) + 0.5e0 * ln(pi()))"
+    return f"0.5e0 + sign({z}) * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: {term}))"
+
+
+# family: shapes, location, scale, and its distribution function and density of z = (x - location) / scale in SQL
+FAMILIES = {
+    "norm": ((), 1.0, 2.0, sql_normal("z"), "exp(-z * z / 2) / sqrt(2 * pi())"),
+    "lognorm": ((0.5,), 0.0, 1.5, sql_normal("(ln(z) / 0.5e0)"), "exp(-2 * ln(z) * ln(z)) / (z * 0.5e0 * sqrt(2 * pi()))"),
+    "gamma": ((3.0,), 0.0, 0.5, "1 - exp(-z) * (1 + z + z * z / 2)", "exp(2 * ln(z) - z - lgamma(3.0e0))"),
+    "beta": ((2.0, 3.0), 0.0, 6.0, "z * z * (6 - 8 * z + 3 * z * z)", "z * (1 - z) * (1 - z) * exp(lgamma(5.0e0) - lgamma(2.0e0) - lgamma(3.0e0))"),
+    "weibull_min": ((1.7,), 0.0, 1.2, "1 - exp(-pow(z, 1.7e0))", "1.7e0 * pow(z, 0.7e0) * exp(-pow(z, 1.7e0))"),
+    "expon": ((), -0.1, 1.0, "1 - exp(-z)", "exp(-z)"),
+    "rayleigh": ((), 0.0, 1.3, "1 - exp(-z * z / 2)", "z * exp(-z * z / 2)"),
+    "t": ((4.0,), 1.0, 0.7, "0.5e0 + 0.375e0 * z / sqrt(1 + z * z / 4) * (1 - z * z / (12 * (1 + z * z / 4)))", "0.375e0 * pow(1 + z * z / 4, -2.5e0)"),
+}
+
+
+def sql_families(part: int) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{f}' AS family, key, x, {v[part]} AS v, {v[2]!r}e0 AS scale FROM (SELECT key, x, (x - {v[1]!r}e0) / {v[2]!r}e0 AS z FROM points)" for f, v in FAMILIES.items()
+    )
+
+
+@query("cdf_families", f"""WITH points AS (SELECT o_orderkey AS key, o_totalprice / 100000.0e0 AS x FROM orders), f AS ({sql_families(3)})
+  SELECT family, key AS o_orderkey, round(v, 9) AS cdf FROM f""")
+def cdf_families(spark, sf):
+    """All eight distribution functions at the order totals."""
+    o = table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 100000.0).alias("x"))
+    rows = [(f, list(shapes), loc, scale) for f, (shapes, loc, scale, *_) in FAMILIES.items()]
+    fits = F.array(*[F.struct(F.lit(f).alias("family"), F.array(*[F.lit(v) for v in sh]).cast("array<double>").alias("shapes"), F.lit(loc).alias("loc"), F.lit(scale).alias("scale")) for f, sh, loc, scale in rows])
+    each = o.select("o_orderkey", "x", F.inline(fits))
+    return each.select("family", "o_orderkey", F.round(cdf_column("family", "family", "shapes", "loc", "scale", "x"), 9).alias("cdf"))
+
+
+@query("density_families", f"""WITH s AS (SELECT min(o_totalprice) / 100000.0e0 AS lo, max(o_totalprice) / 100000.0e0 AS hi FROM orders),
+  points AS (SELECT CAST(r AS BIGINT) AS key, lo + (hi - lo) * r / 199.0e0 AS x FROM s, range(200) t(r)), f AS ({sql_families(4)})
+  SELECT family, key AS point, round(x, 6) AS x, round(v / scale, 9) AS density FROM f""")
+def density_families(spark, sf):
+    """All eight densities over the range of the order totals."""
+    o = table(spark, sf, "orders").select((F.col("o_totalprice") / 100000.0).alias("x"))
+    grids = [
+        dist.density_grid(spark, o, "x", dist.Fit(f, shapes, loc, scale, 0.0, 1.0), 200).select(
+            F.lit(f).alias("family"), "point", F.round("x", 6).alias("x"), F.round("density", 9).alias("density")
+        )
+        for f, (shapes, loc, scale, *_) in FAMILIES.items()
+    ]
+    return reduce(DataFrame.unionByName, grids)
+
+
+@query("ks_families", f"""WITH RECURSIVE d AS (SELECT o_totalprice / 1000.0e0 AS x FROM orders),
+  m AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, avg(x) AS mean, stddev_pop(x) AS sd, avg(ln(x)) AS lm, stddev_pop(ln(x)) AS ls FROM d),
+  w AS (SELECT 0 AS k, pi() / (ls * sqrt(6)) AS c FROM m
+    UNION ALL SELECT k + 1, c - (sum(z * exp(c * z)) / sum(exp(c * z)) - 1 / c - avg(z)) / (sum(z * z * exp(c * z)) / sum(exp(c * z))
+      - pow(sum(z * exp(c * z)) / sum(exp(c * z)), 2) + 1 / (c * c)) FROM w, (SELECT ln(x / hi) AS z FROM d, m) WHERE k < 30 GROUP BY k, c),
+  c AS (SELECT c FROM w WHERE k = 30), b AS (SELECT c, pow(avg(pow(x, c)), 1 / c) AS scale FROM d, c GROUP BY c),
+  f AS (SELECT 'norm' AS family, CAST(NULL AS DOUBLE) AS shape, mean AS loc, sd AS scale FROM m
+    UNION ALL SELECT 'lognorm', ls, 0.0e0, exp(lm) FROM m UNION ALL SELECT 'expon', NULL, lo, mean - lo FROM m
+    UNION ALL SELECT 'weibull_min', c, 0.0e0, scale FROM b),
+  v AS (SELECT x, sum(c) OVER (ORDER BY x) AS upto, c FROM (SELECT x, count(*) AS c FROM d GROUP BY 1)),
+  p AS (SELECT f.*, upto, v.c, n, CASE family WHEN 'expon' THEN 1 - exp(-(x - loc) / scale) WHEN 'weibull_min' THEN 1 - exp(-pow(x / scale, shape))
+    WHEN 'norm' THEN {sql_normal("((x - loc) / scale)")} ELSE {sql_normal("(ln(x / scale) / shape)")} END AS cdf FROM f, v, m)
+  SELECT family, round(shape, 6) AS shape, round(loc, 5) AS loc, round(scale, 5) AS scale, n,
+    round(max(greatest(cdf - (upto - c) / n, upto / n - cdf)), 9) AS ks_stat FROM p GROUP BY family, shape, loc, scale, n""")
+def ks_families(spark, sf):
+    """Likelihood fits, one of them by steps over all rows, and their distances."""
+    o = table(spark, sf, "orders").select((F.col("o_totalprice") / 1000.0).alias("x"))
+    out = dist.fit_table(o, ["x"], ["norm", "lognorm", "expon", "weibull_min"])
+    return out.select("family", F.round(F.get("shapes", F.lit(0)), 6).alias("shape"), F.round("loc", 5).alias("loc"), F.round("scale", 5).alias("scale"), "n", F.round("ks_stat", 9).alias("ks_stat"))
+
+
 @query("init_pipeline", f"""WITH c AS (SELECT c_custkey, c_acctbal, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal / 2 END AS half,
     CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey END AS nation_no, CASE WHEN c_custkey % 5 <> 0 THEN c_name END AS nm, c_mktsegment FROM customer),
   e AS (SELECT *, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 0 END AS segment,
