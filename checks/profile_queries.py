@@ -295,7 +295,8 @@ def nullity_corr(spark, sf):
 
 @query("missing_predict_auc")
 def missing_predict_auc(spark, sf):
-    groups = {"all": F.lit(True), "open": F.col("status") == "O"}
+    """All orders, and the orders of every status on their own."""
+    groups = {"all": F.lit(True), **{name: F.col("status") == code for name, code in (("open", "O"), ("filled", "F"), ("partial", "P"))}}
     return missing.missing_predictability(messy(spark, sf), GAPPY, groups=groups)
 
 

@@ -6,6 +6,7 @@ works on the pattern counts, so the data is read once and combined before the sh
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,6 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortflow.functions.distributions import chi2_sf
+from cohortflow.operators import logit
+from cohortflow.session import settle
+
+CUTS = 256
 
 
 def co_missing_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -50,12 +55,14 @@ def co_missing_chi2(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     zeros are dropped. The table has one cell per pair of columns.
     """
     cells = missing_present_table(df, columns).collect()
+    return _chi2({(r["col_i"], r["col_j"]): r["n"] for r in cells})
+
+
+def _chi2(cells: dict[tuple[str, str], int]) -> dict[str, float]:
     if not cells:
         raise ValueError("no missing values")
-    names = sorted({r["col_i"] for r in cells})
-    table = np.zeros((len(names), len(names)))
-    for r in cells:
-        table[names.index(r["col_i"]), names.index(r["col_j"])] = r["n"]
+    names = sorted({i for i, _ in cells})
+    table = np.array([[float(cells.get((i, j), 0)) for j in names] for i in names])
     table = table[~(table == 0).all(axis=1)][:, ~(table == 0).all(axis=0)]
     if table.size == 0:
         raise ValueError("the contingency table is empty")
@@ -65,12 +72,29 @@ def co_missing_chi2(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {"statistic": stat, "dof": dof, "p_value": chi2_sf(stat, dof) if dof else 1.0}
 
 
+def group_co_missing(df: DataFrame, columns: Sequence[str], groups: dict[str, Column]) -> DataFrame:
+    """:func:`co_missing_counts` within each named row condition: ``(group, col_i, col_j, n)``.
+
+    Patterns are counted by the groups they are in, in one scan; a row may be in several groups, and counts in each.
+    """
+    absent = F.filter(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]), lambda c: c.isNotNull())
+    inside = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in groups.items()]), lambda g: g.isNotNull())
+    patterns = df.select(absent.alias("p"), inside.alias("g")).where((F.size("p") > 0) & (F.size("g") > 0)).groupBy("p", "g").count()
+    pairs = patterns.withColumn("group", F.explode("g")).withColumn("col_i", F.explode("p")).withColumn("col_j", F.explode("p"))
+    return pairs.groupBy("group", "col_i", "col_j").agg(F.sum("count").alias("n"))
+
+
 def co_missing_by_group(df: DataFrame, columns: Sequence[str], groups: dict[str, Column]) -> DataFrame:
-    """:func:`co_missing_chi2` within each named row condition; ``note`` says why a group has no test."""
+    """:func:`co_missing_chi2` within each named row condition, from one scan; ``note`` says why a group has no test."""
+    both: dict[str, dict[tuple[str, str], int]] = {name: {} for name in groups}
+    # at most one row per group and pair of columns
+    for r in group_co_missing(df, columns, groups).collect():
+        both[r["group"]][r["col_i"], r["col_j"]] = r["n"]
     rows = []
-    for name, condition in groups.items():
+    for name, counts in both.items():
+        nulls = {i: n for (i, j), n in counts.items() if i == j}
         try:
-            found = co_missing_chi2(df.where(condition), columns)
+            found = _chi2({(i, j): n - counts.get((i, j), 0) for i, n in nulls.items() for j in nulls})
             rows.append((name, found["statistic"], found["dof"], found["p_value"], found["p_value"] >= 0.05, None))
         except ValueError as e:
             rows.append((name, None, None, None, None, str(e)))
@@ -101,37 +125,28 @@ def missing_predictability(
     Per column, a logistic model of its null indicator on the other columns (nulls replaced by the
     mean, then standardised) and the area under its curve on the same rows. ``flagged`` marks areas
     below ``threshold``; columns that are always or never null have no area. ``groups`` maps names
-    to row conditions and repeats the test within each.
+    to row conditions, which may overlap, and repeats the test within each.
+
+    The models of all columns and groups are fitted together, a pass over the rows per step, and all
+    areas come from one ranking.
     """
     from cohortflow.operators.metrics import auc
-    from cohortflow.operators.models import fit_logistic, predict
-
-    spark, rows = df.sparkSession, []
-    for group, condition in (groups or {"all": F.lit(True)}).items():
-        part = df.where(condition).select(*[F.col(c).cast("double").alias(c) for c in columns])
-        stats = part.agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[e for c in columns for e in (F.count(c).alias(f"n_{c}"), F.avg(c).alias(f"m_{c}"), F.var_pop(c).alias(f"v_{c}"))],
-        ).first()
-        n = stats["_n"]
-
-        def scaled(c: str, stats=stats, n=n) -> Column:
-            mean = stats[f"m_{c}"] if stats[f"m_{c}"] is not None else 0.0
-            # filling with the mean shrinks the variance by the share of rows that were present
-            sd = ((stats[f"v_{c}"] or 0.0) * stats[f"n_{c}"] / n) ** 0.5
-            return (F.coalesce(F.col(c), F.lit(mean)) - mean) / F.lit(sd or 1.0)
-
-        ready = part.select(
-            *[scaled(c).alias(c) for c in columns], *[F.col(c).isNull().cast("double").alias(f"_y_{c}") for c in columns]
-        ).persist()
-        for c in columns:
-            if stats[f"n_{c}"] in (0, n):
-                rows.append((group, c, None, None, "no variation in missingness"))
-                continue
-            others = [o for o in columns if o != c and stats[f"n_{o}"] > 0]
-            model = fit_logistic(ready, others, f"_y_{c}", n_rows=n)
-            scored = predict(model, ready, others, keep=[f"_y_{c}"])
-            area = auc(scored, f"_y_{c}", "p").first()["auc"]
-            rows.append((group, c, area, area < threshold, "tested"))
-        ready.unpersist()
-    return spark.createDataFrame(rows, "group string, column string, auc double, flagged boolean, note string")
+
+    columns, groups = list(columns), groups or {"all": F.lit(True)}
+    found, models, data = logit.fit_missing(settle(df.select(*columns, *_flags(groups))), columns, {g: F.col(f"_g{k}") for k, g in enumerate(groups)})
+    # equal scores are combined on the way, and a model's ranking is cut at even probabilities
+    borders = [-math.inf, *[k / CUTS for k in range(1, CUTS)], math.inf]
+    areas = auc(logit.scores(data, len(columns), found, models), "y", "p", ["unit"], borders)
+    # one row per group and column
+    area = {r["unit"]: r["auc"] for r in areas.collect()}
+    unit = {(m.group, m.target): k for k, m in enumerate(models)}
+    rows = []
+    for g, group in enumerate(found):
+        for j, column in enumerate(columns):
+            a = area.get(unit.get((g, j)))
+            rows.append((group.name, column, a, None if a is None else a < threshold, "no variation in missingness" if (g, j) not in unit else "tested"))
+    return df.sparkSession.createDataFrame(rows, "group string, column string, auc double, flagged boolean, note string")
+
+
+def _flags(groups: dict[str, Column]) -> list[Column]:
+    return [F.coalesce(condition, F.lit(False)).alias(f"_g{k}") for k, condition in enumerate(groups.values())]

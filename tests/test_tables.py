@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import encode, metrics, missing, ordered, outliers, profile, split
+from cohortflow.operators import encode, logit, metrics, missing, ordered, outliers, profile, split
 from cohortflow.session import settle, shared_dir
 from cohortflow.sources import io
 
@@ -228,6 +228,95 @@ def test_group_names(spark):
     assert [r["group_name"] for r in name_groups(df).collect()] == ["White", "Male", None, None, None]
 
 
+def _gaps(n=1500, seed=2):
+    """Columns whose gaps depend on other columns, and a group flag."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0, [1, 5, 100, 1], (n, 4)) + [0, 3, 1000, 0]
+    x[rng.random(n) < 1 / (1 + np.exp(-x[:, 0])), 1] = np.nan
+    x[rng.random(n) < 0.2, 2] = np.nan
+    x[np.nan_to_num(x[:, 2], nan=900) < 950, 3] = np.nan
+    return x, rng.integers(0, 3, n)
+
+
+def _newton(z, y):
+    z = np.hstack([z, np.ones((len(z), 1))])
+    w, ridge = np.zeros(z.shape[1]), np.diag([1.0] * (z.shape[1] - 1) + [0.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
+    return w
+
+
+def _area(y, score):
+    order = np.argsort(score, kind="stable")
+    ranks = np.empty(len(y))
+    ranks[order] = np.arange(1, len(y) + 1)
+    for v in np.unique(score):
+        ranks[score == v] = ranks[score == v].mean()
+    ones = y.sum()
+    return (ranks[y == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones))
+
+
+def test_missing_predictability_of_all_groups_equals_single_fits(spark):
+    x, g = _gaps()
+    names = ["a", "b", "c", "d"]
+    rows = [(*[None if np.isnan(v) else float(v) for v in r], int(k)) for r, k in zip(x, g, strict=True)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, g int").repartition(5)
+    groups = {"all": F.lit(True), **{f"g{k}": F.col("g") == k for k in range(3)}, "none": F.col("g") > 9, "odd": F.col("g") != 1}
+    got = {(r["group"], r["column"]): r for r in missing.missing_predictability(df, names, groups=groups).collect()}
+    _, models, _ = logit.fit_missing(df, names, groups)
+    weights = {(m.group, m.target): m.kept for m in models}
+    inside = {"all": g >= 0, "g0": g == 0, "g1": g == 1, "g2": g == 2, "none": g > 9, "odd": g != 1}
+    for k, (name, rows_in) in enumerate(inside.items()):
+        part = x[rows_in]
+        for j, column in enumerate(names):
+            y = np.isnan(part[:, j]).astype(float)
+            if not len(part) or y.min() == y.max():
+                assert got[name, column]["auc"] is None and got[name, column]["note"] == "no variation in missingness"
+                continue
+            others = [o for o in range(4) if o != j]
+            z = np.where(np.isnan(part[:, others]), np.nanmean(part[:, others], axis=0), part[:, others])
+            z = (z - z.mean(axis=0)) / z.std(axis=0)
+            w = _newton(z, y)
+            assert np.allclose(weights[k, j][[*others, 4]], w, atol=1e-6) and weights[k, j][j] == 0
+            assert got[name, column]["auc"] == pytest.approx(_area(y, np.round(1 / (1 + np.exp(-(z @ w[:-1] + w[-1]))), 9)), abs=1e-6)
+    assert got["all", "d"]["auc"] > 0.8 and got["all", "c"]["flagged"]
+
+
+def test_missing_predictability_reads_the_rows_once_per_step(spark):
+    x, g = _gaps(200)
+    df = spark.createDataFrame([(*[None if np.isnan(v) else float(v) for v in r], int(k)) for r, k in zip(x, g, strict=True)], "a double, b double, c double, d double, g int")
+    calls = []
+    before, meet = logit.unit_sums, logit.MEET
+    try:
+        logit.MEET = 2  # a tree of several levels
+        logit.unit_sums = lambda *a: (calls.append(1), before(*a))[1]
+        _, models, _ = logit.fit_missing(df, ["a", "b", "c", "d"], {f"g{k}": F.col("g") == k for k in range(3)})
+    finally:
+        logit.unit_sums, logit.MEET = before, meet
+    again = logit.fit_missing(df, ["a", "b", "c", "d"], {f"g{k}": F.col("g") == k for k in range(3)})[1]
+    assert all(np.allclose(a.kept, b.kept, atol=1e-8) for a, b in zip(models, again, strict=True))
+    assert len(models) == 9 and len(calls) < 25
+
+
+def test_co_missing_groups_from_one_scan(spark):
+    """A row in several groups counts in each; the same pattern may be in several groups."""
+    rows = [(n, None if n % 3 else 1.0, None if n % 4 else 2.0, None if n % 5 == 0 else 3.0) for n in range(300)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, c double")
+    groups = {"all": F.lit(True), "low": F.col("k") < 120, "even": F.col("k") % 2 == 0, "none": F.col("k") < 0, "full": (F.col("k") % 60 == 12)}
+    got = {r["group"]: r for r in missing.co_missing_by_group(df, ["a", "b", "c"], groups).collect()}
+    for name, condition in groups.items():
+        try:
+            want = missing.co_missing_chi2(df.where(condition), ["a", "b", "c"])
+            assert got[name]["statistic"] == pytest.approx(want["statistic"]) and got[name]["dof"] == want["dof"] and got[name]["note"] is None
+        except ValueError as e:
+            assert got[name]["statistic"] is None and got[name]["note"] == str(e)
+    counts = {(r["group"], r["col_i"], r["col_j"]): r["n"] for r in missing.group_co_missing(df, ["a", "b"], groups).collect()}
+    assert counts["even", "a", "b"] == sum(1 for n in range(0, 300, 2) if n % 3 and n % 4)
+    plan = missing.group_co_missing(df, ["a", "b"], groups)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1
+
+
 def test_missing_predictability(spark):
     df = spark.range(400).select(
         F.when(F.col("id") >= 100, F.col("id").cast("double")).alias("a"), F.col("id").cast("double").alias("b"),
