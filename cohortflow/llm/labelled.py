@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.llm.text import rows_with
 from cohortflow.session import settle
 
 FOLDS = 5
+MOST_BYTES = 64 << 20
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -17,12 +18,16 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[int]]:
-    """``(doc_id, text, y)`` of at most ``bound`` labelled rows, half of each class at most, and all their labels' counts.
+def training_rows(
+    docs: DataFrame, labels: DataFrame, label: str, bound: int, key: str = "doc_id", text: str = "text", most_bytes: int = MOST_BYTES
+) -> tuple[DataFrame, list[int]]:
+    """``(doc_id, text, y)`` of at most ``bound`` labelled ids and ``most_bytes`` of text, half of each class at most, and
+    all their labels' counts.
 
     Chosen by the hash of the id, so a larger table gives other rows but the same kind. Labels other than 0 and 1,
     null ids, ids that ``docs`` lacks and held-out rows are neither chosen nor counted; an id labelled twice counts with
-    its smaller label.
+    its smaller label. An id that several rows share gives one, that of the smallest hash of the text. Texts of more than
+    a 64th of ``most_bytes`` are not learnt from, so the bound in bytes leaves room for many texts.
     """
     there = docs.select(F.col(key).cast("long").alias("doc_id")).distinct()
     usable = settle(
@@ -38,8 +43,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, ke
     ]
     # at most ``bound`` rows of two numbers
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = rows_with(docs, key, text).join(ids, "doc_id").select("doc_id", "text", "y")
-    return rows, [counts.get(0, 0), counts.get(1, 0)]
+    rows = rows_with(docs, key, text).join(ids, "doc_id").select("doc_id", "y", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.where(F.octet_length("text") <= most_bytes // 64)
+    # copies of an id are reduced before they meet
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    rows = settle(rows.select("doc_id", "t.text", "y"))
+    # at most ``bound`` rows of two numbers
+    in_turn = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
+    within = rows.select("doc_id", "y", F.sum(F.octet_length("text")).over(in_turn).alias("b")).where(F.col("b") <= most_bytes // 2)
+    return rows.join(F.broadcast(within.select("doc_id")), "doc_id").select("doc_id", "text", "y"), [counts.get(0, 0), counts.get(1, 0)]
 
 
 def logistic(z: np.ndarray) -> np.ndarray:

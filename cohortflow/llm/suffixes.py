@@ -15,13 +15,13 @@ first reduced to one per block and then dealt by their own hash, so that no fami
 Documents are first written in compressed blocks to the shared folder; a block is a batch, and results come back to it.
 
 Rows: null and empty texts have nothing to remove. Rows with the same id are judged apart and never against each other.
-Rows without id come last. An empty table gives no rows. Columns named in ``carry`` pass through; others are ignored.
+Rows without id come last. An empty table gives no rows. Columns named in ``carry`` pass through, under any name; others are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import itertools
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortflow.llm.text import LAST_ID, U64, chunks, known, prefix_hash, rows_with, span_hash
 from cohortflow.session import settle
@@ -37,6 +38,7 @@ LENGTH = 50
 GRAM = 16
 LONGEST_RUN = 35
 FAMILY_BYTES = 16 << 20  # text for each family
+FAMILY_SUFFIXES = 1 << 18  # open suffixes for each family of the second kind
 SEGMENT = 1 << 20  # suffixes hashed at once
 MANY_CONTENTS = 256  # from which on the suffixes of one smallest hash are dealt singly
 
@@ -217,17 +219,10 @@ def _deal_runs(families: int, length: int):
     return run
 
 
-def _by_family(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
-    """(family, [(block, payload)]) in the order of the sort."""
-    now, held = None, []
-    for r in _rows_of(batches):
-        if now is not None and r["family"] != now:
-            yield now, held
-            held = []
-        now = r["family"]
-        held.append((r["block"], r["payload"]))
-    if held:
-        yield now, held
+def _by_family(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, bytes]]]]:
+    """(family, (block, payload) one after another) in the order of the sort; no payload is held here."""
+    for family, rows in itertools.groupby(_rows_of(batches), key=lambda r: r["family"]):
+        yield family, ((r["block"], r["payload"]) for r in rows)
 
 
 def _answers(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -242,11 +237,13 @@ def _judge_runs(many_from: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for family, held in _by_family(batches):
-            levels, lows = Family(), []
-            for _, payload in held:
+            levels, lows, from_ = Family(), [], []
+            for block, payload in held:
                 low, content, which, ids = unpack(payload, "u4", "u8", "u2", "i8")
                 levels.add(content, ids[which])
-                lows.append(low)
+                lows.append(low.copy())
+                from_.append(block)
+                del payload, low, content, which, ids
             ask, many = ([np.zeros(len(x), bool) for x in lows] for _ in range(2))
             left = levels.whole()
             if left is not None:
@@ -263,8 +260,9 @@ def _judge_runs(many_from: int):
                     flat = np.zeros(start[-1], bool)
                     flat[at[which]] = True
                     marks[:] = [flat[a:b] for a, b in zip(start[:-1], start[1:], strict=True)]
-            bits = zip(held, levels.covered, ask, many, strict=True)
-            yield _answers([(block, family, pack(*map(np.packbits, marks))) for (block, _), *marks in bits])
+            bits = zip(from_, levels.covered, ask, many, strict=True)
+            answers = _answers([(block, family, pack(*map(np.packbits, marks))) for block, *marks in bits])
+            yield answers.append_column("open", pa.array([int(x.sum()) for x in ask], pa.int64()))
 
     return run
 
@@ -284,8 +282,9 @@ def _join_runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start[new], np.append(end[:-1][new[1:]], end[-1])
 
 
-def _send_contents(families: int, length: int):
-    """What the first families decided, applied to each block: its covered spans, and the bytes of open runs."""
+def _send_contents(families: int, second: int, length: int):
+    """What the first families decided, applied to each block: its covered spans, and the bytes of open runs, dealt to
+    ``second`` families."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows_of(batches):
@@ -311,13 +310,13 @@ def _send_contents(families: int, length: int):
                 late = docs[order] > least
                 begin, end = np.append(begin, place[order[late]]), np.append(end, place[order[late]] + length)
                 place, docs = place[order[~late]], docs[order[~late]]
-                dealt = (span_hash(prefix_hash(block.buf), place, place + length) % U64(families)).astype(np.int32)
+                dealt = (span_hash(prefix_hash(block.buf), place, place + length) % U64(second)).astype(np.int32)
             out = [(-1, LAST_ID, r["block"], pack(*_join_runs(begin, end)))]
             # runs, and single suffixes as runs of one
             at = np.flatnonzero(ask & ~many)
             start, count = np.append(start[at], place), np.append(count[at], np.ones(len(place), np.int64))
             docs = np.append(block.ids[row[at]], docs)
-            for f, own in _split(np.append(family[at], dealt)):
+            for f, own in _split(np.append((low[at] % U64(second)).astype(np.int32), dealt)):
                 size = count[own] + length - 1
                 total = np.cumsum(size)
                 where = np.repeat(start[own] - (total - size), size) + np.arange(int(total[-1]))
@@ -336,8 +335,8 @@ def _judge_suffixes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for family, held in _by_family(batches):
-            levels, where = Family(), []
-            for _, payload in held:
+            levels, where, from_ = Family(), [], []
+            for block, payload in held:
                 data, count, docs, start = unpack(payload, "u1", "i4", "i8", "i8")
                 count = count.astype(np.int64)
                 size = count + length - 1
@@ -346,8 +345,10 @@ def _judge_suffixes(length: int):
                 # the suffix array's keys: all suffixes of the open runs, cut at the length that matters
                 levels.add(_suffixes(data, first, length), np.repeat(docs, count))
                 where.append(np.repeat(start, count) + nth)
+                from_.append(block)
+                del payload, data, count, docs, start, size, nth, first
             out = []
-            for (block, _), covered, at in zip(held, levels.covered, where, strict=True):
+            for block, covered, at in zip(from_, levels.covered, where, strict=True):
                 a, b = _join_runs(at[covered], at[covered] + length)
                 if len(a):
                     out.append((block, family, pack(a, b)))
@@ -392,11 +393,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, spans)`` of every row.
 
-    ``kept`` is the remaining text, ``spans`` the removed byte ranges as start, end, start, end, ...
+    ``kept`` is the remaining text, ``spans`` the removed byte ranges as start, end, start, end, ... Columns named in
+    ``carry`` come back as one struct ``carried``, whatever their names are.
     """
     if length < GRAM:
         raise ValueError(f"passages have {GRAM} bytes at least")
-    rows = rows_with(docs, key, text, *carry).withColumn("doc_id", known())
+    more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
+    rows = rows_with(docs, key, text, *more).withColumn("doc_id", known())
     blocks = settle(rows.mapInArrow(_write_blocks, BLOCKS))
     sizes = blocks.agg(F.sum(F.length("data")), F.count("*")).first()
     families = max(1, -(-3 * (sizes[0] or 0) // FAMILY_BYTES))  # texts are some three times their compressed size
@@ -408,11 +411,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         own = answers.groupBy("block").agg(F.collect_list(F.struct("family", "payload")).alias("answers"))
         return blocks.join(own, "block", "left")
 
-    judged = in_order(blocks.mapInArrow(_deal_runs(families, length), TO_FAMILY)).mapInArrow(_judge_runs(MANY_CONTENTS), TO_BLOCK)
-    sent = settle(with_answers(settle(judged)).drop("more").mapInArrow(_send_contents(families, length), TO_FAMILY))
+    dealt = in_order(blocks.mapInArrow(_deal_runs(families, length), TO_FAMILY))
+    judged = settle(dealt.mapInArrow(_judge_runs(MANY_CONTENTS), TO_BLOCK + ", open long"))
+    # the second families are sized by the suffixes that are still open, not by text
+    still = judged.agg(F.sum("open")).first()[0] or 0
+    second = max(1, -(-still * (LONGEST_RUN + 1) // 2 // FAMILY_SUFFIXES))
+    sent = settle(with_answers(judged).drop("more").mapInArrow(_send_contents(families, second, length), TO_FAMILY))
     singles = in_order(sent.where("family >= 0")).mapInArrow(_judge_suffixes(length), TO_BLOCK)
     spans = settle(sent.where("family < 0").select("block", "family", "payload").unionByName(singles))
-    kinds = {c: t for c, t in docs.dtypes}
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<long>"
-    out += "".join(f", `{c}` {kinds[c]}" for c in carry)
-    return with_answers(spans).mapInArrow(_cut, out)
+    schema = StructType.fromDDL(out)
+    if carry:
+        schema = schema.add(rows.schema["carried"])
+    return with_answers(spans).mapInArrow(_cut, schema)

@@ -253,6 +253,44 @@ def test_pipeline_stages(spark, tmp_path):
     assert {p.doc_id for p in pieces_} == set(seen[3])
 
 
+def test_stages_take_columns_of_any_name(spark, tmp_path):
+    """Extra columns with the names that stages use themselves pass through all of them."""
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 3000, 120))
+    shared = text()
+    docs = [(n, text() + (" " + shared if n in (3, 5) else "")) for n in range(12)] + [(12, None), (None, text())]
+    names = ["kept", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256", "carried", "more", "block", "family", "payload", "row", "size", "score", "y", "a b"]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in names)
+    frame = spark.createDataFrame([(n, t, len(t or ""), *(f"{c}{n}" for c in names)) for n, t in docs], schema)
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n, 1, 0) for n in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = frame
+    for _, stage in cp.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == frame.columns
+    got = {r.doc_id: r for r in now.collect()}
+    assert shared in got[3].text and shared not in got[5].text and got[5].n_chars == len(got[5].text)
+    assert all(got[n][c] == f"{c}{n}" for n in got for c in names)
+    assert cp.run(spark, str(tmp_path)).count() > 0
+
+
+def test_training_rows_are_bounded_in_rows_and_bytes(spark):
+    """A thousand rows of one id give one; long texts and too many bytes are left out, of each class alike."""
+    copies = [(1, "same"), (1, "other")] * 500 + [(n, "x" * 100) for n in range(2, 300)] + [(300, "y" * 5000)]
+    docs = spark.createDataFrame(copies, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(n, n % 2) for n in range(1, 301)], "doc_id long, quality int")
+    rows = training_rows(docs, labels, "quality", 400)[0].collect()
+    assert len({r.doc_id for r in rows}) == len(rows) > 150
+    rows = training_rows(docs, labels, "quality", 40, most_bytes=64 * 1000)[0].collect()
+    assert len(rows) == 40 and len({r.doc_id for r in rows}) == 40 and max(len(r.text) for r in rows) <= 1000
+    rows = training_rows(docs, labels, "quality", 400, most_bytes=64 * 100)[0].collect()
+    for y in (0, 1):
+        assert 0 < sum(len(r.text) for r in rows if r.y == y) <= 3200
+    assert {r.text for r in training_rows(docs, labels, "quality", 4000)[0].collect() if r.doc_id == 1} <= {"same", "other"}
+
+
 def test_the_classifier_rejects_what_the_rules_miss(spark, tmp_path):
     """The rows labelled 0 are no longer among the stage's documents, unlabelled ones of their kind are."""
     import corpus_pipeline as cp
