@@ -41,11 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has; ``n_chars`` counts what is left."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    kept = suffixes.remove_repeats(docs, carry=others).withColumn("text", F.col("kept"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = suffixes.remove_repeats(docs, carry=others)
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("kept"), **{c: F.col(f"carried.`{c}`") for c in others}}
+    if "n_chars" in others:
+        columns["n_chars"] = F.length("kept").cast("long")
+    return found.select([columns[c].alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
