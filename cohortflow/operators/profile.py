@@ -14,6 +14,10 @@ from cohortflow.operators.ordered import exact_quantiles
 
 
 BROADCAST_GROUPS = 100_000  # of a few numbers each
+# a kernel so many bandwidths away is zero in double precision; half a bucket more, as buckets count from their middle
+REACH = 39.5
+# terms of the series for offsets of at most half a bandwidth
+ORDERS = 22
 
 
 def null_counts(df: DataFrame) -> DataFrame:
@@ -192,26 +196,54 @@ def boxplot_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def kde_grid(df: DataFrame, value: str, groups: Sequence[str] = (), points: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density with Scott's bandwidth on an even grid per group.
 
-    The grid reaches ``cut`` bandwidths beyond the data. Equal values are combined first, and the
-    kernel sums run as a partial aggregation per grid point, so only group x point rows shuffle.
-    Groups with no spread have no density and are left out.
+    The grid reaches ``cut`` bandwidths beyond the data. Groups with no spread have no density and are left out.
+
+    Values are not taken to the points of the grid. They are first summed up in buckets one bandwidth wide, as moments
+    around the middle; a bucket's kernels at a point follow from its moments by a Hermite series, whose ``ORDERS`` terms
+    leave no more than rounding. Buckets meet only the points within ``REACH`` bandwidths, beyond which a kernel is zero
+    in double precision. So what is joined depends on the spread of the data in bandwidths, not on its rows.
     """
     x = F.col(value).cast("double")
-    weighted = df.where(x.isNotNull()).groupBy(*groups, x.alias("_x")).agg(F.count(F.lit(1)).alias("_w"))
-    aggs = [F.count(F.lit(1)).alias("_n"), F.stddev_samp(x).alias("_sd"), F.min(x).alias("_lo"), F.max(x).alias("_hi")]
     present = df.where(x.isNotNull())
+    aggs = [F.count(F.lit(1)).alias("_n"), F.stddev_samp(x).alias("_sd"), F.min(x).alias("_lo"), F.max(x).alias("_hi")]
+    rows = present.select(*groups, x.alias("_x"))
     if groups:
-        joined = with_group_rows(weighted, present.groupBy(*groups).agg(*aggs), groups)
+        stats = present.groupBy(*groups).agg(*aggs)
+        rows = with_group_rows(rows, stats, groups)
     else:
         # one row of statistics: numbers in the plan, not a join
         one = present.agg(*aggs).first()
-        joined = weighted.withColumns({c: F.lit(one[c]) for c in ("_n", "_sd", "_lo", "_hi")})
-    joined = joined.where(F.col("_sd") > 0).withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
-    joined = joined.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
-    start = F.col("_lo") - cut * F.col("_h")
-    stop = F.col("_hi") + cut * F.col("_h")
-    at = start + (stop - start) * F.col("point") / F.lit(float(points - 1))
-    z = (at - F.col("_x")) / F.col("_h")
-    kernel = F.col("_w") * F.exp(F.lit(-0.5) * z * z) / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
-    out = joined.withColumns({"x": at, "_k": kernel}).groupBy(*groups, "point", "x").agg(F.sum("_k").alias("density"))
-    return out.select(*groups, "point", "x", "density")
+        numbers = {"_n": F.lit(one["_n"]).cast("long"), **{c: F.lit(one[c]).cast("double") for c in ("_sd", "_lo", "_hi")}}
+        rows = rows.withColumns(numbers)
+        stats = df.sparkSession.range(1).select(*[e.alias(c) for c, e in numbers.items()])
+    h = F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))
+    rows = rows.where(F.col("_sd") > 0).withColumn("_z", (F.col("_x") - F.col("_lo")) / h)
+    rows = rows.withColumn("_bucket", F.floor("_z"))
+    off = F.col("_z") - F.col("_bucket") - 0.5
+    moments = [F.sum(F.pow(off, F.lit(float(k)))) / F.lit(float(math.factorial(k))) for k in range(ORDERS)]
+    buckets = rows.groupBy(*groups, "_bucket", "_n", "_sd", "_lo", "_hi").agg(F.array(*moments).alias("_m"))
+
+    # places in bandwidths from the smallest value
+    width = (F.col("_hi") - F.col("_lo")) / h
+    step = (width + 2 * cut) / F.lit(float(points - 1))
+    near = [F.ceil((F.col("_bucket") + 0.5 - REACH + cut) / step), F.floor((F.col("_bucket") + 0.5 + REACH + cut) / step)]
+    first, last = F.greatest(near[0], F.lit(0)), F.least(near[1], F.lit(points - 1))
+    pairs = buckets.withColumn("point", F.explode(F.when(first <= last, F.sequence(first, last))))
+    z = F.col("point") * step - cut - F.col("_bucket") - 0.5
+    start = F.struct(F.lit(0.0).alias("before"), F.lit(1.0).alias("now"), F.lit(0.0).alias("k"), F.lit(0.0).alias("sum"))
+    series = F.aggregate(
+        F.col("_m"), start,
+        lambda a, m: F.struct(
+            a["now"].alias("before"), (F.col("_at") * a["now"] - a["k"] * a["before"]).alias("now"), (a["k"] + 1).alias("k"), (a["sum"] + m * a["now"]).alias("sum")
+        ),
+        lambda a: a["sum"],
+    )
+    kernel = F.exp(F.lit(-0.5) * F.col("_at") * F.col("_at")) * series
+    sums = pairs.withColumn("_at", z).groupBy(*groups, "point").agg(F.sum(kernel).alias("_k"))
+
+    grid = stats.where(F.col("_sd") > 0).withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+    begin, stop = F.col("_lo") - cut * h, F.col("_hi") + cut * h
+    at = begin + (stop - begin) * F.col("point") / F.lit(float(points - 1))
+    density = F.coalesce("_k", F.lit(0.0)) / (F.col("_n") * h * F.lit(math.sqrt(2 * math.pi)))
+    full = grid.join(sums, [*groups, "point"], "left")
+    return full.select(*groups, F.col("point").cast("int").alias("point"), at.alias("x"), F.greatest(density, F.lit(0.0)).alias("density"))

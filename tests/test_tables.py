@@ -1,5 +1,7 @@
 """Ordered sums, profiles, encodings, splits, metrics, missing values, sources."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +79,31 @@ def test_density_matches_direct_sum(skewed):
         assert np.isclose(r["density"], np.exp(-z * z / 2).sum() / (len(x) * h * np.sqrt(2 * np.pi)))
 
 
+@pytest.mark.parametrize("kind", ["normal", "far", "equal", "two"])
+def test_density_equals_the_direct_sum(spark, kind):
+    rng = np.random.default_rng(4)
+    x = {"normal": rng.normal(5, 2, 3000), "far": np.append(rng.normal(0, 1, 2000), [1e6, -3e4]), "equal": np.append(np.full(500, 2.0), 3.0), "two": np.array([1.0, 2.0])}[kind]
+    got = profile.kde_grid(spark.createDataFrame(x[:, None].tolist(), "x double"), "x", points=60).orderBy("point").collect()
+    h = x.std(ddof=1) * len(x) ** -0.2
+    assert [r["point"] for r in got] == list(range(60)) and got[0]["x"] == pytest.approx(x.min() - 3 * h) and got[-1]["x"] == pytest.approx(x.max() + 3 * h)
+    want = np.array([np.exp(-(((r["x"] - x) / h) ** 2) / 2).sum() / (len(x) * h * math.sqrt(2 * math.pi)) for r in got])
+    assert np.allclose([r["density"] for r in got], want, rtol=1e-9, atol=1e-11 * want.max())
+
+
+def test_density_joins_buckets_not_values(spark):
+    """Rows that meet the grid grow with the spread in bandwidths, not with the values."""
+    df = spark.range(0, 200_000, 1, 4).select((F.col("id") % 3).alias("g"), F.sin(F.col("id").cast("double")).alias("x"))
+    out = profile.kde_grid(df, "x", ["g"], points=200)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan
+    n = out.count()
+    assert n == 600
+    h = math.sqrt(0.5) * (200_000 / 3) ** -0.2
+    buckets = df.groupBy("g", F.floor((F.col("x") + 1) / h)).count().count()
+    assert buckets < 100
+
+
 def test_boxplot(spark):
     x = [1.0, 2.0, 3.0, 4.0, 100.0]
     r = profile.boxplot_stats(spark.createDataFrame([(v,) for v in x], "x double"), ["x"]).first()
