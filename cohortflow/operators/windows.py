@@ -76,11 +76,11 @@ def _tick(df: DataFrame, column: str) -> Column:
     if kind in NUMBERS or kind.startswith("decimal"):
         return c.cast("double")
     if kind == "date":
-        return (F.unix_date(c) * 86400).cast("double")
+        return F.unix_date(c).cast("double") * 86400
     if kind == "timestamp":
         return F.unix_seconds(c).cast("double")
     # from the fields of the local time, which no change of the clock turns back
-    return (F.unix_date(c.cast("date")) * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.floor(F.second(c))).cast("double")
+    return F.unix_date(c.cast("date")).cast("double") * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
 
 def _comparable(sides: Sequence[tuple[DataFrame, Span]]) -> bool:
