@@ -9,8 +9,9 @@ from checks.registry import query, table
 from cohortflow.functions.numeric import round_half_away
 from cohortflow.operators import encode, explain, fairness, impute, metrics, models, outliers
 from cohortflow.operators.split import stratified_split
-from cohortflow.plans import analysis
-from cohortflow.session import settle
+from cohortflow.plans import analysis, store
+from cohortflow.session import settle, shared_dir
+from cohortflow.sources import io
 
 GAPS = """g AS (SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN CAST(p_size AS DOUBLE) END AS size,
     CASE WHEN p_partkey % 7 <> 1 THEN p_retailprice END AS price, CAST((p_partkey * 37) % 101 AS DOUBLE) AS weight,
@@ -263,13 +264,20 @@ def group_score_density(spark, sf):
 @query("group_report", f"""WITH {LABELLED}, u AS (SELECT quality AS y, CASE WHEN {RULE} >= 0.4e0 THEN 1 ELSE 0 END AS p, unnest(['lang', 'source']) AS group_col,
     unnest([lang, source]) AS group_value FROM d),
   c AS (SELECT group_col, group_value, k, CAST(count(CASE WHEN y = k AND p = k THEN 1 END) AS DOUBLE) AS hit, count(CASE WHEN y <> k AND p = k THEN 1 END) AS extra,
-    count(CASE WHEN y = k AND p <> k THEN 1 END) AS missed FROM u, (VALUES (0), (1)) t(k) GROUP BY ALL)
-  SELECT group_col, group_value, CAST(k AS VARCHAR) AS class, coalesce(hit / nullif(hit + extra, 0), 0) AS "precision", coalesce(hit / nullif(hit + missed, 0), 0) AS recall,
-    coalesce(2 * hit / nullif(2 * hit + extra + missed, 0), 0) AS f1_score, CAST(hit + missed AS BIGINT) AS support FROM c""")
+    count(CASE WHEN y = k AND p <> k THEN 1 END) AS missed FROM u, (VALUES (0), (1)) t(k) GROUP BY ALL),
+  l AS (SELECT group_col, group_value, CAST(k AS VARCHAR) AS class, coalesce(hit / nullif(hit + extra, 0), 0) AS "precision", coalesce(hit / nullif(hit + missed, 0), 0) AS recall,
+    coalesce(2 * hit / nullif(2 * hit + extra + missed, 0), 0) AS f1_score, CAST(hit + missed AS BIGINT) AS support, hit FROM c),
+  r AS (SELECT * EXCLUDE (hit) FROM l
+  UNION ALL SELECT group_col, group_value, 'accuracy', sum(hit) / sum(support), sum(hit) / sum(support), sum(hit) / sum(support), CAST(sum(support) AS BIGINT) FROM l GROUP BY ALL
+  UNION ALL SELECT group_col, group_value, 'macro avg', avg("precision"), avg(recall), avg(f1_score), CAST(sum(support) AS BIGINT) FROM l GROUP BY ALL
+  UNION ALL SELECT group_col, group_value, 'weighted avg', sum("precision" * support) / sum(support), sum(recall * support) / sum(support),
+    sum(f1_score * support) / sum(support), CAST(sum(support) AS BIGINT) FROM l GROUP BY ALL)
+  SELECT group_col, group_value, class, round("precision", 9) AS "precision", round(recall, 9) AS recall, round(f1_score, 9) AS f1_score, support FROM r""")
 def group_report(spark, sf):
-    """Report lines of both classes per group."""
+    """All report lines per group: both classes, accuracy, macro and weighted means."""
     scored_ = rule_score(labelled_docs(spark, sf)).withColumn("pred", (F.col("p") >= 0.4).cast("int"))
-    return metrics.group_report(scored_, "quality", "pred", ["lang", "source"]).where(F.col("class").isin("0", "1"))
+    report = metrics.group_report(scored_, "quality", "pred", ["lang", "source"])
+    return report.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1_score")})
 
 
 QUICK = {"n_estimators": 5, "max_depth": 3}
@@ -287,6 +295,22 @@ def model_grid(spark, sf):
     return table_
 
 
+@query("run_reload", f"""WITH {LABELLED}, t AS (SELECT unnest(['lr_normalized', 'lr_standardized', 'gbt_first']) AS model)
+  SELECT model, count(*) AS rows, count(*) AS same FROM d, t GROUP BY model""")
+def run_reload(spark, sf):
+    """A run written to a folder and read back: how many rows a model of each transform scores just as before."""
+    x = gappy_text(spark, sf)
+    run = analysis.run_target(x, "quality", TEXT, key="doc_id", first=QUICK, second={**QUICK, "max_bin": 16}, k=5)
+    path = shared_dir(spark)
+    store.save_run(run, path)
+    again = store.load_run(spark, path)
+    pairs = [
+        run.score(name, x).select("doc_id", "model", F.col("p").alias("p")).join(again.score(name, x).select("doc_id", F.col("p").alias("q")), "doc_id")
+        for name in ("lr_normalized", "lr_standardized", "gbt_first")
+    ]
+    return io.union_all(pairs).groupBy("model").agg(F.count("*").alias("rows"), F.count(F.when(F.col("p") == F.col("q"), 1)).alias("same"))
+
+
 @query("forced_bias")
 def forced_bias(spark, sf):
     x = gappy_text(spark, sf).withColumn("english", (F.col("lang") == "en").cast("int"))

@@ -12,7 +12,8 @@ from checks.registry import query, table
 from cohortflow.functions.distributions import cdf_column, normal_cdf_column, normal_quantile_column
 from cohortflow.functions.numeric import round_half_away
 from cohortflow.operators import dist, encode, metrics, missing, ordered, outliers, profile, split
-from cohortflow.plans import analysis
+from cohortflow.plans import analysis, store
+from cohortflow.session import shared_dir
 from cohortflow.sources import io
 
 # orders with gaps made by rule; the same expressions run on both engines
@@ -480,6 +481,25 @@ def density_families(spark, sf):
     return reduce(DataFrame.unionByName, grids)
 
 
+@query("fits_roundtrip", """WITH u AS (SELECT 'l_quantity' AS "column", CAST(l_quantity AS DOUBLE) AS x FROM lineitem
+    UNION ALL SELECT 'l_extendedprice', CAST(l_extendedprice AS DOUBLE) FROM lineitem UNION ALL SELECT 'l_discount', CAST(l_discount AS DOUBLE) FROM lineitem),
+  m AS (SELECT "column", count(*) AS n, min(x) AS lo, avg(x) AS mean, stddev_pop(x) * sqrt(2 / (4 - pi())) AS s FROM u GROUP BY 1),
+  f AS (SELECT "column", n, 'expon' AS family, lo AS loc, mean - lo AS scale FROM m UNION ALL SELECT "column", n, 'rayleigh', mean - s * sqrt(pi() / 2), s FROM m),
+  v AS (SELECT "column", x, c, sum(c) OVER (PARTITION BY "column" ORDER BY x) AS upto FROM (SELECT "column", x, count(*) AS c FROM u GROUP BY 1, 2)),
+  p AS (SELECT f.*, upto, c, CASE WHEN x <= loc THEN 0.0e0 WHEN family = 'expon' THEN 1 - exp(-(x - loc) / scale)
+    ELSE 1 - exp(-((x - loc) / scale) * ((x - loc) / scale) / 2) END AS cdf FROM f JOIN v ON f."column" = v."column"),
+  d AS (SELECT "column", family, loc, scale, max(greatest(cdf - (upto - c) / n, upto / n - cdf)) AS ks FROM p GROUP BY ALL)
+  SELECT "column", family, round(loc, 5) AS loc, round(scale, 5) AS scale, round(ks, 9) AS ks FROM d
+  QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY ks) = 1""")
+def fits_roundtrip(spark, sf):
+    """Best fits, written as JSON lines and read back."""
+    li = table(spark, sf, "lineitem")
+    path = shared_dir(spark)
+    store.write_fits(spark, dist.best_fits(li, ["l_quantity", "l_extendedprice", "l_discount"], ["expon", "rayleigh"]), path)
+    again = store.fits_table(spark, store.read_fits(spark, path))
+    return again.select("column", "family", *[F.round(c, d).alias(c) for c, d in (("loc", 5), ("scale", 5), ("ks", 9))])
+
+
 @query("ks_families", f"""WITH RECURSIVE d AS (SELECT o_totalprice / 1000.0e0 AS x FROM orders),
   m AS (SELECT count(*) AS n, min(x) AS lo, max(x) AS hi, avg(x) AS mean, stddev_pop(x) AS sd, avg(ln(x)) AS lm, stddev_pop(ln(x)) AS ls FROM d),
   w AS (SELECT 0 AS k, pi() / (ls * sqrt(6)) AS c FROM m
