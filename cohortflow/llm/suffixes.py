@@ -38,7 +38,8 @@ LENGTH = 50
 GRAM = 16
 LONGEST_RUN = 35
 FAMILY_BYTES = 16 << 20  # text for each family
-FAMILY_SUFFIXES = 1 << 18  # open suffixes for each family of the second kind
+FAMILY_SUFFIXES = 1 << 19  # open suffixes for each family of the second kind
+BATCH_SUFFIXES = 1 << 16  # of which so many at least are sorted and scanned at once
 SEGMENT = 1 << 20  # suffixes hashed at once
 MANY_CONTENTS = 256  # from which on the suffixes of one smallest hash are dealt singly
 
@@ -330,28 +331,41 @@ def _send_contents(families: int, second: int, length: int):
     return run
 
 
+def _open_suffixes(held: Iterator[tuple[int, bytes]], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, documents, places, blocks) of a family's open runs, several blocks at a time."""
+    parts, n = [], 0
+    for block, payload in held:
+        data, count, docs, start = unpack(payload, "u1", "i4", "i8", "i8")
+        count = count.astype(np.int64)
+        size = count + length - 1
+        nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+        first = np.repeat(np.cumsum(size) - size, count) + nth
+        # the suffix array's keys: all suffixes of the open runs, cut at the length that matters
+        parts.append((_suffixes(data, first, length), np.repeat(docs, count), np.repeat(start, count) + nth, np.full(len(nth), block)))
+        n += len(nth)
+        if n >= BATCH_SUFFIXES:
+            yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            parts, n = [], 0
+    if parts:
+        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _judge_suffixes(length: int):
     """Spans of single suffixes that an earlier document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for family, held in _by_family(batches):
-            levels, where, from_ = Family(), [], []
-            for block, payload in held:
-                data, count, docs, start = unpack(payload, "u1", "i4", "i8", "i8")
-                count = count.astype(np.int64)
-                size = count + length - 1
-                nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                first = np.repeat(np.cumsum(size) - size, count) + nth
-                # the suffix array's keys: all suffixes of the open runs, cut at the length that matters
-                levels.add(_suffixes(data, first, length), np.repeat(docs, count))
-                where.append(np.repeat(start, count) + nth)
-                from_.append(block)
-                del payload, data, count, docs, start, size, nth, first
+            levels, places = Family(), []
+            for keys, docs, at, blocks in _open_suffixes(held, length):
+                levels.add(keys, docs)
+                places.append((at, blocks))
             out = []
-            for block, covered, at in zip(from_, levels.covered, where, strict=True):
-                a, b = _join_runs(at[covered], at[covered] + length)
-                if len(a):
-                    out.append((block, family, pack(a, b)))
+            for covered, (at, blocks) in zip(levels.covered, places, strict=True):
+                at, blocks = at[covered], blocks[covered]
+                # a block's suffixes stand together
+                cuts = np.flatnonzero(np.diff(blocks)) + 1
+                for own, block in zip(np.split(at, cuts), blocks[np.append(0, cuts)] if len(blocks) else [], strict=False):
+                    out.append((int(block), family, pack(*_join_runs(own, own + length))))
             yield _answers(out)
 
     return run
