@@ -4,7 +4,8 @@ Documents with equal sets of shingles are one class. Classes whose similarity ca
 D shingles, where D follows from their sizes; so when the shingle space is cut by hash into more than D parts, they
 agree completely on some part. Each (size range, part, content of the part) is the root of one signature tree, which
 holds the classes that agree there, and every linked pair meets below some root. Nodes of a tree hold the OR of their
-members' shingle bitmaps and their range of sizes. Traversing a tree against itself, pairs of nodes are dropped when
+members' shingle bitmaps and their range of sizes. Of the roots that a class can do without, the most frequent ones are
+left out, as in prefix filtering. Traversing a tree against itself, pairs of nodes are dropped when
 the largest overlap they allow is too small, or when all their members are known to be connected. What is left is
 verified on the complete sets.
 
@@ -97,14 +98,15 @@ class Ranges:
         return (size + partner) * (100 - self.percent) // (100 + self.percent)
 
 
-def root_keys(grams: np.ndarray, size: np.ndarray, ranges: Ranges) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the trees that each set belongs to, with the set's row.
+def root_keys(grams: np.ndarray, size: np.ndarray, ranges: Ranges) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the trees that each set belongs to, with the set's row, the cut (range and seed) that the key comes from,
+    and how many keys of that cut the set can do without: it shares one more than these with every linked set.
 
     A pair is sure to agree on a part that is not empty if either of the two fills more than D parts. Sets that don't
     (several shingles fell into one part) are cut again with another seed; after the last seed their empty parts
     count too. So any linked pair meets under the first seed that suffices for one of the two.
     """
-    out, rows = [], []
+    out, rows, cuts, spare = [], [], [], []
     begin = np.cumsum(size) - size
     for up in (0, 1):
         left = np.flatnonzero(size > 0)
@@ -126,15 +128,20 @@ def root_keys(grams: np.ndarray, size: np.ndarray, ranges: Ranges) -> tuple[np.n
             sums = np.zeros(int(parts.sum()), U64)
             np.add.at(sums, cell, mix(g + U64(0x51ED)))
             owner = row_of(parts)
-            enough = np.add.reduceat(filled, base, dtype=np.int64) > ranges.difference(n, which)
+            differ = ranges.difference(n, which)
+            parts_filled = np.add.reduceat(filled, base, dtype=np.int64)
+            enough = parts_filled > differ
             show = filled | (~enough[owner] if seed == SEEDS else False)
             place = np.flatnonzero(show)
+            cuts.append(((which * (SEEDS + 1) + seed) * 2 + up)[owner[place]])
+            # of a set with too few filled parts for the cut, the other one's parts decide
+            spare.append(np.where(enough, parts_filled - differ - 1, 0)[owner[place]])
             out.append(mix(sums[place] + mix(salt[owner[place]] + (place - base[owner[place]]).astype(U64))))
             rows.append(left[owner[place]])
             left = left[~enough]
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out).astype(np.int64), np.concatenate(rows)
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    return np.concatenate(out).astype(np.int64), np.concatenate(rows), np.concatenate(cuts), np.concatenate(spare)
 
 
 def _needed(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -312,7 +319,7 @@ class Join:
         return self.docs.mapInArrow(run, "doc_id long, size long, sid long, other long, signs binary")
 
     def _roots(self) -> DataFrame:
-        """``(root, sid)`` of all trees; a copy within a batch counts once."""
+        """``(root, sid, cut, spare)`` of all trees; a copy within a batch counts once."""
         n, seed, ranges = self.n, self.seed, Ranges(self.percent, self.largest)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,27 +330,36 @@ class Join:
                     once = np.zeros(len(sid), bool)
                     once[np.unique(sid, return_index=True)[1]] = True
                     grams, size, sid = grams[once[row_of(size)]], size[once], sid[once]
-                    root, row = root_keys(grams, size, ranges)
-                    yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(sid[row])], names=["root", "sid"])
+                    root, row, cut, spare = root_keys(grams, size, ranges)
+                    yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(sid[row]), pa.array(cut, pa.int32()), pa.array(spare, pa.int32())], names=["root", "sid", "cut", "spare"])
 
-        return self.docs.mapInArrow(run, "root long, sid long")
+        return self.docs.mapInArrow(run, "root long, sid long, cut int, spare int")
 
     def trees(self) -> DataFrame:
         """``(tree, sid, members)`` of the trees with two members or more; of equal trees one.
 
+        A class that shares all but D of its roots with every linked one need not stand below all of them: leaving out
+        its most frequent roots, as many as it can do without, any linked pair still meets below one of the rest. Roots
+        that no other class has count among the rest, so a class that shares only a passage with others stands below
+        none.
+
         The roots are by far the largest table here: they are shuffled once, and only those that several classes share
         are written.
         """
         held = self._roots().repartition("root").dropDuplicates(["root", "sid"])
         own = Window.partitionBy("root")
-        shared = settle(
-            held.select(
+        shared = settle(held.select("root", "sid", "cut", "spare", F.count("*").over(own).alias("members")).where("members > 1"))
+        # a class has no more roots of a cut than parts
+        frequent = Window.partitionBy("sid", "cut").orderBy(F.desc("members"), F.desc("root"))
+        rest = shared.withColumn("nth", F.row_number().over(frequent)).where(F.col("nth") > F.col("spare")).select("root", "sid")
+        rest = settle(
+            rest.select(
                 "root", "sid", F.count("*").over(own).alias("members"),
                 F.bit_xor(F.xxhash64("sid")).over(own).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).over(own).alias("y"),
             ).where("members > 1")
         )
-        kept = shared.groupBy("members", "x", "y").agg(F.min("root").alias("root"))
-        return shared.join(kept.select("root"), "root", "left_semi").select(F.col("root").alias("tree"), "sid", "members")
+        kept = rest.groupBy("members", "x", "y").agg(F.min("root").alias("root"))
+        return rest.join(kept.select("root"), "root", "left_semi").select(F.col("root").alias("tree"), "sid", "members")
 
     def _candidates(self, members: DataFrame, propose: bool) -> DataFrame:
         """Pairs of classes that the trees leave open. ``members``: (tree, sid, component)."""

@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 
 from cohortflow.llm import jaccard, suffixes, text
@@ -211,3 +213,35 @@ def test_shingle_hashes_tell_orders_apart():
     one, _ = text.shingles(np.array([1, 2, 3, 4], np.uint64), np.array([0, 4]), 2)
     two, _ = text.shingles(np.array([2, 1], np.uint64), np.array([0, 2]), 2)
     assert len(set(one.tolist()) | set(two.tolist())) == 4
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_roots_left_out_lose_no_link(percent):
+    """Every linked pair still shares a root when each set leaves out its most frequent ones, as many as it can spare."""
+    rng = np.random.default_rng(percent)
+    linked = left_out = 0
+    for _ in range(60):
+        pool, sets = rng.integers(0, 2**63, 1500).astype(np.uint64), []
+        for _ in range(4):
+            base = rng.choice(pool, int(rng.integers(1, 250)), replace=False)
+            for _ in range(5):
+                kept = base[rng.random(len(base)) >= rng.choice([0, 0.03, 0.08, 0.15])]
+                sets.append(np.unique(np.concatenate([kept, rng.choice(pool, int(rng.integers(0, len(base) // 8 + 2)))])))
+        sets = [s for s in sets if len(s)]
+        size = np.array([len(s) for s in sets])
+        keys, row, cut, spare = jaccard.root_keys(np.concatenate(sets), size, jaccard.Ranges(percent, int(size.max())))
+        count = Counter(keys.tolist())
+        own, kept = {}, [set() for _ in sets]
+        for k, r, c, s in zip(keys.tolist(), row.tolist(), cut.tolist(), spare.tolist(), strict=True):
+            own.setdefault((r, c), []).append((count[k], k, s))
+        for (r, _), roots in own.items():
+            shared = sorted((x for x in roots if x[0] > 1), reverse=True)
+            kept[r] |= {k for n, (_, k, s) in enumerate(shared) if n >= s}
+            left_out += min(shared[0][2], len(shared)) if shared else 0
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= percent * (size[i] + size[j] - both):
+                    linked += 1
+                    assert kept[i] & kept[j]
+    assert linked > 300 and left_out > 1000
