@@ -1,19 +1,26 @@
 """Ranks, running totals and exact quantiles over a whole column.
 
 A window without a partition key would sort the column in one task. Here equal values are first
-combined (so a value that fills a third of the rows becomes one row), then cut into ordered buckets
-at approximate quantiles of the distinct values. Each bucket is summed on its own, and the bucket totals supply the
-offsets. Buckets and their size both grow with the square root of the distinct values.
+combined (so a value that fills a third of the rows becomes one row), then dealt into sorted ranges by one exchange. Each
+range is summed on its own, and the totals of the ranges, a table of their number, supply the offsets. Where the
+caller knows borders, ordered buckets take the place of the ranges.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from cohortflow.session import settle
 
 LEAST_BUCKETS = 16
 
@@ -53,15 +60,16 @@ def running_sums(
     """One row per distinct value with, for each entry of ``sums``, the amount at this value
     (``x``), at all smaller values (``x_before``) and in the whole group (``x_total``).
 
-    ``borders`` are the bucket limits; by default they are read off the data in one extra pass. A
-    caller whose groups differ in scale brings its own ``bucket`` column instead, which must grow
-    with the value inside each group. Rows with a null value are ignored.
+    By default the combined values are written and put in order by one range exchange. A caller that knows bucket limits
+    gives them as ``borders``, one whose groups differ in scale a ``bucket`` column, which must grow with the value inside
+    each group; then nothing runs before the result is asked for. Rows with a null value are ignored.
     """
     rows = df.where(F.col(value).isNotNull())
     aggs = [e.alias(k) for k, e in sums.items()]
+    if bucket is None and borders is None:
+        return _ranged_sums(settle(rows.groupBy(*groups, value).agg(*aggs)), value, list(sums), list(groups))
     if bucket is None:
-        per_value = rows.groupBy(*groups, value).agg(*aggs)
-        bucketed = add_bucket(per_value, value, "_bucket", borders or cut_points(rows.select(value).distinct(), value))
+        bucketed = add_bucket(rows.groupBy(*groups, value).agg(*aggs), value, "_bucket", borders)
     else:
         bucketed = rows.groupBy(*groups, value, F.col(bucket).alias("_bucket")).agg(*aggs)
     bucketed = bucketed.withColumn("_g", F.struct(F.lit(0), *groups))
@@ -88,6 +96,56 @@ def running_sums(
     )
 
 
+def _ranged_sums(per_value: DataFrame, value: str, sums: list[str], groups: list[str]) -> DataFrame:
+    """:func:`running_sums` of combined values: one exchange into sorted ranges, a running total in each, and the totals
+    of earlier ranges from a table with a row per range and group."""
+    order = [*groups, value]
+    ordered = per_value.select(*order, *sums).repartitionByRange(*order).sortWithinPartitions(*order)
+    own_fields = ordered.schema.fields
+    more = [StructField(f"_in_{k}", ordered.schema[k].dataType) for k in sums]
+    schema = StructType([*own_fields, *more, StructField("_range", IntegerType())])
+    at = [ordered.columns.index(k) for k in sums]
+    own = range(len(groups))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, held = TaskContext.get().partitionId(), None, [0] * len(at)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            codes = [pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in own]
+            new = np.zeros(n, bool)
+            for c in codes:
+                new[1:] |= c[1:] != c[:-1]
+            key = tuple(batch.column(c)[0].as_py() for c in own)
+            begin = np.flatnonzero(new)
+            first = np.zeros(n, int)
+            first[begin] = begin
+            first = np.maximum.accumulate(first)
+            out = []
+            for i, c in enumerate(at):
+                x = pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False)
+                before = np.concatenate([[x[0] * 0], np.cumsum(x)[:-1]])
+                before = before - before[first]
+                if key == last:
+                    before[: begin[0] if len(begin) else n] += held[i]
+                held[i] = before[-1] + x[-1]
+                out.append(pa.array(before, batch.schema.field(c).type))
+            last = tuple(batch.column(c)[n - 1].as_py() for c in own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *out, pa.array(np.full(n, part, np.int32))], names=[*batch.schema.names, *[f"_in_{k}" for k in sums], "_range"])
+
+    placed = settle(ordered.mapInArrow(run, schema)).withColumn("_g", F.struct(F.lit(0), *groups))
+    before = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("_g")
+    totals = placed.groupBy("_g", "_range").agg(*[F.sum(k).alias(f"_t_{k}") for k in sums])
+    offsets = totals.select(
+        "_g", "_range", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums],
+        *[F.sum(f"_t_{k}").over(whole).alias(f"{k}_total") for k in sums],
+    )
+    joined = placed.join(offsets, ["_g", "_range"])
+    return joined.select(*order, *sums, *[(F.col(f"_o_{k}") + F.col(f"_in_{k}")).alias(f"{k}_before") for k in sums], *[f"{k}_total" for k in sums])
+
+
 def average_ranks(df: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
     """Distinct values with their tie-averaged rank and the group size ``n``."""
     r = running_sums(df, value, {"cnt": F.count(F.lit(1))}, groups)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,14 +47,39 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="cohortflow-"))
         base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if _owners:
+        _owners[-1].append(path)
+    return path
+
+
+_owners: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Own the tables that are written to the shared folder inside, and remove them at the end.
+
+    Results are lazy, so whatever is to outlive the block must be written or collected in it. Blocks may be nested; a
+    table belongs to the innermost. Use it in the thread that drives the session.
+    """
+    own: list[str] = []
+    _owners.append(own)
+    try:
+        yield
+    finally:
+        _owners.remove(own)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in own:
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(conf).delete(there, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
     Later steps then start from files that outlive any executor, instead of running the whole
-    lineage again for every use.
+    lineage again for every use. Files stay until the folder is cleared, or the :func:`scratch` around them ends.
     """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortflow.operators import encode, logit, metrics, missing, ordered, outliers, profile, split
-from cohortflow.session import settle, shared_dir
+from cohortflow.session import scratch, settle, shared_dir
 from cohortflow.sources import io
 
 
@@ -353,6 +353,70 @@ def test_missing_predictability(spark):
     assert got["b"]["auc"] is None and got["gone"]["note"] == "no variation in missingness"
 
 
+def test_scratch_removes_its_tables_and_no_others(spark):
+    import os
+
+    def place(df):
+        return df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+
+    df = spark.range(10)
+    kept = settle(df)
+    with scratch(spark):
+        first = settle(df)
+        with scratch(spark):
+            inner = settle(first.where("id > 4"))
+            folders = [place(inner)]
+            assert inner.count() == 5
+        assert not os.path.exists(folders[0]) and first.count() == 10
+        folders.append(place(first))
+        total = ordered.average_ranks(df, "id").agg(F.sum("avg_rank")).first()[0]
+    assert total == 55 and not any(map(os.path.exists, folders)) and kept.count() == 10
+    with pytest.raises(ValueError), scratch(spark):
+        failed = settle(df)
+        folders.append(place(failed))
+        raise ValueError
+    assert not any(map(os.path.exists, folders))
+
+
+@pytest.mark.parametrize("kind", ["long", "double", "string"])
+def test_running_sums_over_many_ranges(spark, kind):
+    """Groups that span ranges and batches, null groups and sums, values of any type that has an order."""
+    rng = np.random.default_rng(8)
+    data = [(None if g == 2 else "ab"[g], int(v), None if v % 7 == 0 else float(v % 5)) for g, v in zip(rng.integers(0, 3, 4000), rng.integers(0, 900, 4000), strict=True)]
+    df = spark.createDataFrame(data, "g string, v long, w double").withColumn("v", F.lpad(F.col("v").cast("string"), 5, "0") if kind == "string" else F.col("v").cast(kind))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = ordered.running_sums(df, "v", {"n": F.count(F.lit(1)), "s": F.sum("w")}, ["g"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    pdf = df.toPandas()
+    pdf["g"] = pdf["g"].fillna("none")
+    seen = 0
+    for g, part in pdf.groupby("g"):
+        by = part.groupby("v").agg(n=("w", "size"), s=("w", "sum")).sort_index()
+        rows = {r["v"]: r for r in got if (r["g"] or "none") == g}
+        assert set(rows) == set(by.index)
+        cum = by.cumsum().shift(fill_value=0)
+        for v in by.index:
+            r = rows[v]
+            assert (r["n"], r["n_before"], r["n_total"]) == (by.n[v], cum.n[v], len(part))
+            assert math.isclose(r["s_before"], cum.s[v], abs_tol=1e-9) and math.isclose(r["s_total"], by.s.sum())
+        seen += len(rows)
+    assert seen == len(got)
+
+
+def test_running_sums_exchange_the_values_once(spark):
+    df = spark.range(0, 50_000, 1, 4).select((F.col("id") % 9000).alias("v"))
+    out = ordered.running_sums(df, "v", {"n": F.count(F.lit(1))})
+    out.collect()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # combined and in order already: what is left is the join with a row per range
+    assert plan.count("Sort [") == 0 and "RepartitionByExpression" not in plan and plan.count("Relation") <= 2 + plan.count("Window")
+
+
 def test_files(spark, rows):
     df = spark.createDataFrame([(1, "a,b", 0.0), (2, None, 2.5)], "k long, s string, x double")
     for kind, read in (("csv", io.read_csv), ("json", io.read_json)):
