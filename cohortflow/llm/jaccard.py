@@ -379,25 +379,16 @@ class Join:
             for batch in batches:
                 for _, buf, off in chunks(batch):
                     grams, size = sets_of(buf, off, n)
-                    raw, end = grams.tobytes(), np.cumsum(size).tolist()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(set_ids(grams, size, seed)), pa.array([raw[8 * (e - s) : 8 * e] for s, e in zip(size.tolist(), end, strict=True)], pa.binary())],
-                        names=["sid", "grams"],
-                    )
-
-        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                    own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(grams.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(set_ids(grams, size, seed)), own], names=["sid", "grams"])
 
         # rows that share an id may have other texts
-        found = settle(docs.mapInArrow(sets, "sid long, grams binary").join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
+        found = settle(docs.mapInArrow(sets, "sid long, grams array<long>").join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))
         x, y = found.toDF("a", "x"), found.toDF("b", "y")
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, PAIRS)
+        # a pair at a time: sets of very long texts never meet in one batch
+        both = F.size(F.array_intersect("x", "y"))
+        linked = both * 100 >= F.lit(percent) * (F.size("x") + F.size("y") - both)
+        return pairs.join(x, "a").join(y, "b").where(linked).select("a", "b")
 
     def links(self) -> DataFrame:
         """All pairs ``(a, b)`` of linked classes, by their numbers."""
