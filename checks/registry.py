@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; without ``sql`` it is checked by a brute-force test instead."""
+    """Register a query; without ``sql`` tests check its operators, and the bounds of its numbers."""
 
     def register(fn: Query) -> Query:
         if name in QUERIES:
