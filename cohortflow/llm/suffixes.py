@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cohortflow.llm.text import LAST_ID, U64, chunks, known, prefix_hash, rows_with, span_hash
+from cohortflow.llm.text import LAST_ID, U64, chunks, known, prefix_hash, release, rows_with, span_hash
 from cohortflow.session import settle
 
 LENGTH = 50
@@ -40,7 +40,7 @@ LONGEST_RUN = 35
 FAMILY_BYTES = 16 << 20  # text for each family
 FAMILY_SUFFIXES = 1 << 19  # open suffixes for each family of the second kind
 BATCH_SUFFIXES = 1 << 16  # of which so many at least are sorted and scanned at once
-SEGMENT = 1 << 20  # suffixes hashed at once
+SEGMENT = 1 << 18  # suffixes hashed at once
 MANY_CONTENTS = 256  # from which on the suffixes of one smallest hash are dealt singly
 
 BLOCKS = "block long, ids binary, sizes binary, data binary, more binary"
@@ -170,6 +170,7 @@ class Blocks:
 
 def _write_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, n = TaskContext.get().partitionId(), 0
+    release()
     for batch in batches:
         for rows, buf, off in chunks(batch):
             ids = rows.column(0).to_numpy()
@@ -205,6 +206,7 @@ def _deal_runs(families: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows_of(batches):
+            release()
             block = Blocks(r["ids"], r["sizes"], r["data"])
             low, content, _, _, row = block.runs(length)
             out = []
@@ -238,6 +240,7 @@ def _judge_runs(many_from: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for family, held in _by_family(batches):
+            release()
             levels, lows, from_ = Family(), [], []
             for block, payload in held:
                 low, content, which, ids = unpack(payload, "u4", "u8", "u2", "i8")
@@ -289,6 +292,7 @@ def _send_contents(families: int, second: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows_of(batches):
+            release()
             block = Blocks(r["ids"], r["sizes"], r["data"])
             low, _, start, count, row = block.runs(length)
             covered, ask, many = (np.zeros(len(low), bool) for _ in range(3))
@@ -355,6 +359,7 @@ def _judge_suffixes(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for family, held in _by_family(batches):
+            release()
             levels, places = Family(), []
             for keys, docs, at, blocks in _open_suffixes(held, length):
                 levels.add(keys, docs)

@@ -6,6 +6,7 @@ longest single text), not the batch. Null text counts as empty everywhere.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -138,6 +139,14 @@ def shingles(hashes: np.ndarray, begin: np.ndarray, n: int) -> tuple[np.ndarray,
     return out, row
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system, as a Python worker outlives its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
 def rows_with(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     """Only the wanted columns, so extra ones can neither clash nor be shuffled.
 
@@ -167,5 +176,6 @@ def kept_rows(docs: DataFrame, text: str, wanted: Callable[[np.ndarray, np.ndarr
         for batch in batches:
             for part, buf, off in chunks(batch, place):
                 yield part.filter(pa.array(wanted(buf, off, shipped.value), pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
