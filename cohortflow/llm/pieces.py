@@ -20,6 +20,7 @@ Extra columns are ignored. Characters outside the vocabulary become bytes.
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +37,8 @@ ALPHA = 0.5
 RANK_SHIFT = 10.0
 TABLE_BITS = 20
 NEAR = 64  # edges at a text's beginning, where most of what can still be opened lies
+MOST_NOISE = 40.0  # -log(-log(u)) of the largest u is below 37
+PATHS_AT_ONCE = 64  # turned into ids and back
 LARGE_CHUNK = 4 << 20  # the lattice of a word serves all its places in a chunk
 SPACE_MARK = "▁"
 PREFIXES = (3, 5, 8)  # lengths at which stretches that begin no longer piece are given up
@@ -84,7 +87,7 @@ class Vocabulary:
         self.hashes, self.ids, self.tables = np.append(h, U64(0)), np.append(np.array(use), -1), []
         left = np.arange(len(use))
         for shift in (64 - TABLE_BITS, 24, 4):
-            table = np.full(1 << TABLE_BITS, len(use), np.int64)
+            table = np.full(1 << TABLE_BITS, len(use), np.int32)
             slot = ((h[left] >> U64(shift)) & U64((1 << TABLE_BITS) - 1)).astype(np.int64)
             table[slot] = left
             left = left[table[slot] != left]
@@ -111,12 +114,12 @@ class Vocabulary:
             out[hit] = self.ids[at[hit]]
         return out
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Text of pieces, without the space that every text is given in front."""
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the pieces of texts that end at ``ends``, and where theirs end; every text has a space in front."""
         size = self.decode_size[ids]
         total = np.cumsum(size)
         place = np.repeat(self.decode_at[ids] - (total - size), size) + np.arange(int(total[-1]) if len(ids) else 0)
-        return self.decode_pool[place].tobytes()[1:]
+        return self.decode_pool[place], np.append(0, total)[ends]
 
 
 @dataclass
@@ -276,22 +279,27 @@ class Sampler:
             self.log_other = np.log1p(-np.minimum(self.lat.chance, 1.0))
 
     def _paths(self, rows: list[int], heads: list[np.ndarray], head_units: list[np.ndarray], states: list[int], unit: list[int], turn: int):
-        """Complete beginnings of paths: the state in a unit is walked to its end, and all later units from their begin."""
-        starts, keys, sizes = [], [], []
-        for r, state, u in zip(rows, states, unit, strict=True):
-            a, b = self.unit_of[r] + u, self.unit_of[r + 1]
-            own = self.start[a:b].copy()
-            own[:1] = state
-            starts.append(own)
-            keys.append(mix(self.keys[r : r + 1] + SALTS[turn] + np.arange(u, u + b - a).astype(U64)))
-            sizes.append(b - a)
-        edges, begin = walk(self.lat, np.concatenate(starts), np.concatenate(keys))
-        at = 0
-        for k, size in enumerate(sizes):
-            count = np.diff(begin[at : at + size + 1])
-            own = edges[begin[at] : begin[at + size]]
-            yield np.concatenate([heads[k], own]), np.concatenate([head_units[k], unit[k] + np.repeat(np.arange(size), count)])
-            at += size
+        """Complete beginnings of paths: the state in a unit is walked to its end, and all later units from their begin.
+
+        All edges with their units, path by path, and where each path begins.
+        """
+        r, first = np.array(rows), np.array(unit)
+        size = self.unit_of[r + 1] - self.unit_of[r] - first
+        total = np.cumsum(size)
+        walked = np.repeat(first - (total - size), size) + np.arange(int(total[-1]))
+        starts = self.start[np.repeat(self.unit_of[r], size) + walked]
+        starts[total - size] = states
+        edges, begin = walk(self.lat, starts, mix(np.repeat(self.keys[r] + SALTS[turn], size) + walked.astype(U64)))
+        own = begin[total] - begin[total - size]
+        ahead = np.array([len(h) for h in heads])
+        end = np.cumsum(own + ahead)
+        out, units = np.empty(int(end[-1]), np.int64), np.empty(int(end[-1]), np.int32)
+        tail = np.repeat(np.cumsum(ahead), own) + np.arange(len(edges))
+        out[tail], units[tail] = edges, np.repeat(walked, np.diff(begin))
+        if ahead.any():
+            front = np.repeat(np.cumsum(own) - own, ahead) + np.arange(int(ahead.sum()))
+            out[front], units[front] = np.concatenate(heads), np.concatenate(head_units)
+        return out, units, end - own - ahead, own + ahead
 
     def run(self, samples: int) -> Iterator[tuple[int, int, np.ndarray, float, float, float]]:
         """``(row, sample, edges, log probability, perturbed value, inclusion)``."""
@@ -310,15 +318,13 @@ class Sampler:
         heads, head_units = [empty] * len(rows), [empty] * len(rows)
         states, unit = [int(self.start[self.unit_of[r]]) for r in rows], [0] * len(rows)
         for turn in range(samples):
-            paths = list(self._paths(rows, heads, head_units, states, unit, turn))
-            edges = np.concatenate([p for p, _ in paths])
-            size = np.array([len(p) for p, _ in paths])
-            begin = np.cumsum(size) - size
+            edges, units, begin, size = self._paths(rows, heads, head_units, states, unit, turn)
             text = np.repeat(np.arange(len(rows)), size)
             log_p = self.log_chance[edges]
             upto = np.cumsum(log_p)
             base = np.concatenate([[0.0], upto])[begin]
-            before = upto - log_p - base[text]
+            before = upto - log_p
+            before -= base[text]
             mass = before + self.log_other[edges]
             for k, r in enumerate(rows):  # edges before the split are part of other nodes, the one at the split has siblings gone
                 node = opened[r]
@@ -327,39 +333,55 @@ class Sampler:
                     gone = sum(self.lat.chance[e] for e in (*node.taken, edges[begin[k] + node.at]))
                     rest = self._others(edges[begin[k] + node.at], (*node.taken, int(edges[begin[k] + node.at])), gone)
                     mass[begin[k] + node.at] = before[begin[k] + node.at] + rest
-            top = np.array([value[r] for r in rows])[text]
-            noise = _uniform(mix(self.keys[rows][text] + SALTS[turn + 1001]) + (np.arange(len(edges)) - begin[text]).astype(U64))
-            with np.errstate(over="ignore", invalid="ignore"):
-                split = mass - np.log(np.exp(mass - top) - np.log(noise))
-            split[~np.isfinite(mass)] = -np.inf
+            top = np.array([value[r] for r in rows])
+            noises = mix(self.keys[rows] + SALTS[turn + 1001])
+
+            def splits(at: np.ndarray) -> np.ndarray:
+                own, held = text[at], mass[at]
+                noise = _uniform(noises[own] + (at - begin[own]).astype(U64))
+                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                    out = held - np.log(np.exp(held - top[own]) - np.log(noise))
+                out[~np.isfinite(held)] = -np.inf
+                return out
+
             # only the best few can still be opened: those not below the last of the best few at a text's beginning
             few = samples - turn
             head = begin[:, None] + np.arange(NEAR)
-            early = np.where(head < (begin + size)[:, None], split[np.minimum(head, len(split) - 1)], -np.inf)
+            there = head < (begin + size)[:, None]
+            early = np.full(head.shape, -np.inf)
+            early[there] = splits(head[there])
             bar = np.partition(early, NEAR - few, axis=1)[:, NEAR - few]
-            able = np.flatnonzero((split >= bar[text]) & np.isfinite(split))
-            order = able[np.lexsort((able, -split[able], text[able]))]
+            # noise lifts no set by more than MOST_NOISE, so the others need none
+            able = np.flatnonzero((mass >= (bar - MOST_NOISE)[text]) & np.isfinite(mass))
+            split = splits(able)
+            real = (split >= bar[text[able]]) & np.isfinite(split)
+            able, split = able[real], split[real]
+            ranked = np.lexsort((able, -split, text[able]))
+            order, split = able[ranked], split[ranked]
             owner = text[order]
             rank = np.arange(len(order)) - np.searchsorted(owner, owner)
-            for at in order[rank < few].tolist():
+            best = rank < few
+            for at, g in zip(order[best].tolist(), split[best].tolist(), strict=True):
                 k = int(text[at])
                 place = at - int(begin[k])
                 node = opened[rows[k]]
                 taken = [int(edges[at])] + (node.taken if node is not None and place == node.at else [])
-                heapq.heappush(heaps[rows[k]], (-float(split[at]), turn * (1 << 40) + place, Node(*paths[k], place, taken)))
+                upto = slice(int(begin[k]), at + 1)  # all that is needed of the path
+                heapq.heappush(heaps[rows[k]], (-g, turn * (1 << 40) + place, Node(edges[upto].copy(), units[upto].copy(), place, taken)))
             total = np.add.reduceat(log_p, begin)
             for k, r in enumerate(rows):
-                found[r].append((paths[k][0], float(total[k]), value[r]))
+                found[r].append((edges[begin[k] : begin[k] + size[k]], float(total[k]), value[r]))
             if turn + 1 == samples:
                 break
             rows = [r for r in rows if heaps[r]]
             if not rows:
                 break
             heads, head_units, states, unit = [], [], [], []
-            for r in rows:
+            draws = _uniform(mix(self.keys[rows] + SALTS[turn + 2001])).tolist()
+            for r, draw in zip(rows, draws, strict=True):
                 g, _, node = heapq.heappop(heaps[r])
                 value[r], opened[r] = -g, node
-                edge = self._another(node, mix(self.keys[r : r + 1] + SALTS[turn + 2001]))
+                edge = self._another(node, draw)
                 heads.append(np.append(node.path[: node.at], edge))
                 head_units.append(node.units[: node.at + 1])
                 states.append(int(self.lat.target[edge]))
@@ -378,23 +400,29 @@ class Sampler:
         rest = [e for e in self._siblings(edge).tolist() if e not in taken]
         return float(np.log(sum(self.lat.chance[e] for e in rest))) if rest and gone < 1 else -np.inf
 
-    def _another(self, node: Node, key: np.ndarray) -> int:
+    def _another(self, node: Node, draw: float) -> int:
         edges = [e for e in self._siblings(int(node.path[node.at])).tolist() if e not in node.taken]
         total = np.cumsum(self.lat.chance[edges])
-        return edges[min(int(np.searchsorted(total, _uniform(key)[0] * total[-1], "right")), len(edges) - 1)]
+        return edges[min(int(np.searchsorted(total, draw * total[-1], "right")), len(edges) - 1)]
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Piece ids of a path; characters outside the vocabulary as bytes."""
+        return self.all_ids(edges, np.array([len(edges)]))[0]
+
+    def all_ids(self, edges: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of paths that end at ``ends``, and where theirs end."""
         piece = self.lat.piece[edges]
         lone = np.flatnonzero(piece < 0)
         if not len(lone):
-            return piece
+            return piece, ends
         state = np.searchsorted(self.lat.first, edges[lone], "right") - 1
         size = self.lat.target[edges[lone]] - state
-        out = np.repeat(piece, np.where(piece < 0, 0, 1) + np.bincount(lone, size, len(piece)).astype(np.int64))
+        each = np.ones(len(piece), np.int64)
+        each[lone] = size
+        out = np.repeat(piece, each)
         at = self.lat.source[state]
         out[out < 0] = self.v.byte_ids[self.buf[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]]
-        return out
+        return out, ends + np.append(0, np.cumsum(size - 1))[np.searchsorted(lone, ends)]
 
 
 def sample(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = ALPHA, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -413,10 +441,15 @@ def sample(docs: DataFrame, model: str, samples: int = SAMPLES, alpha: float = A
                 ids_ = rows.column(0)
                 sampler = Sampler(v, buf, off, ids_.fill_null(0).to_numpy())
                 out = []
-                for r, s, edges, log_p, g, inclusion in sampler.run(samples):
-                    ids = sampler.ids(edges).astype("<u4")
-                    whole = v.decode(ids) == buf[off[r] : off[r + 1]].tobytes()
-                    out.append((r, s, len(ids), zlib.crc32(ids.tobytes()), log_p, g, inclusion, whole, ids.astype(np.int32) if with_ids else None))
+                for some in itertools.batched(sampler.run(samples), PATHS_AT_ONCE):
+                    ids, ends = sampler.all_ids(np.concatenate([x[2] for x in some]), np.cumsum([len(x[2]) for x in some]))
+                    ids = ids.astype("<u4")
+                    texts, text_ends = v.decode(ids, ends)
+                    a = c = 0
+                    for (r, s, _, *values), b, d in zip(some, ends.tolist(), text_ends.tolist(), strict=True):
+                        own, whole = ids[a:b], texts[c + 1 : d].tobytes() == buf[off[r] : off[r + 1]].tobytes()
+                        out.append((r, s, b - a, zlib.crc32(own), *values, whole, own.astype(np.int32) if with_ids else None))
+                        a, c = b, d
                 out.sort(key=lambda x: x[:2])
                 cols = list(zip(*out, strict=True)) if out else [()] * 9
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]

@@ -214,6 +214,18 @@ def test_samples_follow_the_distribution(vocabulary, text):
             assert abs(second[ids, other] / n - pair) < 5 * np.sqrt(pair / n) + 1e-9
 
 
+def test_noise_is_drawn_where_sets_can_still_be_opened(vocabulary, monkeypatch):
+    """Of long texts most edges lie too deep; a step over all texts draws at once."""
+    texts = [" ".join(f"word{i}" * (1 + i % 3) for i in range(k, k + 300)) for k in range(40)]
+    buf, off = flat(pa.array(texts))
+    drawn, plain = [], pieces._uniform
+    monkeypatch.setattr(pieces, "_uniform", lambda key: drawn.append(len(key)) or plain(key))
+    found = list(pieces.Sampler(vocabulary, buf, off, np.arange(len(texts))).run(4))
+    assert len(found) == 4 * len(texts)
+    edges = sum(len(x[2]) for x in found)
+    assert sum(drawn) < 1.3 * edges and len(drawn) < 150
+
+
 def test_sampling_of_odd_documents(odd_docs, no_docs):
     rows = pieces.sample(odd_docs, MODEL, samples=2, with_ids=True).collect()
     texts = Counter((r.doc_id, r.sample) for r in rows)
