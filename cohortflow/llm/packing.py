@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.text import chunks, rows_with
+from cohortflow.llm.text import chunks, release, rows_with
 from cohortflow.llm.tokens import shared_encoder, ship_spec
 from cohortflow.session import settle
 
@@ -29,6 +29,7 @@ LENGTH = 4096
 OPEN = 16
 LEAST_CUT = 16
 FAN_IN = 16
+SMALL_CHUNK = 1 << 19  # bytes of text at once, as a worker holds the tokenizer as well
 END_ID = 2
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -153,8 +154,9 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = shared_encoder(spec.value), TaskContext.get().partitionId()
         windows = Windows(length, open_windows, least_cut, _sequence_base(0, part))
+        release()
         for batch in batches:
-            for rows, buf, off in chunks(batch):
+            for rows, buf, off in chunks(batch, size=SMALL_CHUNK):
                 ids, at = encoder.encode(buf, off)
                 raw = ids.astype("<u4", copy=False).tobytes()
                 for k, doc in enumerate(rows.column(0).to_pylist()):

@@ -11,11 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK = 1 << 21
 BATCH_ROWS = 1000
+BATCH_BYTES = 1 << 22
 U64 = np.uint64
 LAST_ID = 2**63 - 1
 
@@ -55,7 +56,7 @@ FOLDED = byte_table(fold_case=True)
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, min(2 * len(_powers[0]), CHUNK + 1))
         for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             steps = np.full(size, base, U64)
             steps[0] = 1
@@ -147,12 +148,16 @@ def release() -> None:
         trim(0)
 
 
-def rows_with(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
-    """Only the wanted columns, so extra ones can neither clash nor be shuffled.
+def bound_batches(spark: SparkSession) -> None:
+    """Set the session's Arrow batches to ``BATCH_ROWS`` rows or about ``BATCH_BYTES`` at most, one row at least: texts and
+    payloads are long, and a batch is held as a whole, by the JVM and by the Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
-    Sets the session's Arrow batches to ``BATCH_ROWS`` rows at most: texts are long, and a batch is held as a whole.
-    """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def rows_with(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+    """Only the wanted columns, so extra ones can neither clash nor be shuffled. Bounds the session's Arrow batches."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 
 
@@ -168,7 +173,7 @@ def shown(key: str | Column = "doc_id") -> Column:
 
 def kept_rows(docs: DataFrame, text: str, wanted: Callable[[np.ndarray, np.ndarray, object], np.ndarray], model: object) -> DataFrame:
     """The rows of ``docs`` for which ``wanted(bytes, offsets, model)`` holds; the model is broadcast."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    bound_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 

@@ -1,6 +1,9 @@
 """Token ids, packing and token files against the tokenizers library."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import defaultdict
 
@@ -16,6 +19,7 @@ from cohortflow.llm.text import chunks
 from cohortflow.llm.tokens import WordEncoder, read_spec
 from cohortflow.session import shared_dir
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -108,3 +112,19 @@ def test_selective_reads(spark, tokenizer, odd_docs):
 
 def test_files_of_nothing(spark, no_docs):
     assert token_files.checksums(spark, token_files.write_tokens(no_docs, PATH, shared_dir(spark))).collect() == []
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    """Long rows do not meet in one batch; tables of hashes are as long as they must be."""
+    from cohortflow.llm import text
+
+    docs = spark.range(0, 100, 1, 1).selectExpr("id AS doc_id", "repeat('x', 200000) AS text")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    sizes = [r[0] for r in text.rows_with(docs, "doc_id", "text").mapInArrow(run, "n long").collect()]
+    assert sum(sizes) == 100 and max(sizes) * 200000 <= text.BATCH_BYTES + 200000
+    code = "from cohortflow.llm import text; import numpy as np; text.prefix_hash(np.zeros(5000, np.uint8)); print(len(text._powers[0]))"
+    assert int(subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120).stdout) < 20000
