@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortflow.llm.text import FOLDED, U64, chunks, known, mix, prefix_hash, row_of, rows_with, shingles, shown, span_hash, words
+from cohortflow.llm.text import FOLDED, SMALL_BATCH, U64, chunks, known, mix, prefix_hash, release, row_of, rows_with, shingles, shown, span_hash, words
 from cohortflow.session import settle
 
 RANGE = 1.6  # ratio of the largest to the smallest size of a range
@@ -288,7 +288,7 @@ class Join:
     """The join of one table; the steps are settled as they are needed."""
 
     def __init__(self, docs: DataFrame, percent: int, n: int, key: str = "doc_id", text: str = "text"):
-        self.docs, self.percent, self.n = rows_with(docs, key, text).withColumn("doc_id", known()), percent, n
+        self.docs, self.percent, self.n = rows_with(docs, key, text, size=SMALL_BATCH).withColumn("doc_id", known()), percent, n
         self.seed, self.rows = 0, None
         while self.rows is None:
             rows = settle(self._described(self.seed))
@@ -315,6 +315,7 @@ class Join:
                         [rows.column(0), pa.array(size), pa.array(set_ids(grams, size, seed)), pa.array(set_ids(grams, size, seed + 1000)), pa.array(signs, pa.binary())],
                         names=["doc_id", "size", "sid", "other", "signs"],
                     )
+            release()
 
         return self.docs.mapInArrow(run, "doc_id long, size long, sid long, other long, signs binary")
 
@@ -332,6 +333,7 @@ class Join:
                     grams, size, sid = grams[once[row_of(size)]], size[once], sid[once]
                     root, row, cut, spare = root_keys(grams, size, ranges)
                     yield pa.RecordBatch.from_arrays([pa.array(root), pa.array(sid[row]), pa.array(cut, pa.int32()), pa.array(spare, pa.int32())], names=["root", "sid", "cut", "spare"])
+            release()
 
         return self.docs.mapInArrow(run, "root long, sid long, cut int, spare int")
 
@@ -381,6 +383,7 @@ class Join:
                     grams, size = sets_of(buf, off, n)
                     own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(grams.view(np.int64)))
                     yield pa.RecordBatch.from_arrays([pa.array(set_ids(grams, size, seed)), own], names=["sid", "grams"])
+            release()
 
         # rows that share an id may have other texts
         found = settle(docs.mapInArrow(sets, "sid long, grams array<long>").join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]))

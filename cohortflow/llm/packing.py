@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortflow.llm.text import chunks, release, rows_with
+from cohortflow.llm.text import SMALL_BATCH, chunks, release, rows_with
 from cohortflow.llm.tokens import shared_encoder, ship_spec
 from cohortflow.session import settle
 
@@ -165,7 +165,7 @@ def pack(
                 yield _table(list(windows.drain()), part)
         yield _table(list(windows.drain(everything=True)), part)
 
-    state = settle(rows_with(docs, key, text).mapInArrow(run, STATE))
+    state = settle(rows_with(docs, key, text, size=SMALL_BATCH).mapInArrow(run, STATE))
     done, level = [state.where(~F.col("open"))], 0
     left = state.where("open")
     parts = 1 + (left.agg(F.max("part")).first()[0] or 0)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cohortflow.llm.text import LAST_ID, U64, chunks, known, prefix_hash, release, rows_with, span_hash
+from cohortflow.llm.text import LAST_ID, SMALL_BATCH, U64, bound_batches, chunks, known, prefix_hash, release, rows_with, span_hash
 from cohortflow.session import settle
 
 LENGTH = 50
@@ -201,6 +201,21 @@ def _split(by: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(value[a]), order[a:b]
 
 
+def _dealt(out: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Rows for ``TO_FAMILY`` in batches of about ``SMALL_BATCH`` bytes, one row at least; they leave ``out`` as they go."""
+    while out:
+        n = size = 0
+        while n < len(out) and (not n or size + len(out[-1 - n][3]) <= SMALL_BATCH):
+            size += len(out[-1 - n][3])
+            n += 1
+        cols = list(zip(*out[-n:], strict=True))
+        del out[-n:]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())],
+            names=["family", "first", "block", "payload"],
+        )
+
+
 def _deal_runs(families: int, length: int):
     """Runs of every block, dealt to the families."""
 
@@ -213,11 +228,7 @@ def _deal_runs(families: int, length: int):
             for family, at in _split((low % U64(families)).astype(np.int32)):
                 docs, which = np.unique(row[at], return_inverse=True)
                 out.append((family, int(block.ids[docs].min()), r["block"], pack((low[at] >> U64(32)).astype(np.uint32), content[at], which.astype(np.uint16), block.ids[docs])))
-            cols = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())],
-                names=["family", "first", "block", "payload"],
-            )
+            yield from _dealt(out)
 
     return run
 
@@ -326,11 +337,7 @@ def _send_contents(families: int, second: int, length: int):
                 total = np.cumsum(size)
                 where = np.repeat(start[own] - (total - size), size) + np.arange(int(total[-1]))
                 out.append((f, int(docs[own].min()), r["block"], pack(block.buf[where], count[own].astype(np.int32), docs[own], start[own])))
-            cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())],
-                names=["family", "first", "block", "payload"],
-            )
+            yield from _dealt(out)
 
     return run
 
@@ -420,6 +427,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
     more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
     rows = rows_with(docs, key, text, *more).withColumn("doc_id", known())
     blocks = settle(rows.mapInArrow(_write_blocks, BLOCKS))
+    bound_batches(docs.sparkSession, SMALL_BATCH)  # blocks are as long as a batch of texts, but payloads travel a few at a time
     sizes = blocks.agg(F.sum(F.length("data")), F.count("*")).first()
     families = max(1, -(-3 * (sizes[0] or 0) // FAMILY_BYTES))  # texts are some three times their compressed size
 

@@ -7,6 +7,8 @@ longest single text), not the batch. Null text counts as empty everywhere.
 from __future__ import annotations
 
 import ctypes
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 21
 BATCH_ROWS = 1000
 BATCH_BYTES = 1 << 22
+SMALL_BATCH = 1 << 20  # where little memory is left beside a batch
 U64 = np.uint64
 LAST_ID = 2**63 - 1
 
@@ -29,7 +32,21 @@ NOT_BARE = np.ones(256, bool)
 NOT_BARE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 _BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+
+
+class Powers(list):
+    """Tables that every process makes for itself, once for all tasks: they do not travel with the functions that use them."""
+
+    def __reduce__(self):
+        return own_powers, ()
+
+
+def own_powers() -> Powers:
+    place = sys.modules.setdefault("_cohortflow_worker", types.ModuleType("_cohortflow_worker"))
+    return place.__dict__.setdefault("powers", Powers([np.ones(1, U64), np.ones(1, U64)]))
+
+
+_powers = own_powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -148,16 +165,16 @@ def release() -> None:
         trim(0)
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Set the session's Arrow batches to ``BATCH_ROWS`` rows or about ``BATCH_BYTES`` at most, one row at least: texts and
+def bound_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Set the session's Arrow batches to ``BATCH_ROWS`` rows or about ``size`` bytes at most, one row at least: texts and
     payloads are long, and a batch is held as a whole, by the JVM and by the Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def rows_with(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
+def rows_with(docs: DataFrame, key: str, text: str, *more: str, size: int = BATCH_BYTES) -> DataFrame:
     """Only the wanted columns, so extra ones can neither clash nor be shuffled. Bounds the session's Arrow batches."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, size)
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 
 
@@ -173,7 +190,7 @@ def shown(key: str | Column = "doc_id") -> Column:
 
 def kept_rows(docs: DataFrame, text: str, wanted: Callable[[np.ndarray, np.ndarray, object], np.ndarray], model: object) -> DataFrame:
     """The rows of ``docs`` for which ``wanted(bytes, offsets, model)`` holds; the model is broadcast."""
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, SMALL_BATCH)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text)
 

@@ -128,3 +128,23 @@ def test_batches_are_bounded_in_bytes(spark):
     assert sum(sizes) == 100 and max(sizes) * 200000 <= text.BATCH_BYTES + 200000
     code = "from cohortflow.llm import text; import numpy as np; text.prefix_hash(np.zeros(5000, np.uint8)); print(len(text._powers[0]))"
     assert int(subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120).stdout) < 20000
+
+
+def test_tables_do_not_travel():
+    """What the driver has hashed does not make the functions it sends longer."""
+    code = (
+        "import numpy as np, cohortflow; from pyspark import cloudpickle; from cohortflow.llm import jaccard, text; "
+        "cloudpickle.register_pickle_by_value(cohortflow); f = lambda b: jaccard.sets_of(b, b, 5); text.prefix_hash(np.zeros(1 << 20, np.uint8)); "
+        "raw = cloudpickle.dumps(f); own = cloudpickle.loads(raw); print(len(raw))"
+    )
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert int(done.stdout) < 1 << 20, done.stderr
+
+
+def test_payloads_travel_a_few_at_a_time():
+    from cohortflow.llm import suffixes, text
+
+    rows = [(k % 7, k, k, bytes(k * 1000)) for k in range(1200)]
+    batches = list(suffixes._dealt(list(rows)))
+    assert sorted(tuple(r.values()) for b in batches for r in b.to_pylist()) == sorted(rows)
+    assert all(b.num_rows == 1 or sum(map(len, b.column(3).to_pylist())) <= text.SMALL_BATCH for b in batches)
