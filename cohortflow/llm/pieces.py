@@ -37,11 +37,13 @@ ALPHA = 0.5
 RANK_SHIFT = 10.0
 TABLE_BITS = 20
 NEAR = 64  # edges at a text's beginning, where most of what can still be opened lies
+WINDOW = 384  # edges looked at first; more where a text needs them
 MOST_NOISE = 40.0  # -log(-log(u)) of the largest u is below 37
 PATHS_AT_ONCE = 64  # turned into ids and back
 LARGE_CHUNK = 4 << 20  # the lattice of a word serves all its places in a chunk
+MOST_LOG = 600.0  # products of weights are summed as they are where no logarithm is beyond that
 SPACE_MARK = "▁"
-PREFIXES = (3, 5, 8)  # lengths at which stretches that begin no longer piece are given up
+PREFIXES = (3, 4, 5, 6, 7, 8, 10)  # lengths at which stretches that begin no longer piece are given up
 
 # Bytes of a character by its first byte
 CHARACTER_BYTES = np.array([1] * 192 + [2] * 32 + [3] * 16 + [4] * 16)
@@ -101,6 +103,16 @@ class Vocabulary:
             begin = (end - size)[longer]
             table[(span_hash(prefix_hash(joined), begin, begin + n) >> U64(64 - TABLE_BITS)).astype(np.int64)] = True
             self.goes_on[n] = table
+        # pieces of one and two bytes by their bytes, and whether longer ones begin like that
+        self.short = {n: np.full(1 << 8 * n, -1, np.int32) for n in (1, 2)}
+        self.short_goes_on = {n: np.zeros(1 << 8 * n, bool) for n in (1, 2)}
+        for i in use:
+            raw = self.bytes[i]
+            if len(raw) < 3:
+                self.short[len(raw)][int.from_bytes(raw)] = i
+            for n in (1, 2):
+                if len(raw) > n:
+                    self.short_goes_on[n][int.from_bytes(raw[:n])] = True
         self.decode_size = np.array([len(p) for p in self.bytes], np.int64)
         self.decode_at = np.cumsum(self.decode_size) - self.decode_size
         self.decode_pool = np.frombuffer(b"".join(self.bytes), np.uint8)
@@ -108,10 +120,14 @@ class Vocabulary:
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of pieces by hash, -1 where there is none."""
         out = np.full(len(h), -1)
-        for shift, table in self.tables:
-            at = table[((h >> U64(shift)) & U64((1 << TABLE_BITS) - 1)).astype(np.int64)]
-            hit = self.hashes[at] == h
-            out[hit] = self.ids[at[hit]]
+        left = np.arange(len(h))
+        for k, (shift, table) in enumerate(self.tables):
+            at = table[((h[left] >> U64(shift)) & U64((1 << TABLE_BITS) - 1)).astype(np.int64)]
+            if not k:  # a piece that lost its place there has another one in it: where there is none, no piece is
+                left, at = left[there := at < len(self.ids) - 1], at[there]
+            hit = self.hashes[at] == h[left]
+            out[left[hit]] = self.ids[at[hit]]
+            left = left[~hit]
         return out
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,6 +150,7 @@ class Lattice:
     target: np.ndarray
     piece: np.ndarray  # -1: the character's bytes
     chance: np.ndarray
+    upto: np.ndarray  # summed chances of a state's edges as far as this one; above 1 at the last
     start: np.ndarray  # state of each unit's begin
     final: np.ndarray  # whether a state is a unit's end
     source: np.ndarray  # byte position of a state
@@ -160,13 +177,21 @@ def build_lattice(v: Vocabulary, buf: np.ndarray, begin: np.ndarray, end: np.nda
         at = at[left[at] >= n]
         if not len(at):
             break
-        h = span_hash(prefix, source[at], source[at] + n)
-        piece = v.find(h)
+        if n in v.short:
+            begins = buf[source[at]].astype(np.int64)
+            if n == 2:
+                begins = (begins << 8) + buf[source[at] + 1]
+            piece = v.short[n][begins]
+        else:
+            h = span_hash(prefix, source[at], source[at] + n)
+            piece = v.find(h)
         hit = piece >= 0
         own = at[hit]
         found.append((own, own + n, piece[hit]))
         lone[own[own_length[own] == n]] = False
-        if n in v.goes_on:
+        if n in v.short:
+            at = at[v.short_goes_on[n][begins]]
+        elif n in v.goes_on:
             at = at[v.goes_on[n][(h >> U64(64 - TABLE_BITS)).astype(np.int64)]]
     at = np.flatnonzero(lone)
     # longer pieces first: they are the likelier ones
@@ -176,29 +201,46 @@ def build_lattice(v: Vocabulary, buf: np.ndarray, begin: np.ndarray, end: np.nda
     froms, tos, ids = froms[order], tos[order], ids[order]
     weight = np.where(ids >= 0, v.weight[ids], v.byte_weight * own_length[froms])
 
-    # log of the summed weights of all completions, from the units' ends backwards
-    rest = np.full(len(unit), -np.inf)
-    rest[~inside] = 0.0
+    # edges by the bytes left to their units' ends, so that summed weights of all completions go backwards
     far = left[froms]
     order = np.argsort(far.astype(np.uint16) if len(far) and far.max() < 1 << 16 else far, kind="stable")
-    far = far[order]
+    far, src, to, edge_weight = far[order], froms[order], tos[order], weight[order]
     steps = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1]])) if len(far) else np.zeros(0, np.int64)
+    heads = np.concatenate([[True], (src[1:] != src[:-1]) | (far[1:] != far[:-1])]) if len(far) else np.zeros(0, bool)
+    plain = int(left.max(initial=0)) * max(-float(weight.min(initial=0)), -v.byte_weight) < MOST_LOG
+    rest = np.zeros(len(unit)) if plain else np.full(len(unit), -np.inf)
+    rest[~inside] = 1.0 if plain else 0.0
+    if plain:
+        edge_weight = np.exp(edge_weight)
     for a, b in zip(steps.tolist(), np.append(steps[1:], len(far)).tolist(), strict=True) if len(far) else ():
-        now = order[a:b]
-        value = weight[now] + rest[tos[now]]
-        src = froms[now]
-        head = np.flatnonzero(np.concatenate([[True], src[1:] != src[:-1]]))
+        head = np.flatnonzero(heads[a:b])
+        if plain:
+            rest[src[a:b][head]] = np.add.reduceat(edge_weight[a:b] * rest[to[a:b]], head)
+            continue
+        value = edge_weight[a:b] + rest[to[a:b]]
         top = np.maximum.reduceat(value, head)
         safe = np.where(np.isfinite(top), top, 0.0)
         sums = np.add.reduceat(np.exp(value - np.repeat(safe, np.diff(np.append(head, b - a)))), head)
         with np.errstate(divide="ignore"):
-            rest[src[head]] = safe + np.log(sums)
-    reach = np.isfinite(rest[tos]) & np.isfinite(rest[froms])
+            rest[src[a:b][head]] = safe + np.log(sums)
+    after, here = rest[to], rest[src]
+    reach = (after > 0) & (here > 0) if plain else np.isfinite(after) & np.isfinite(here)
+    chance = np.zeros(len(far))
+    chance[order] = edge_weight * after / np.where(reach, here, 1.0) if plain else np.exp(edge_weight + after - np.where(reach, here, 0.0))
     if not reach.all():
-        froms, tos, ids, weight = froms[reach], tos[reach], ids[reach], weight[reach]
-    chance = np.exp(weight + rest[tos] - rest[froms])
-    first = np.searchsorted(froms, np.arange(len(unit) + 1))
-    return Lattice(first, tos.astype(np.int32), ids.astype(np.int32), chance, start, ~inside, source)
+        keep = np.zeros(len(far), bool)
+        keep[order] = reach
+        froms, tos, ids, chance = froms[keep], tos[keep], ids[keep], chance[keep]
+    first = np.concatenate([[0], np.cumsum(np.bincount(froms, minlength=len(unit)))])
+    # a state has few edges: add up those of one place at a time
+    upto, nth = chance.copy(), np.arange(len(froms)) - first[froms]
+    later, n = np.flatnonzero(nth == 1), 1
+    while len(later):
+        upto[later] += upto[later - 1]
+        later, n = later[later < len(nth) - 1] + 1, n + 1
+        later = later[nth[later] == n]
+    upto[first[1:][np.diff(first) > 0] - 1] = 2.0
+    return Lattice(first, tos.astype(np.int32), ids.astype(np.int32), chance, upto, start, ~inside, source)
 
 
 SALTS = mix(np.arange(1, 4097, dtype=U64))
@@ -211,31 +253,26 @@ def _uniform(key: np.ndarray) -> np.ndarray:
 
 def walk(lat: Lattice, state: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Random paths from states to their units' ends: all edges, walk by walk, and where each walk begins."""
-    edges, walks, steps = [], [], []
+    taken = []
     who = np.flatnonzero(~lat.final[state])
-    now, step = state[who], 0
+    now, own, step = state[who], key[who], 0
     count = np.zeros(len(state), np.int64)
     while len(who):
-        pick, last = lat.first[now], lat.first[now + 1] - 1
-        # chances of a state's edges sum to 1: pass over edges until the number is used up
-        u = _uniform(key[who] + SALTS[step % len(SALTS)] + U64(step // len(SALTS)))
-        u -= lat.chance[pick]
-        over = np.flatnonzero((u >= 0) & (pick < last))
-        while len(over):
+        pick = lat.first[now]
+        u = _uniform(own + SALTS[step % len(SALTS)] + U64(step // len(SALTS)))
+        over = np.flatnonzero(u >= lat.upto[pick])
+        while len(over):  # pass over edges whose chances together do not reach the number
             pick[over] += 1
-            u[over] -= lat.chance[pick[over]]
-            over = over[(u[over] >= 0) & (pick[over] < last[over])]
-        edges.append(pick)
-        walks.append(who)
-        steps.append(np.full(len(who), step))
+            over = over[u[over] >= lat.upto[pick[over]]]
+        taken.append((who, pick))
         count[who] += 1
         now = lat.target[pick]
-        on = ~lat.final[now]
-        who, now, step = who[on], now[on], step + 1
+        on = np.flatnonzero(~lat.final[now])
+        who, now, own, step = who[on], now[on], own[on], step + 1
     begin = np.concatenate([[0], np.cumsum(count)])
     out = np.zeros(int(begin[-1]), np.int64)
-    if edges:
-        out[begin[np.concatenate(walks)] + np.concatenate(steps)] = np.concatenate(edges)
+    for step, (who, pick) in enumerate(taken):
+        out[begin[who] + step] = pick
     return out, begin
 
 
@@ -319,39 +356,35 @@ class Sampler:
         states, unit = [int(self.start[self.unit_of[r]]) for r in rows], [0] * len(rows)
         for turn in range(samples):
             edges, units, begin, size = self._paths(rows, heads, head_units, states, unit, turn)
-            text = np.repeat(np.arange(len(rows)), size)
-            log_p = self.log_chance[edges]
-            upto = np.cumsum(log_p)
-            base = np.concatenate([[0.0], upto])[begin]
-            before = upto - log_p
-            before -= base[text]
-            mass = before + self.log_other[edges]
-            for k, r in enumerate(rows):  # edges before the split are part of other nodes, the one at the split has siblings gone
-                node = opened[r]
-                if node is not None:
-                    mass[begin[k] : begin[k] + node.at] = -np.inf
-                    gone = sum(self.lat.chance[e] for e in (*node.taken, edges[begin[k] + node.at]))
-                    rest = self._others(edges[begin[k] + node.at], (*node.taken, int(edges[begin[k] + node.at])), gone)
-                    mass[begin[k] + node.at] = before[begin[k] + node.at] + rest
             top = np.array([value[r] for r in rows])
             noises = mix(self.keys[rows] + SALTS[turn + 1001])
 
-            def splits(at: np.ndarray) -> np.ndarray:
-                own, held = text[at], mass[at]
-                noise = _uniform(noises[own] + (at - begin[own]).astype(U64))
-                with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-                    out = held - np.log(np.exp(held - top[own]) - np.log(noise))
-                out[~np.isfinite(held)] = -np.inf
-                return out
-
-            # only the best few can still be opened: those not below the last of the best few at a text's beginning
             few = samples - turn
-            head = begin[:, None] + np.arange(NEAR)
-            there = head < (begin + size)[:, None]
-            early = np.full(head.shape, -np.inf)
-            early[there] = splits(head[there])
-            bar = np.partition(early, NEAR - few, axis=1)[:, NEAR - few]
-            # noise lifts no set by more than MOST_NOISE, so the others need none
+            # edges before the split are part of other nodes
+            since = np.array([0 if (node := opened[r]) is None else node.at for r in rows])
+            near = np.minimum(size, since + WINDOW)
+            while True:
+                text, place, first, mass, end = self._masses(rows, opened, edges, begin, near)
+
+                def splits(at: np.ndarray, text=text, place=place, mass=mass) -> np.ndarray:
+                    own, held = text[at], mass[at]
+                    noise = _uniform(noises[own] + place[at].astype(U64))
+                    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                        out = held - np.log(np.exp(held - top[own]) - np.log(noise))
+                    out[~np.isfinite(held)] = -np.inf
+                    return out
+
+                # only the best few can still be opened: those not below the last of the best few where it may first part
+                head = (first + since)[:, None] + np.arange(NEAR)
+                there = np.arange(NEAR) < (near - since)[:, None]
+                early = np.full(head.shape, -np.inf)
+                early[there] = splits(head[there])
+                bar = np.partition(early, NEAR - few, axis=1)[:, NEAR - few]
+                # noise lifts no set by more than MOST_NOISE, and masses behind the window are below its last: the others need none
+                more = (near < size) & (end >= bar - MOST_NOISE)
+                if not more.any():
+                    break
+                near = np.where(more, np.minimum(size, 2 * near), near)
             able = np.flatnonzero((mass >= (bar - MOST_NOISE)[text]) & np.isfinite(mass))
             split = splits(able)
             real = (split >= bar[text[able]]) & np.isfinite(split)
@@ -362,13 +395,12 @@ class Sampler:
             rank = np.arange(len(order)) - np.searchsorted(owner, owner)
             best = rank < few
             for at, g in zip(order[best].tolist(), split[best].tolist(), strict=True):
-                k = int(text[at])
-                place = at - int(begin[k])
+                k, nth = int(text[at]), int(place[at])
                 node = opened[rows[k]]
-                taken = [int(edges[at])] + (node.taken if node is not None and place == node.at else [])
-                upto = slice(int(begin[k]), at + 1)  # all that is needed of the path
-                heapq.heappush(heaps[rows[k]], (-g, turn * (1 << 40) + place, Node(edges[upto].copy(), units[upto].copy(), place, taken)))
-            total = np.add.reduceat(log_p, begin)
+                upto = slice(int(begin[k]), int(begin[k]) + nth + 1)  # all that is needed of the path
+                taken = [int(edges[upto.stop - 1])] + (node.taken if node is not None and nth == node.at else [])
+                heapq.heappush(heaps[rows[k]], (-g, turn * (1 << 40) + nth, Node(edges[upto].copy(), units[upto].copy(), nth, taken)))
+            total = np.add.reduceat(self.log_chance[edges], begin)
             for k, r in enumerate(rows):
                 found[r].append((edges[begin[k] : begin[k] + size[k]], float(total[k]), value[r]))
             if turn + 1 == samples:
@@ -391,6 +423,29 @@ class Sampler:
             for s, (edges, log_p, g) in enumerate(own):
                 yield r, s, edges, log_p, g, float(-np.expm1(-np.exp(min(log_p - limit, 50.0)))) if np.isfinite(limit) else 1.0
 
+    def _masses(self, rows: list[int], opened: dict[int, Node | None], edges: np.ndarray, begin: np.ndarray, near: np.ndarray):
+        """Of the first ``near`` edges of every path: path, place in it, where each path begins among them, and the log of the
+        chance of what leaves the path at each edge; then the log of the chance of all that follows the last of them."""
+        total = np.cumsum(near)
+        first = total - near
+        text = np.repeat(np.arange(len(near)), near)
+        place = np.arange(len(text)) - first[text]
+        own = edges[begin[text] + place]
+        log_p = self.log_chance[own]
+        upto = np.cumsum(log_p)
+        base = np.concatenate([[0.0], upto])[first]
+        before = upto - log_p
+        before -= base[text]
+        mass = before + self.log_other[own]
+        for k, r in enumerate(rows):  # the edge at the split has siblings gone
+            node = opened[r]
+            if node is not None:
+                at = first[k] + node.at
+                mass[first[k] : at] = -np.inf
+                gone = sum(self.lat.chance[e] for e in (*node.taken, own[at]))
+                mass[at] = before[at] + self._others(own[at], (*node.taken, int(own[at])), gone)
+        return text, place, first, mass, upto[total - 1] - base
+
     def _siblings(self, edge: int) -> np.ndarray:
         state = int(np.searchsorted(self.lat.first, edge, "right")) - 1
         return np.arange(self.lat.first[state], self.lat.first[state + 1])

@@ -354,3 +354,46 @@ def test_the_rest_works_without_these_folders(tmp_path):
     assert out.returncode == 0, out.stderr
     names = json.loads(out.stdout.splitlines()[-1])
     assert "item_scan" in names and "pipeline" not in names and not [n for n in names if n.startswith("op")]
+
+
+def test_lattice_sums_plain_and_by_logarithm(monkeypatch):
+    """Chances are the same whether weights are multiplied as they are or by logarithm, and add up at every state."""
+    import numpy as np
+    import public_tokenizers
+
+    from cohortflow.llm import pieces
+
+    v = pieces.Vocabulary(pieces.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    buf = np.frombuffer(" hello übermäßig 漢字 \U0001f600 a internationalisation".encode(), np.uint8)
+    end = np.append(np.flatnonzero(buf == 32)[1:], len(buf))
+    begin = np.append(0, end[:-1])
+    plain = pieces.build_lattice(v, buf, begin, end)
+    monkeypatch.setattr(pieces, "MOST_LOG", 0)
+    logs = pieces.build_lattice(v, buf, begin, end)
+    assert (plain.piece == logs.piece).all() and np.abs(plain.chance - logs.chance).max() < 1e-12
+    state = np.flatnonzero(np.diff(plain.first))
+    assert np.abs(np.add.reduceat(plain.chance, plain.first[state]) - 1).max() < 1e-12
+    # a word too long for plain products
+    long = np.frombuffer(b" " + b"ab" * 400, np.uint8)
+    monkeypatch.undo()
+    far = pieces.build_lattice(v, long, np.zeros(1, np.int64), np.array([len(long)]))
+    assert np.isfinite(far.chance).all() and (far.chance > 0).all()
+
+
+def test_samples_do_not_depend_on_the_window(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from cohortflow.llm import pieces
+
+    v = pieces.Vocabulary(pieces.read_vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    texts = [("some words that part in many ways " * 30).encode(), b"short", b"\xe6\xbc\xa2" * 300, b"", b"x " * 900]
+    buf, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+    def drawn():
+        own = pieces.Sampler(v, buf, off, np.arange(len(texts)))
+        return sorted((r, s, own.ids(e).tolist(), round(g, 6), round(q, 6)) for r, s, e, _, g, q in own.run(4))
+
+    wide = drawn()
+    monkeypatch.setattr(pieces, "WINDOW", pieces.NEAR)
+    assert drawn() == wide
