@@ -172,7 +172,7 @@ def build_lattice(v: Vocabulary, buf: np.ndarray, begin: np.ndarray, end: np.nda
     own_length[lead] = CHARACTER_BYTES[buf[source[lead]]]
     own_length = np.minimum(own_length, left)
     lone = lead.copy()  # characters that are no pieces
-    at = np.flatnonzero(lead)
+    at = np.flatnonzero(lead).astype(np.int32)  # a state's number: texts have fewer bytes
     for n in v.lengths.tolist():
         at = at[left[at] >= n]
         if not len(at):
@@ -187,7 +187,7 @@ def build_lattice(v: Vocabulary, buf: np.ndarray, begin: np.ndarray, end: np.nda
             piece = v.find(h)
         hit = piece >= 0
         own = at[hit]
-        found.append((own, own + n, piece[hit]))
+        found.append((own, own + np.int32(n), piece[hit].astype(np.int32)))
         lone[own[own_length[own] == n]] = False
         if n in v.short:
             at = at[v.short_goes_on[n][begins]]
@@ -195,8 +195,9 @@ def build_lattice(v: Vocabulary, buf: np.ndarray, begin: np.ndarray, end: np.nda
             at = at[v.goes_on[n][(h >> U64(64 - TABLE_BITS)).astype(np.int64)]]
     at = np.flatnonzero(lone)
     # longer pieces first: they are the likelier ones
-    found = [(at, at + own_length[at], np.full(len(at), -1)), *found][::-1]
+    found = [(at.astype(np.int32), (at + own_length[at]).astype(np.int32), np.full(len(at), -1, np.int32)), *found][::-1]
     froms, tos, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found, prefix
     order = np.argsort(froms, kind="stable")
     froms, tos, ids = froms[order], tos[order], ids[order]
     weight = np.where(ids >= 0, v.weight[ids], v.byte_weight * own_length[froms])
@@ -210,6 +211,7 @@ def build_lattice(v: Vocabulary, buf: np.ndarray, begin: np.ndarray, end: np.nda
     plain = int(left.max(initial=0)) * max(-float(weight.min(initial=0)), -v.byte_weight) < MOST_LOG
     rest = np.zeros(len(unit)) if plain else np.full(len(unit), -np.inf)
     rest[~inside] = 1.0 if plain else 0.0
+    del weight
     if plain:
         edge_weight = np.exp(edge_weight)
     for a, b in zip(steps.tolist(), np.append(steps[1:], len(far)).tolist(), strict=True) if len(far) else ():
@@ -224,6 +226,7 @@ def build_lattice(v: Vocabulary, buf: np.ndarray, begin: np.ndarray, end: np.nda
         with np.errstate(divide="ignore"):
             rest[src[a:b][head]] = safe + np.log(sums)
     after, here = rest[to], rest[src]
+    del heads, src, to
     reach = (after > 0) & (here > 0) if plain else np.isfinite(after) & np.isfinite(here)
     chance = np.zeros(len(far))
     chance[order] = edge_weight * after / np.where(reach, here, 1.0) if plain else np.exp(edge_weight + after - np.where(reach, here, 0.0))
@@ -233,7 +236,8 @@ def build_lattice(v: Vocabulary, buf: np.ndarray, begin: np.ndarray, end: np.nda
         froms, tos, ids, chance = froms[keep], tos[keep], ids[keep], chance[keep]
     first = np.concatenate([[0], np.cumsum(np.bincount(froms, minlength=len(unit)))])
     # a state has few edges: add up those of one place at a time
-    upto, nth = chance.copy(), np.arange(len(froms)) - first[froms]
+    del after, here, edge_weight, order, reach, rest
+    upto, nth = chance.copy(), (np.arange(len(froms)) - first[froms]).astype(np.int32)
     later, n = np.flatnonzero(nth == 1), 1
     while len(later):
         upto[later] += upto[later - 1]
