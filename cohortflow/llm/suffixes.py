@@ -40,7 +40,7 @@ LONGEST_RUN = 35
 FAMILY_BYTES = 16 << 20  # text for each family
 FAMILY_SUFFIXES = 1 << 19  # open suffixes for each family of the second kind
 BATCH_SUFFIXES = 1 << 16  # of which so many at least are sorted and scanned at once
-SEGMENT = 1 << 18  # suffixes hashed at once
+SEGMENT = 1 << 17  # suffixes hashed at once
 MANY_CONTENTS = 256  # from which on the suffixes of one smallest hash are dealt singly
 
 BLOCKS = "block long, ids binary, sizes binary, data binary, more binary"
@@ -102,20 +102,30 @@ class Family:
                 k, d, order = k[~late], d[~late], order[~late]
         self.levels = [x for x in self.levels if len(x[0])]
         if len(k):
-            self.levels.append((k, d, np.full(len(k), len(self.covered) - 1, np.int32), order))
+            self.levels.append((k, d, np.full(len(k), len(self.covered) - 1, np.int32), order.astype(np.int32)))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             self._merge()
 
     def _merge(self) -> None:
-        both = [np.concatenate(x) for x in zip(self.levels.pop(-2), self.levels.pop(), strict=True)]
-        order = np.argsort(both[0], kind="stable")
-        self.levels.append(tuple(x[order] for x in both))
-
-    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """All levels as one."""
-        while len(self.levels) > 1:
-            self._merge()
-        return self.levels[0] if self.levels else None
+        """The last two levels become one, a column at a time, so that no more than one column is there twice."""
+        one, two = list(self.levels.pop(-2)), list(self.levels.pop())
+        later = np.searchsorted(one[0], two[0], "right") + np.arange(len(two[0]))
+        first = np.ones(len(one[0]) + len(two[0]), bool)
+        first[later] = False
+        out = []
+        while one:
+            x, y = one.pop(0), two.pop(0)
+            out.append(np.empty(len(first), x.dtype))
+            out[-1][first] = x
+            out[-1][later] = y
+            del x, y
+        self.levels.append(tuple(out))
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys, batches and places of all entries, in no order; the levels go."""
+        columns = [np.concatenate([x[c] for x in self.levels]) for c in (0, 2, 3)]
+        self.levels = []
+        return tuple(columns)
 
 
 def suffix_runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
@@ -260,20 +270,23 @@ def _judge_runs(many_from: int):
                 from_.append(block)
                 del payload, low, content, which, ids
             ask, many = ([np.zeros(len(x), bool) for x in lows] for _ in range(2))
-            left = levels.whole()
-            if left is not None:
-                content, _, batch, place = left
+            if levels.levels:
                 start = np.cumsum([0] + [len(x) for x in lows])
-                at = start[batch] + place
+                content, batch, at = levels.rest()
+                at = at + start[batch]
+                del batch
                 low = np.concatenate(lows)[at]
                 order = np.argsort(low, kind="stable")
                 low, content, at = low[order], content[order], at[order]
+                del order
                 first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
                 size = np.diff(np.append(first, len(low)))
-                several = np.repeat(np.minimum.reduceat(content, first) != np.maximum.reduceat(content, first), size)
-                for marks, which in ((ask, several), (many, several & np.repeat(size >= many_from, size))):
+                del low
+                several = np.minimum.reduceat(content, first) != np.maximum.reduceat(content, first)
+                del content
+                for marks, which in ((ask, several), (many, several & (size >= many_from))):
                     flat = np.zeros(start[-1], bool)
-                    flat[at[which]] = True
+                    flat[at[np.repeat(which, size)]] = True
                     marks[:] = [flat[a:b] for a, b in zip(start[:-1], start[1:], strict=True)]
             bits = zip(from_, levels.covered, ask, many, strict=True)
             answers = _answers([(block, family, pack(*map(np.packbits, marks))) for block, *marks in bits])
@@ -287,6 +300,15 @@ def _suffixes(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(buf, length)[at].copy().view(f"S{length}").ravel()
 
 
+def _hashes_at(buf: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the strings of ``length`` bytes that start at these places, a part of the buffer at a time."""
+    out = np.zeros(len(at), U64)
+    for k, own in _split(at // SEGMENT):
+        start = at[own] - k * SEGMENT
+        out[own] = span_hash(prefix_hash(buf[k * SEGMENT : (k + 1) * SEGMENT + length - 1]), start, start + length)
+    return out
+
+
 def _join_runs(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union of spans, as few spans as possible (those that touch are joined)."""
     if not len(start):
@@ -326,7 +348,7 @@ def _send_contents(families: int, second: int, length: int):
                 late = docs[order] > least
                 begin, end = np.append(begin, place[order[late]]), np.append(end, place[order[late]] + length)
                 place, docs = place[order[~late]], docs[order[~late]]
-                dealt = (span_hash(prefix_hash(block.buf), place, place + length) % U64(second)).astype(np.int32)
+                dealt = (_hashes_at(block.buf, place, length) % U64(second)).astype(np.int32)
             out = [(-1, LAST_ID, r["block"], pack(*_join_runs(begin, end)))]
             # runs, and single suffixes as runs of one
             at = np.flatnonzero(ask & ~many)
@@ -345,6 +367,12 @@ def _send_contents(families: int, second: int, length: int):
 def _open_suffixes(held: Iterator[tuple[int, bytes]], length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(keys, documents, places, blocks) of a family's open runs, several blocks at a time."""
     parts, n = [], 0
+
+    def joined() -> tuple[np.ndarray, ...]:
+        out = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        return out
+
     for block, payload in held:
         data, count, docs, start = unpack(payload, "u1", "i4", "i8", "i8")
         count = count.astype(np.int64)
@@ -354,11 +382,12 @@ def _open_suffixes(held: Iterator[tuple[int, bytes]], length: int) -> Iterator[t
         # the suffix array's keys: all suffixes of the open runs, cut at the length that matters
         parts.append((_suffixes(data, first, length), np.repeat(docs, count), np.repeat(start, count) + nth, np.full(len(nth), block)))
         n += len(nth)
+        del payload, data, count, docs, start, size, nth, first
         if n >= BATCH_SUFFIXES:
-            yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-            parts, n = [], 0
+            n = 0
+            yield joined()
     if parts:
-        yield tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        yield joined()
 
 
 def _judge_suffixes(length: int):
@@ -371,6 +400,8 @@ def _judge_suffixes(length: int):
             for keys, docs, at, blocks in _open_suffixes(held, length):
                 levels.add(keys, docs)
                 places.append((at, blocks))
+                del keys, docs
+            levels.levels = []
             out = []
             for covered, (at, blocks) in zip(levels.covered, places, strict=True):
                 at, blocks = at[covered], blocks[covered]
@@ -389,10 +420,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = [unpack(a["payload"], "i8", "i8") for a in r["answers"] or ()]
         start = np.concatenate([s[0] for s in spans]) if spans else np.zeros(0, np.int64)
         end = np.concatenate([s[1] for s in spans]) if spans else np.zeros(0, np.int64)
-        step = np.zeros(len(block.buf) + 1, np.int32)
-        np.add.at(step, start, 1)
-        np.add.at(step, end, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        # joined runs neither overlap nor touch, so at most one begins or ends at a byte
+        start, end = _join_runs(start, end)
+        step = np.zeros(len(block.buf) + 1, np.int8)
+        step[start] = 1
+        step[end] = -1
+        gone = np.cumsum(step[:-1], dtype=np.int8).view(bool)
         digests, texts, removed, lists = [], [], [], []
         for a, b in zip(block.off[:-1].tolist(), block.off[1:].tolist(), strict=True):
             own = gone[a:b]

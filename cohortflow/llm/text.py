@@ -32,6 +32,7 @@ NOT_BARE = np.ones(256, bool)
 NOT_BARE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 _BASE = 0x9E3779B97F4A7C15
+_STEP = 13  # powers of a position: one for its last bits and one for the rest, so their tables stay short
 
 
 class Powers(list):
@@ -43,7 +44,7 @@ class Powers(list):
 
 def own_powers() -> Powers:
     place = sys.modules.setdefault("_cohortflow_worker", types.ModuleType("_cohortflow_worker"))
-    return place.__dict__.setdefault("powers", Powers([np.ones(1, U64), np.ones(1, U64)]))
+    return place.__dict__.setdefault("powers", Powers([np.ones(1, U64) for _ in range(4)]))
 
 
 _powers = own_powers()
@@ -71,28 +72,37 @@ BYTES = byte_table()
 FOLDED = byte_table(fold_case=True)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, min(2 * len(_powers[0]), CHUNK + 1))
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Powers 0 to 2^_STEP - 1 of the base and of its inverse, and those of its 2^_STEP-th power as far as ``n`` positions need."""
+    for k, (size, base) in enumerate(((1 << _STEP, _BASE), (1 << _STEP, pow(_BASE, -1, 2**64)), *((1 + (n >> _STEP), pow(_BASE, e << _STEP, 2**64)) for e in (1, -1)))):
+        if len(_powers[k]) < size:
             steps = np.full(size, base, U64)
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+    return tuple(_powers)
 
 
 def prefix_hash(buf: np.ndarray, table: np.ndarray = BYTES) -> np.ndarray:
     """Running polynomial sums: the hash of any span of ``buf`` is one subtraction and one product."""
-    power, _ = _power_tables(len(buf) + 1)
+    low, _, high, _ = _power_tables(len(buf))
     out = np.zeros(len(buf) + 1, U64)
-    np.cumsum(table[buf] * power[:-1], out=out[1:])
-    return out
+    for k, a in enumerate(range(0, len(buf), 1 << _STEP)):
+        part = table[buf[a : a + (1 << _STEP)]]
+        part *= low[: len(part)]
+        part *= high[k]
+        out[a + 1 : a + 1 + len(part)] = part
+    return np.cumsum(out, out=out)
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of ``buf[start:end]`` for many spans; equal bytes give equal hashes wherever they stand."""
-    _, inverse = _power_tables(len(prefix))
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(U64) * U64(0xC2B2AE3D27D4EB4F))
+    _, low, _, high = _power_tables(len(prefix))
+    out = prefix[end]
+    out -= prefix[start]
+    out *= low[start & ((1 << _STEP) - 1)]
+    out *= high[start >> _STEP]
+    out += (end - start).astype(U64) * U64(0xC2B2AE3D27D4EB4F)
+    return mix(out)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -245,3 +246,37 @@ def test_roots_left_out_lose_no_link(percent):
                     linked += 1
                     assert kept[i] & kept[j]
     assert linked > 100 and left_out > 1000
+
+
+def test_levels_merge_a_column_at_a_time():
+    """Two levels become one sorted level without a second copy of all of it."""
+    rng = np.random.default_rng(6)
+    n = 1 << 16
+    keys = rng.integers(97, 123, (2 * n, 50)).astype(np.uint8).view("S50").ravel()
+    family = suffixes.Family()
+    for a, b in ((0, n + n // 2), (n + n // 2, 2 * n)):
+        family.add(keys[a:b], np.arange(a, b))
+    assert len(family.levels) == 2
+    size = sum(x.nbytes for level in family.levels for x in level)
+    tracemalloc.start()
+    try:
+        copies = [tuple(x.copy() for x in level) for level in family.levels]
+        family.levels = copies
+        del copies
+        there = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        family._merge()
+        got, docs, batch, place = family.levels[0]
+        extra = tracemalloc.get_traced_memory()[1] - there
+    finally:
+        tracemalloc.stop()
+    assert extra < size and (got == np.sort(keys)).all()
+    assert (keys[docs] == got).all() and (np.array([0, n + n // 2])[batch] + place == docs).all()
+
+
+def test_hashes_of_single_suffixes():
+    buf = np.random.default_rng(7).integers(97, 100, 3 * suffixes.SEGMENT + 77).astype(np.uint8)
+    at = np.append(np.arange(0, len(buf) - 50, 991)[::-1], [suffixes.SEGMENT - 1, suffixes.SEGMENT, len(buf) - 50])
+    got = suffixes._hashes_at(buf, at, 50)
+    assert (got == text.span_hash(text.prefix_hash(buf), at, at + 50)).all()
+    assert len(suffixes._hashes_at(buf, at[:0], 50)) == 0

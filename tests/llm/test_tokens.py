@@ -148,3 +148,17 @@ def test_payloads_travel_a_few_at_a_time():
     batches = list(suffixes._dealt(list(rows)))
     assert sorted(tuple(r.values()) for b in batches for r in b.to_pylist()) == sorted(rows)
     assert all(b.num_rows == 1 or sum(map(len, b.column(3).to_pylist())) <= text.SMALL_BATCH for b in batches)
+
+
+def test_hash_tables_stay_short():
+    """Hashes of spans anywhere in a long buffer are those of the spans alone, with tables much shorter than the buffer."""
+    code = (
+        "import numpy as np; from cohortflow.llm import text; rng = np.random.default_rng(4); buf = rng.integers(0, 256, 1 << 21).astype(np.uint8); "
+        "start = np.append(rng.integers(0, len(buf) - 9000, 300), [0, 8191, 8192, 16383, len(buf) - 9000]); end = start + rng.integers(0, 9000, len(start)); "
+        "got = text.span_hash(text.prefix_hash(buf), start, end); "
+        "own = [text.span_hash(text.prefix_hash(buf[a:b]), np.array([0]), np.array([b - a]))[0] for a, b in zip(start, end)]; "
+        "print(got.tolist() == own and len(set(own)) > 300, sum(x.nbytes for x in text._powers))"
+    )
+    done = subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    same, size = done.stdout.split()
+    assert same == "True" and int(size) < 1 << 19, done.stderr
