@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortflow.llm.text import FOLDED, SMALL_BATCH, U64, chunks, known, mix, prefix_hash, release, row_of, rows_with, shingles, shown, span_hash, words
-from cohortflow.session import settle
+from cohortflow.session import scratch, settle, shared_dir
 
 RANGE = 1.6  # ratio of the largest to the smallest size of a range
 SPARE = 0.04  # share of parts beyond D + 1, as some stay empty
@@ -435,8 +435,10 @@ def one_of_each(docs: DataFrame, percent: int = 80, n: int = 5, key: str = "doc_
 
     Rows that share an id stay or go together, except that of equal rows one stays; rows without id never go.
     """
-    groups = near_duplicates(docs, percent, n, key, text).where("doc_id IS NOT NULL AND component_id <> doc_id")
-    gone = settle(groups.select(F.col("doc_id").alias(key)).distinct())
+    place = shared_dir(docs.sparkSession)
+    with scratch(docs.sparkSession):  # the tables of the join go as soon as its result is there
+        groups = near_duplicates(docs, percent, n, key, text).where("doc_id IS NOT NULL AND component_id <> doc_id")
+        gone = settle(groups.select(F.col("doc_id").alias(key)).distinct(), place)
     few = gone.count() <= BROADCAST_IDS
     out = docs.join(F.broadcast(gone) if few else gone, key, "left_anti").select(docs.columns)
     repeated = settle(docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortflow.llm.text import LAST_ID, SMALL_BATCH, U64, bound_batches, chunks, known, prefix_hash, release, rows_with, span_hash
-from cohortflow.session import settle
+from cohortflow.session import scratch, settle, shared_dir
 
 LENGTH = 50
 GRAM = 16
@@ -471,14 +471,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         own = answers.groupBy("block").agg(F.collect_list(F.struct("family", "payload")).alias("answers"))
         return blocks.join(own, "block", "left")
 
-    dealt = in_order(blocks.mapInArrow(_deal_runs(families, length), TO_FAMILY))
-    judged = settle(dealt.mapInArrow(_judge_runs(MANY_CONTENTS), TO_BLOCK + ", open long"))
-    # the second families are sized by the suffixes that are still open, not by text
-    still = judged.agg(F.sum("open")).first()[0] or 0
-    second = max(1, -(-still * (LONGEST_RUN + 1) // 2 // FAMILY_SUFFIXES))
-    sent = settle(with_answers(judged).drop("more").mapInArrow(_send_contents(families, second, length), TO_FAMILY))
-    singles = in_order(sent.where("family >= 0")).mapInArrow(_judge_suffixes(length), TO_BLOCK)
-    spans = settle(sent.where("family < 0").select("block", "family", "payload").unionByName(singles))
+    place = shared_dir(docs.sparkSession)
+    with scratch(docs.sparkSession):  # payloads go as soon as they are judged
+        dealt = in_order(blocks.mapInArrow(_deal_runs(families, length), TO_FAMILY))
+        judged = settle(dealt.mapInArrow(_judge_runs(MANY_CONTENTS), TO_BLOCK + ", open long"))
+        # the second families are sized by the suffixes that are still open, not by text
+        still = judged.agg(F.sum("open")).first()[0] or 0
+        second = max(1, -(-still * (LONGEST_RUN + 1) // 2 // FAMILY_SUFFIXES))
+        sent = settle(with_answers(judged).drop("more").mapInArrow(_send_contents(families, second, length), TO_FAMILY))
+        singles = in_order(sent.where("family >= 0")).mapInArrow(_judge_suffixes(length), TO_BLOCK)
+        spans = settle(sent.where("family < 0").select("block", "family", "payload").unionByName(singles), place)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<long>"
     schema = StructType.fromDDL(out)
     if carry:

@@ -5,11 +5,14 @@ import random
 import re
 import tracemalloc
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
 
 from cohortflow.llm import jaccard, suffixes, text
+from cohortflow.session import shared_dir
 
 
 def brute_repeats(docs, length):
@@ -280,3 +283,18 @@ def test_hashes_of_single_suffixes():
     got = suffixes._hashes_at(buf, at, 50)
     assert (got == text.span_hash(text.prefix_hash(buf), at, at + 50)).all()
     assert len(suffixes._hashes_at(buf, at[:0], 50)) == 0
+
+
+def test_tables_in_between_go(spark):
+    """Once a result is there, the shared folder holds only what it is read from."""
+    own = "how much wood would a chuck chuck if it could chuck all of the wood there is"
+    df = spark.createDataFrame([(1, own), (2, own), (3, own + " " + own), (4, "else")], "doc_id long, text string")
+    folder = Path(urlparse(shared_dir(spark)).path).parent
+    there = set(folder.iterdir())
+    kept = jaccard.one_of_each(df, 80, 5)
+    assert len(set(folder.iterdir()) - there) == 2
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    there = set(folder.iterdir())
+    cut = suffixes.remove_repeats(df)
+    assert len(set(folder.iterdir()) - there) == 2
+    assert {r.doc_id: r.n_removed for r in cut.collect()} == {d: n for d, _, n, *_ in brute_repeats([tuple(r) for r in df.collect()], 50)}
