@@ -64,6 +64,19 @@ def unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def narrow(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, what each value is above it in as few bytes as hold the largest); ``widen`` undoes it."""
+    base = values.min(keepdims=True) if len(values) else np.zeros(1, np.int64)
+    above = values.view(U64) - base.view(U64)  # beyond the signed range too
+    return base, above.astype(np.min_scalar_type(above.max()) if len(above) else np.uint8)
+
+
+def widen(base: np.ndarray, raw: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` values of :func:`narrow`, from the bytes."""
+    above = raw.view(f"u{len(raw) // n}").astype(U64) if n else np.zeros(0, U64)
+    return (above + base.view(U64)).view(np.int64)
+
+
 class Family:
     """Levels of sorted (key, document) entries; ``covered`` marks, batch by batch, entries that a smaller document has."""
 
@@ -237,7 +250,7 @@ def _deal_runs(families: int, length: int):
             out = []
             for family, at in _split((low % U64(families)).astype(np.int32)):
                 docs, which = np.unique(row[at], return_inverse=True)
-                out.append((family, int(block.ids[docs].min()), r["block"], pack((low[at] >> U64(32)).astype(np.uint32), content[at], which.astype(np.uint16), block.ids[docs])))
+                out.append((family, int(block.ids[docs].min()), r["block"], pack((low[at] >> U64(32)).astype(np.uint32), content[at], which.astype(np.uint16), *narrow(block.ids[docs]))))
             yield from _dealt(out)
 
     return run
@@ -264,11 +277,11 @@ def _judge_runs(many_from: int):
             release()
             levels, lows, from_ = Family(), [], []
             for block, payload in held:
-                low, content, which, ids = unpack(payload, "u4", "u8", "u2", "i8")
-                levels.add(content, ids[which])
+                low, content, which, base, above = unpack(payload, "u4", "u8", "u2", "i8", "u1")
+                levels.add(content, widen(base, above, int(which.max()) + 1)[which])
                 lows.append(low.copy())
                 from_.append(block)
-                del payload, low, content, which, ids
+                del payload, low, content, which, base, above
             ask, many = ([np.zeros(len(x), bool) for x in lows] for _ in range(2))
             if levels.levels:
                 start = np.cumsum([0] + [len(x) for x in lows])
@@ -349,7 +362,8 @@ def _send_contents(families: int, second: int, length: int):
                 begin, end = np.append(begin, place[order[late]]), np.append(end, place[order[late]] + length)
                 place, docs = place[order[~late]], docs[order[~late]]
                 dealt = (_hashes_at(block.buf, place, length) % U64(second)).astype(np.int32)
-            out = [(-1, LAST_ID, r["block"], pack(*_join_runs(begin, end)))]
+            # spans go the same way and are passed on, so the bytes of open runs are nowhere but in the shuffle
+            out = [(-1 - int(r["block"] % second), LAST_ID, r["block"], pack(*_join_runs(begin, end)))]
             # runs, and single suffixes as runs of one
             at = np.flatnonzero(ask & ~many)
             start, count = np.append(start[at], place), np.append(count[at], np.ones(len(place), np.int64))
@@ -358,7 +372,7 @@ def _send_contents(families: int, second: int, length: int):
                 size = count[own] + length - 1
                 total = np.cumsum(size)
                 where = np.repeat(start[own] - (total - size), size) + np.arange(int(total[-1]))
-                out.append((f, int(docs[own].min()), r["block"], pack(block.buf[where], count[own].astype(np.int32), docs[own], start[own])))
+                out.append((f, int(docs[own].min()), r["block"], pack(block.buf[where], count[own].astype(np.uint8), *narrow(docs[own]), *narrow(start[own]))))
             yield from _dealt(out)
 
     return run
@@ -374,7 +388,8 @@ def _open_suffixes(held: Iterator[tuple[int, bytes]], length: int) -> Iterator[t
         return out
 
     for block, payload in held:
-        data, count, docs, start = unpack(payload, "u1", "i4", "i8", "i8")
+        data, count, base, above, begin, beyond = unpack(payload, "u1", "u1", "i8", "u1", "i8", "u1")
+        docs, start = widen(base, above, len(count)), widen(begin, beyond, len(count))
         count = count.astype(np.int64)
         size = count + length - 1
         nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
@@ -382,7 +397,7 @@ def _open_suffixes(held: Iterator[tuple[int, bytes]], length: int) -> Iterator[t
         # the suffix array's keys: all suffixes of the open runs, cut at the length that matters
         parts.append((_suffixes(data, first, length), np.repeat(docs, count), np.repeat(start, count) + nth, np.full(len(nth), block)))
         n += len(nth)
-        del payload, data, count, docs, start, size, nth, first
+        del payload, data, count, docs, start, above, beyond, size, nth, first
         if n >= BATCH_SUFFIXES:
             n = 0
             yield joined()
@@ -391,10 +406,13 @@ def _open_suffixes(held: Iterator[tuple[int, bytes]], length: int) -> Iterator[t
 
 
 def _judge_suffixes(length: int):
-    """Spans of single suffixes that an earlier document has."""
+    """Spans of single suffixes that an earlier document has; families below zero hold spans already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for family, held in _by_family(batches):
+            if family < 0:
+                yield from (_answers([(block, family, payload)]) for block, payload in held)
+                continue
             release()
             levels, places = Family(), []
             for keys, docs, at, blocks in _open_suffixes(held, length):
@@ -459,30 +477,31 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", t
         raise ValueError(f"passages have {GRAM} bytes at least")
     more = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []
     rows = rows_with(docs, key, text, *more).withColumn("doc_id", known())
-    blocks = settle(rows.mapInArrow(_write_blocks, BLOCKS))
-    bound_batches(docs.sparkSession, SMALL_BATCH)  # blocks are as long as a batch of texts, but payloads travel a few at a time
-    sizes = blocks.agg(F.sum(F.length("data")), F.count("*")).first()
-    families = max(1, -(-3 * (sizes[0] or 0) // FAMILY_BYTES))  # texts are some three times their compressed size
 
     def in_order(dealt: DataFrame) -> DataFrame:
         return dealt.repartition("family").sortWithinPartitions("family", "first", "block")
 
-    def with_answers(answers: DataFrame) -> DataFrame:
+    def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
         own = answers.groupBy("block").agg(F.collect_list(F.struct("family", "payload")).alias("answers"))
         return blocks.join(own, "block", "left")
 
     place = shared_dir(docs.sparkSession)
-    with scratch(docs.sparkSession):  # payloads go as soon as they are judged
+    with scratch(docs.sparkSession):  # the first copy of the blocks goes once there is one with answers
+        blocks = settle(rows.mapInArrow(_write_blocks, BLOCKS))
+        bound_batches(docs.sparkSession, SMALL_BATCH)  # blocks are as long as a batch of texts, but payloads travel a few at a time
+        sizes = blocks.agg(F.sum(F.length("data")), F.count("*")).first()
+        families = max(1, -(-3 * (sizes[0] or 0) // FAMILY_BYTES))  # texts are some three times their compressed size
         dealt = in_order(blocks.mapInArrow(_deal_runs(families, length), TO_FAMILY))
         judged = settle(dealt.mapInArrow(_judge_runs(MANY_CONTENTS), TO_BLOCK + ", open long"))
         # the second families are sized by the suffixes that are still open, not by text
         still = judged.agg(F.sum("open")).first()[0] or 0
         second = max(1, -(-still * (LONGEST_RUN + 1) // 2 // FAMILY_SUFFIXES))
-        sent = settle(with_answers(judged).drop("more").mapInArrow(_send_contents(families, second, length), TO_FAMILY))
-        singles = in_order(sent.where("family >= 0")).mapInArrow(_judge_suffixes(length), TO_BLOCK)
-        spans = settle(sent.where("family < 0").select("block", "family", "payload").unionByName(singles), place)
+        # written, so that the shuffle behind it is gone before the open runs are sent
+        answered = settle(with_answers(blocks, judged), place)
+    sent = in_order(answered.drop("more").mapInArrow(_send_contents(families, second, length), TO_FAMILY))
+    spans = settle(sent.mapInArrow(_judge_suffixes(length), TO_BLOCK))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<long>"
     schema = StructType.fromDDL(out)
     if carry:
         schema = schema.add(rows.schema["carried"])
-    return with_answers(spans).mapInArrow(_cut, schema)
+    return with_answers(answered.drop("answers"), spans).mapInArrow(_cut, schema)

@@ -298,3 +298,28 @@ def test_tables_in_between_go(spark):
     cut = suffixes.remove_repeats(df)
     assert len(set(folder.iterdir()) - there) == 2
     assert {r.doc_id: r.n_removed for r in cut.collect()} == {d: n for d, _, n, *_ in brute_repeats([tuple(r) for r in df.collect()], 50)}
+
+
+def test_open_runs_are_not_written_beside_the_shuffle(spark, monkeypatch):
+    """Their bytes are the largest table in between: once in the shuffle is enough."""
+    written = []
+
+    def settle(df, *path):
+        written.append(set(df.columns))
+        return kept(df, *path)
+
+    kept = suffixes.settle
+    monkeypatch.setattr(suffixes, "settle", settle)
+    shared = "a passage that all of them have, and that is long enough to be found again "
+    docs = [(n, f"{n} own words of {n} " + shared + f" end of {n}") for n in range(6)]
+    got = got_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got == brute_repeats(docs, 50)
+    assert written and not any("first" in columns for columns in written)
+
+
+@pytest.mark.parametrize("values", [[], [5], [5, 260], [0, 2**63 - 1], [-(2**63), 2**63 - 1, -1], [7, 7 + 2**32]])
+def test_numbers_in_few_bytes(values):
+    values = np.array(values, np.int64)
+    base, above = suffixes.narrow(values)
+    assert suffixes.widen(base, np.frombuffer(above.tobytes(), np.uint8), len(values)).tolist() == values.tolist()
+    assert above.itemsize == 8 or not len(values) or int(values.max()) - int(values.min()) < 256**above.itemsize

@@ -1,13 +1,15 @@
 """Ordered sums, profiles, encodings, splits, metrics, missing values, sources."""
 
 import math
+import os
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cohortflow.operators import encode, logit, metrics, missing, ordered, outliers, profile, split
-from cohortflow.session import scratch, settle, shared_dir
+from cohortflow.session import CLEANUP, scratch, settle, shared_dir
 from cohortflow.sources import io
 
 
@@ -429,3 +431,22 @@ def test_files(spark, rows):
     assert rows(cells) == [(2, "x", 2.5)]
     assert rows(io.from_triplets(cells, ["k"], ["x"])) == [(2, 2.5)]
     assert rows(settle(df)) == rows(df)
+
+
+def test_a_settled_table_leaves_no_shuffle_files(spark):
+    def shuffles():
+        # hash codes of files that executors of this session keep
+        return sum(len([f for f in names if f.startswith("shuffle_") and f.endswith(".data")]) for d in folders for _, _, names in os.walk(d))
+
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [str(d) for d in manager.localDirsString()]
+    before = spark.conf.get(CLEANUP, None)
+    there = shuffles()
+    settled = settle(spark.range(5000).withColumn("k", F.col("id") % 50).groupBy("k").count().repartition("count"))
+    for _ in range(50):  # files go in the background
+        if shuffles() <= there:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= there
+    assert spark.conf.get(CLEANUP, None) == before
+    assert settled.count() == 50 and settled.agg(F.sum("count")).first()[0] == 5000
