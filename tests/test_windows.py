@@ -190,3 +190,22 @@ def test_adaptive_execution_splits_the_hot_key(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert sum(got.values()) == 200_000 and got[0] >= 66_667
     assert "skew=true" in plan
+
+
+def test_a_sieve_lets_all_wanted_keys_through(spark):
+    keys = spark.range(0, 2000, 40).withColumnRenamed("id", "k")
+    rows_ = spark.range(2000).selectExpr("id AS k", "id * 2 AS v").unionByName(spark.createDataFrame([(None, 5)], "k long, v long"))
+    found = windows.sift(rows_, keys, "k")
+    got = {r["k"]: r["v"] for r in found.collect()}
+    assert found.columns == ["k", "v"]
+    assert all(got[k] == 2 * k for k in range(0, 2000, 40))
+    # one in eight of the others, more or less
+    assert len(got) < 50 + 2 * 1950 / windows.SIEVE_BITS
+    assert windows.sift(rows_, keys.where("k < 0"), "k").count() == 0
+
+
+def test_a_sieve_with_few_words_still_lets_all_through(spark, monkeypatch):
+    monkeypatch.setattr(windows, "SIEVE_WORDS", 1)
+    keys = spark.range(0, 2000, 40).withColumnRenamed("id", "k")
+    found = windows.sift(spark.range(2000).withColumnRenamed("id", "k"), keys, "k")
+    assert found.join(keys, "k").count() == 50
